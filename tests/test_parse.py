@@ -147,3 +147,14 @@ def test_is_ip(spark):
         except ValueError:
             return False
     assert {r.t: r.v for r in df.select("t", is_ip(F.col("t")).alias("v")).collect()} == {t: ok(t) for t in texts}
+
+
+def test_long_lines_do_not_overflow(spark):
+    words = "word " * 60000
+    texts = [f"src=1.2.3.4 msg={words}user=bob", 'event=x msg="' + "a " * 60000 + '" user=bob',
+             '2026-06-05T10:00:00Z,a,b,low,"' + "x, " * 50000 + '"', words]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, message string")
+    rows = {r.i: r for r in formats.detect_format(df, "message", 2026).collect()}
+    assert [rows[i].detected_format for i in range(4)] == ["key_value", "key_value", "csv", "text"]
+    assert rows[0].parsed.user == rows[1].parsed.user == "bob"
+    assert len(rows[2].parsed.message) == 3 * 50000 - 1
