@@ -151,9 +151,9 @@ def _printable_text(data: Column) -> Column:
 
 
 def decode_base64(col: Column) -> Column:
-    body = strip(col)
+    body = F.regexp_replace(col, r"\s+", "")
     padded = F.rpad(body, (F.ceil(F.length(body) / 4) * 4).cast("int"), F.lit("="))
-    ok = (F.length(body) >= 4) & body.rlike(r"^[A-Za-z0-9+/=\s]+$")
+    ok = (F.length(strip(col)) >= 4) & body.rlike(r"^[A-Za-z0-9+/=]+$")
     return F.when(ok, _printable_text(F.try_to_binary(padded, F.lit("base64"))))
 
 

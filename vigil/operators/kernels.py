@@ -187,43 +187,84 @@ def values_in_window(
 
 
 # --------------------------------------------------------------------------- blocked replay
-def _per_block(df: DataFrame, summarise, summary_schema: str, advance, entry_schema: str, replay, out_schema: str):
+def _groups(batches, columns):
+    """Yield (key, blk, arrays) for each run of equal (key, blk) in sorted batches; one group is held at a time."""
+    current, pieces = None, []
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        key, blk = pdf["key"].to_numpy(), pdf["blk"].to_numpy()
+        data = [pdf[c].to_numpy() for c in columns]
+        cuts = np.flatnonzero((key[1:] != key[:-1]) | (blk[1:] != blk[:-1])) + 1
+        for lo, hi in zip([0, *cuts], [*cuts, len(key)]):
+            if current != (key[lo], blk[lo]):
+                if current is not None:
+                    yield *current, [p[0] if len(p) == 1 else np.concatenate(p) for p in pieces]
+                current, pieces = (key[lo], blk[lo]), [[] for _ in columns]
+            for piece, column in zip(pieces, data):
+                piece.append(column[lo:hi])
+    if current is not None:
+        yield *current, [p[0] if len(p) == 1 else np.concatenate(p) for p in pieces]
+
+
+def _frames(results, columns, size=20000):
+    """Collect per-group results (tuples of equally long lists) into data frames of a useful size."""
+    held, n = [[] for _ in columns], 0
+    for result in results:
+        for out, part in zip(held, result):
+            out.extend(part)
+        n += len(result[0])
+        if n >= size:
+            yield pd.DataFrame(dict(zip(columns, held)))
+            held, n = [[] for _ in columns], 0
+    if n:
+        yield pd.DataFrame(dict(zip(columns, held)))
+
+
+def _per_block(rows: DataFrame, order: list[str], columns: list[str], summarise, summary_schema, walk, entry_schema,
+               replay, out_schema) -> DataFrame:
     """Sequential replay per key, run in parallel over time blocks.
 
-    1. ``summarise`` reduces each (key, blk) group to a few rows: its effect on any entry state
-    2. ``advance`` walks the summaries of a key in block order and yields each block's entry state
+    1. ``summarise`` reduces each (key, blk) run to a few rows: its effect on any entry state
+    2. ``walk`` streams over the summaries of a key in block order and yields each block's entry state
     3. ``replay`` runs each block again, now from its known entry state
 
-    Steps 1 and 3 read the same exchange on (key, blk). Step 2 streams over summaries only.
+    The window puts a block's rows together and in order, and keeps adaptive execution from splitting them.
+    Steps 1 and 3 share its exchange, and no step holds more than one block of one key.
     """
-    groups = df.groupBy("key", "blk")
-    summaries = groups.applyInPandas(summarise, summary_schema)
+    together = Window.partitionBy("key", "blk").orderBy(*order)
+    placed = rows.withColumn("pos", F.row_number().over(together))
+    fields = lambda schema: [f.split()[0] for f in schema.split(", ")]
 
-    def walk(batches):
-        state = None
-        for pdf in batches:
-            state, out = advance(state, pdf)
-            if len(out):
-                yield out
-        if state is not None:
-            _, out = advance(state, None)
-            if len(out):
-                yield out
+    def first(batches):
+        yield from _frames((summarise(k, b, a) for k, b, a in _groups(batches, columns)), fields(summary_schema))
+
+    def second(batches):
+        yield from _frames(walk(batches), fields(entry_schema))
+
+    entry_columns = [c for c in fields(entry_schema) if c not in ("key", "blk")]
 
-    entries = summaries.repartition("key").sortWithinPartitions("key", "blk", "lo").mapInPandas(walk, entry_schema)
-    return groups.cogroup(entries.groupBy("key", "blk")).applyInPandas(replay, out_schema)
+    def third(batches):
+        grouped = _groups(batches, [*columns, *entry_columns])
+        results = (replay(k, b, a[: len(columns)], [x[0] for x in a[len(columns):]]) for k, b, a in grouped)
+        yield from _frames(results, fields(out_schema))
+
+    summaries = placed.mapInPandas(first, summary_schema)
+    entries = summaries.repartition("key").sortWithinPartitions("key", "blk", "lo").mapInPandas(second, entry_schema)
+    known = placed.join(entries, ["key", "blk"]).withColumn("pos", F.row_number().over(together))
+    return known.mapInPandas(third, out_schema)
 
 
 # --------------------------------------------------------------------------- suppression
 def _chain(t, deadline, control):
     """Next firing position after each row. A control re-arms the key for rows later than itself."""
-    d = deadline.copy()
+    d = deadline
     if len(control):
         pos = np.searchsorted(control, t, side="left")
         ahead = pos < len(control)
+        d = deadline.copy()
         d[ahead] = np.minimum(d[ahead], control[pos[ahead]])
-    nxt = np.maximum(np.searchsorted(t, d, side="right"), np.arange(1, len(t) + 1))
-    return d, nxt
+    return d, np.maximum(np.searchsorted(t, d, side="right"), np.arange(1, len(t) + 1))
 
 
 def suppress(
@@ -241,94 +282,75 @@ def suppress(
         key.alias("key"), id_.cast("bigint").alias("id"), t.alias("t"), deadline.alias("d"), F.lit(0).alias("ctl")
     )
     if control is not None:
-        rows = rows.unionByName(
-            control.select("key", F.lit(None).cast("bigint").alias("id"), "t", F.lit(0).cast("bigint").alias("d"),
-                           F.lit(1).alias("ctl"))
-        )
+        marks = control.select("key", F.lit(0).cast("bigint").alias("id"), "t", F.lit(0).cast("bigint").alias("d"),
+                               F.lit(1).alias("ctl"))
+        rows = rows.unionByName(marks)
     rows = rows.where("key is not null and t is not null").withColumn("blk", F.floor(F.col("t") / block))
 
-    def load(pdf):
-        pdf = pdf.sort_values(["t", "ctl", "id"], kind="stable")
-        m, c = pdf[pdf.ctl == 0], pdf[pdf.ctl == 1]
-        return m.t.to_numpy("int64"), m.d.to_numpy("int64"), m.id.to_numpy(), c.t.to_numpy("int64")
+    def load(arrays):
+        ts, ds, ids, ctl = arrays
+        if not ctl.any():
+            return ts, ds, ids, ts[:0]
+        match = ctl == 0
+        return ts[match], ds[match], ids[match], ts[~match]
 
-    def summarise(pdf):
-        k, b = pdf.key.iloc[0], int(pdf.blk.iloc[0])
-        ts, ds, ids, cs = load(pdf)
+    def summarise(k, b, arrays):
+        ts, ds, ids, cs = load(arrays)
         n = len(ts)
         d, nxt = _chain(ts, ds, cs)
         last = np.where(nxt < n, nxt, np.arange(n))
         while n and (last[last] != last).any():
             last = last[last]
-        limit = b * block + reach
+        # which row fires first depends on the entry deadline only, and that reaches at most ``reach`` into the block
         stop = n if not len(cs) else int(np.searchsorted(ts, cs[0], side="right"))
-        out = []  # (lo, kind, d, anchor): entry deadline >= lo leads to this exit
-        previous = -1
-        for j in range(0, min(stop, int(np.searchsorted(ts, limit, side="right"))) + 1):
-            lo = NEVER if j == 0 else int(ts[j - 1])
-            if j == n:
-                out.append((lo, 2 if len(cs) else 1, NEVER, None))
-            elif last[j] != previous:
-                previous = last[j]
-                out.append((lo, 0, int(d[previous]), int(ids[previous])))
-        frame = pd.DataFrame(out, columns=["lo", "kind", "d", "anchor"])
-        frame["anchor"] = frame["anchor"].astype("Int64")
-        frame.insert(0, "key", k)
-        frame.insert(1, "blk", b)
-        return frame
-
-    def advance(state, pdf):
-        # state: [key, blk, entry d, entry anchor, chosen exit]
-        out = []
-
-        def close(s):
-            out.append((s[0], s[1], s[2], s[3]))
-            kind, d, anchor = s[4]
-            return (s[2], s[3]) if kind == 1 else (d, anchor)
-
-        if pdf is None:
-            close(state)
-        else:
-            for k, b, lo, kind, d, anchor in zip(pdf.key, pdf.blk, pdf.lo, pdf.kind, pdf.d, pdf.anchor):
-                if state is None or state[0] != k:
-                    if state is not None:
-                        close(state)
-                    state = [k, b, NEVER, None, (1, NEVER, None)]
-                elif state[1] != b:
-                    d0, a0 = close(state)
-                    state = [k, b, d0, a0, (1, NEVER, None)]
-                if lo <= state[2]:
-                    state[4] = (kind, d, None if pd.isna(anchor) else int(anchor))
-        frame = pd.DataFrame(out, columns=["key", "blk", "d", "anchor"])
-        frame["anchor"] = frame["anchor"].astype("Int64")
-        return state, frame
-
-    def replay(pdf, entry):
-        columns = ["key", "id", "t", "anchor", "fires"]
-        if not len(pdf):
-            return pd.DataFrame(columns=columns)
-        ts, ds, ids, cs = load(pdf)
-        n = len(ts)
-        d0 = int(entry.d.iloc[0]) if len(entry) else NEVER
-        a0 = entry.anchor.iloc[0] if len(entry) else None
+        stop = min(stop, int(np.searchsorted(ts, int(b) * block + reach, side="right")))
+        head = last[: min(stop, n - 1) + 1] if n else last
+        starts = np.flatnonzero(np.r_[True, head[1:] != head[:-1]]) if len(head) else np.zeros(0, int)
+        lo = [NEVER if j == 0 else int(ts[j - 1]) for j in starts]
+        kind, dd, anchor = [0] * len(starts), [int(d[head[j]]) for j in starts], [int(ids[head[j]]) for j in starts]
+        if stop == n:  # entry state may outlive every row of the block
+            lo.append(int(ts[-1]) if n else NEVER)
+            kind.append(2 if len(cs) else 1)
+            dd.append(NEVER)
+            anchor.append(-1)
+        return [k] * len(lo), [b] * len(lo), lo, kind, dd, anchor
+
+    def walk(batches):
+        now, entry, leave = None, (NEVER, -1), (1, NEVER, -1)
+        for pdf in batches:
+            for k, b, lo, kind, d, anchor in zip(*[pdf[c].tolist() for c in ("key", "blk", "lo", "kind", "d", "anchor")]):
+                if now != (k, b):
+                    if now is None or now[0] != k:
+                        entry = (NEVER, -1)
+                    elif leave[0] != 1:
+                        entry = leave[1:]
+                    now, leave = (k, b), (1, NEVER, -1)
+                    yield [k], [b], [entry[0]], [entry[1]]
+                if lo <= entry[0]:
+                    leave = (kind, d, anchor)
+
+    def replay(k, b, arrays, entry):
+        ts, ds, ids, cs = load(arrays)
+        n, armed = len(ts), int(entry[0])
         if len(cs):
-            d0 = min(d0, int(cs[0]))
-        _, nxt = _chain(ts, ds, cs)
-        fires = np.zeros(n, dtype=bool)
-        j = int(np.searchsorted(ts, d0, side="right"))
+            armed = min(armed, int(cs[0]))
+        nxt = _chain(ts, ds, cs)[1].tolist()
+        fires, j = np.zeros(n, dtype=bool), int(np.searchsorted(ts, armed, side="right"))
         while j < n:
             fires[j] = True
-            j = int(nxt[j])
+            j = nxt[j]
         at = np.maximum.accumulate(np.where(fires, np.arange(n), -1)) if n else np.zeros(0, int)
-        anchor = pd.array([a0 if p < 0 else int(ids[p]) for p in at], dtype="Int64")
-        return pd.DataFrame({"key": pdf.key.iloc[0], "id": ids, "t": ts, "anchor": anchor, "fires": fires})
+        anchor = np.where(at < 0, entry[1], ids[at]) if n else ids
+        return [k] * n, ids.tolist(), ts.tolist(), anchor.tolist(), fires.tolist()
 
     return _per_block(
         rows,
+        ["t", "ctl", "id"],
+        ["t", "d", "id", "ctl"],
         summarise,
         "key string, blk bigint, lo bigint, kind int, d bigint, anchor bigint",
-        advance,
-        "key string, blk bigint, d bigint, anchor bigint",
+        walk,
+        "key string, blk bigint, armed bigint, anchor bigint",
         replay,
         "key string, id bigint, t bigint, anchor bigint, fires boolean",
     )
@@ -341,62 +363,57 @@ def fold_states(
 ) -> DataFrame:
     """Apply actions in (t, seq) order; ``moves[state][action]`` is the next state, absent means rejected.
 
-    Returns key, seq, t, ``before``, ``after``, ``accepted``. A block of changes acts on the finite set of states as a
-    function, so blocks are reduced to that function and composed.
+    Returns key, seq, t, action, ``before``, ``after``, ``accepted``. A block of changes acts on the finite set of
+    states as a function, so blocks are reduced to that function and composed.
     """
     states = list(moves)
     index = {s: i for i, s in enumerate(states)}
-    step = {}
+    step: dict[str, list[int]] = {}
     for s, targets in moves.items():
         for a, target in targets.items():
-            step.setdefault(a, np.full(len(states), -1))[index[s]] = index[target]
-    stay = np.arange(len(states))
+            step.setdefault(a, [-1] * len(states))[index[s]] = index[target]
     rows = df.select(
         key.alias("key"), t.alias("t"), seq.cast("bigint").alias("seq"), action.alias("action")
     ).where("key is not null").withColumn("blk", F.floor(F.col("t") / block))
 
-    def summarise(pdf):
-        now = stay.copy()
-        for a in pdf.sort_values(["t", "seq"]).action:
-            if a in step:
-                target = step[a][now]
-                now = np.where(target >= 0, target, now)
-        return pd.DataFrame(
-            {"key": [pdf.key.iloc[0]], "blk": [int(pdf.blk.iloc[0])], "lo": [0], "ends": [",".join(map(str, now))]}
-        )
+    def run(state, actions):
+        for a in actions:
+            target = step[a][state] if a in step else -1
+            if target >= 0:
+                state = target
+        return state
 
-    def advance(state, pdf):
-        out = []
-        if pdf is not None:
-            for k, b, ends in zip(pdf.key, pdf.blk, pdf.ends):
-                if state is None or state[0] != k:
-                    state = (k, index[initial])
-                out.append((k, b, state[1]))
-                state = (k, int(ends.split(",")[state[1]]))
-        return state, pd.DataFrame(out, columns=["key", "blk", "entry"])
-
-    def replay(pdf, entry):
-        if not len(pdf):
-            return pd.DataFrame(columns=["key", "seq", "t", "action", "before", "after", "accepted"])
-        pdf = pdf.sort_values(["t", "seq"])
-        now = int(entry.entry.iloc[0]) if len(entry) else index[initial]
-        before, after, ok = [], [], []
-        for a in pdf.action:
-            target = step[a][now] if a in step else -1
-            before.append(states[now])
-            ok.append(bool(target >= 0))
-            now = int(target) if target >= 0 else now
-            after.append(states[now])
-        return pd.DataFrame(
-            {"key": pdf.key, "seq": pdf.seq, "t": pdf.t, "action": pdf.action, "before": before, "after": after,
-             "accepted": ok}
-        )
+    def summarise(k, b, arrays):
+        actions = arrays[2].tolist()
+        return [k], [b], [0], [",".join(str(run(s, actions)) for s in range(len(states)))]
+
+    def walk(batches):
+        owner, state = None, index[initial]
+        for pdf in batches:
+            for k, b, ends in zip(pdf["key"].tolist(), pdf["blk"].tolist(), pdf["ends"].tolist()):
+                if owner != k:
+                    owner, state = k, index[initial]
+                yield [k], [b], [state]
+                state = int(ends.split(",")[state])
+
+    def replay(k, b, arrays, entry):
+        ts, seqs, actions = [x.tolist() for x in arrays]
+        state, before, after, accepted = int(entry[0]), [], [], []
+        for a in actions:
+            target = step[a][state] if a in step else -1
+            before.append(states[state])
+            accepted.append(target >= 0)
+            state = target if target >= 0 else state
+            after.append(states[state])
+        return [k] * len(ts), seqs, ts, actions, before, after, accepted
 
     return _per_block(
         rows,
+        ["t", "seq"],
+        ["t", "seq", "action"],
         summarise,
         "key string, blk bigint, lo bigint, ends string",
-        advance,
+        walk,
         "key string, blk bigint, entry int",
         replay,
         "key string, seq bigint, t bigint, action string, before string, after string, accepted boolean",
@@ -409,18 +426,18 @@ def running_count(df: DataFrame, keys: list[str], t: str, order: list[str], flag
 
     ``t`` must be the leading order column. Totals of earlier blocks are one small row per (key, block).
     """
-    rows = df.withColumn("_blk", F.floor(F.col(t) / block)).withColumn("_n", F.when(flag, 1).otherwise(0))
+    rows = df.withColumn("_blk", F.floor(F.col(t) / block)).withColumn("_flag", F.when(flag, 1).otherwise(0))
     prior = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     totals = (
         rows.groupBy(*keys, "_blk")
-        .agg(F.sum("_n").alias("_sum"))
+        .agg(F.sum("_flag").alias("_sum"))
         .select(*keys, "_blk", F.coalesce(F.sum("_sum").over(prior), F.lit(0)).alias("_prior"))
     )
     inside = Window.partitionBy(*keys, "_blk").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
         rows.join(totals, [*keys, "_blk"])
-        .withColumn(out, F.col("_prior") + F.sum("_n").over(inside))
-        .drop("_blk", "_n", "_prior")
+        .withColumn(out, F.col("_prior") + F.sum("_flag").over(inside))
+        .drop("_blk", "_flag", "_prior")
     )
 
 

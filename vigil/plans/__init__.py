@@ -1,3 +1,3 @@
 """Registered queries over the given tables, with their checking SQL."""
 
-from vigil.plans import ingest_queries, parse_queries  # noqa: F401
+from vigil.plans import detect_queries, ingest_queries, parse_queries, response_queries  # noqa: F401

@@ -142,7 +142,7 @@ def _(t):
 @query("parse_syslog5424", oracle("""SELECT event_id, 'syslog' AS detected_format, 'app' || CAST(k % 3 AS VARCHAR) AS source,
   'host' || CAST(k % 4 AS VARCHAR) AS host, 'ID' || CAST(k AS VARCHAR) AS event_type, 'Message ' || raw_type AS message, iso || 'Z' AS "timestamp",
   CASE WHEN k % 8 <= 2 THEN 'critical' WHEN k % 8 = 3 THEN 'high' WHEN k % 8 = 4 THEN 'medium' ELSE 'low' END AS severity,
-  CAST(floor(k / 8) AS VARCHAR) AS facility FROM snap"""))
+  CAST(k // 8 AS VARCHAR) AS facility FROM snap"""))
 def _(t):
     df = parsed(t, SYSLOG_NEW)
     return df.select("event_id", "detected_format", *[F.col(f"parsed.{n}").alias(n) for n in
