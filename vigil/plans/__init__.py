@@ -1,3 +1,9 @@
 """Registered queries over the given tables, with their checking SQL."""
 
-from vigil.plans import detect_queries, ingest_queries, parse_queries, response_queries  # noqa: F401
+from vigil.plans import (  # noqa: F401
+    detect_queries,
+    ingest_queries,
+    parse_queries,
+    port_queries,
+    response_queries,
+)
