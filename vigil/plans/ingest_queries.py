@@ -62,10 +62,11 @@ def _(t):
 
 
 @query("src_text_lines", "SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'error' ELSE 'access' END AS kind, "
-       "length(text) AS n_chars FROM conversations")
+       "length(text) AS n_chars FROM conversations WHERE length(trim(text)) > 0")
 def _(t):
-    kind = F.when(F.lower("role").contains("user"), "error").otherwise("access")
-    return t.table("conversations").select("conv_id", "turn", kind.alias("kind"), F.length("text").alias("n_chars"))
+    names = F.when(F.col("role") == "user", "site.ERROR.log").otherwise("access-1.log")
+    lines = t.table("conversations").select("conv_id", "turn", F.col("text").alias("line"), names.alias("file_name"))
+    return R.with_line_kind(lines).select("conv_id", "turn", "kind", F.length("line").alias("n_chars"))
 
 
 @query("src_browser_visits", """SELECT 100000000 + o_orderkey AS record_number,

@@ -17,11 +17,16 @@ def read_raw_logs(spark: SparkSession, path: str, streaming: bool = False) -> Da
 
 
 def tail_text_logs(spark: SparkSession, path: str, streaming: bool = False, modified_after: str | None = None):
-    """Access or error log lines with the kind taken from the file name. Rotate finished files into the folder."""
+    """Access or error log lines. Rotate finished files into the folder; the stream's checkpoint remembers which were read."""
     reader = (spark.readStream if streaming else spark.read).format("text")
     if modified_after and not streaming:
         reader = reader.option("modifiedAfter", modified_after)
     lines = reader.load(path).select(F.col("value").alias("line"), F.col("_metadata.file_name").alias("file_name"))
+    return with_line_kind(lines)
+
+
+def with_line_kind(lines: DataFrame) -> DataFrame:
+    """Drop blank lines and take the kind (access or error) from the file name."""
     kind = F.when(F.lower("file_name").contains("error"), "error").otherwise("access")
     return lines.where(F.length(F.trim("line")) > 0).withColumn("kind", kind)
 
