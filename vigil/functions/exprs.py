@@ -23,9 +23,23 @@ def all_of(conditions) -> Column:
     return reduce(lambda a, b: a & b, list(conditions), F.lit(True))
 
 
+def once(expensive: Column) -> Column:
+    """Keep the optimizer from copying an expensive expression.
+
+    A filter on a derived column is pushed below the projection by substituting the whole expression into it, and
+    again into the next one. An expression that is not deterministic by declaration (it is in fact) stays in one place.
+    """
+    return F.when(F.spark_partition_id() >= 0, expensive)
+
+
+# what counts as white space at the ends of a text
+BLANKS = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a" \
+    "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(col) -> Column:
-    """Trim every kind of white space (``trim`` only removes blanks)."""
-    return F.regexp_replace(col, r"^\s+|\s+$", "")
+    """Trim every kind of white space (plain ``trim`` only removes blanks)."""
+    return F.btrim(col, F.lit(BLANKS))
 
 
 def blank_to_null(col) -> Column:

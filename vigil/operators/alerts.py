@@ -128,13 +128,14 @@ def escalated(first_index: Column, first_risk: Column, n: Column) -> tuple[Colum
 def dedup_alerts(occurrences: DataFrame, closes: DataFrame | None = None, block: int = DAY) -> DataFrame:
     """One alert per open fingerprint.
 
-    ``closes`` (alert_fingerprint, t) are close/resolve times: later occurrences start a new alert. Everything is an
-    aggregate with map-side combine; rule matches are merged per rule code, so a fingerprint that fires all day never
-    gathers its events.
+    ``closes`` (alert_fingerprint, t) are close/resolve times: later occurrences start a new alert. Totals are one
+    aggregate with map-side combine, so a fingerprint that fires all day never gathers its events. The rule codes are
+    part of the fingerprint, so the first occurrence already has all rules of the alert.
     """
     rows = occurrences.select(
         "alert_fingerprint", "t", "event_id", "alert_title", "alert_type", "alert_severity", "confidence", "risk",
-        "source", "source_ip", "host", "user", "rule_matches", F.lit(False).alias("_close"),
+        "source", "source_ip", "host", "user", F.lit(False).alias("_close"),
+        F.array_sort(F.array_distinct(F.transform("rule_matches", lambda m: m["rule_code"]))).alias("rule_codes"),
     )
     if closes is not None:
         marks = closes.select("alert_fingerprint", "t", F.lit(True).alias("_close"))
@@ -145,7 +146,8 @@ def dedup_alerts(occurrences: DataFrame, closes: DataFrame | None = None, block:
         rows = rows.withColumn("episode", F.lit(0).cast("bigint"))
     key, order = ["alert_fingerprint", "episode"], F.struct("t", "event_id")
     first = F.struct(
-        "event_id", "alert_title", "alert_type", "alert_severity", "risk", "source", "source_ip", "host", "user"
+        "event_id", "alert_title", "alert_type", "alert_severity", "risk", "source", "source_ip", "host", "user",
+        "rule_codes",
     )
     totals = rows.groupBy(*key).agg(
         F.count("*").alias("occurrence_count"),
@@ -153,25 +155,19 @@ def dedup_alerts(occurrences: DataFrame, closes: DataFrame | None = None, block:
         F.max("t").alias("last_seen"),
         F.min_by(first, order).alias("f"),
         F.max_by("confidence", order).alias("confidence"),
-        # a stored risk of 0 is replaced by the risk of the current event before it escalates
+        # a stored risk of 0 is replaced by the risk of a later occurrence before it escalates
         F.min_by("risk", F.when(F.col("risk") > 0, order)).alias("_risk"),
     )
-    codes = (
-        rows.select(*key, "t", "event_id", F.explode("rule_matches").alias("m"))
-        .groupBy(*key, F.col("m.rule_code").alias("rule_code"))
-        .agg(F.min(order).alias("_o"))
-        .groupBy(*key)
-        .agg(F.array_sort(F.collect_list("rule_code")).alias("rule_codes"))
+    index, risk = escalated(
+        severity_index(F.col("f.alert_severity")), F.coalesce("_risk", "f.risk"), F.col("occurrence_count")
     )
-    index, risk = escalated(severity_index(F.col("f.alert_severity")), F.col("f.risk"), F.col("occurrence_count"))
     return (
-        totals.join(codes, key, "left")
-        .withColumns({"_idx": index, "risk_score": risk})
+        totals.withColumns({"_idx": index, "risk_score": risk})
         .select(
             *key, "f.event_id", "f.alert_title", "f.alert_type",
             F.coalesce(severity_name(F.when(F.col("_idx") >= 0, F.col("_idx"))), F.col("f.alert_severity")).alias("severity"),
             "risk_score", "confidence", "occurrence_count", "first_seen", "last_seen", "f.source", "f.source_ip",
-            "f.host", "f.user", "rule_codes",
+            "f.host", "f.user", "f.rule_codes",
         )
         .withColumn("priority", priority(F.col("severity")))
     )

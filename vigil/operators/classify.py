@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigil.functions import fixed_values as fx
-from vigil.functions.exprs import any_of, contains_any, or_else, strip
+from vigil.functions.exprs import any_of, contains_any, once, or_else, strip
 
 
 def windows_subtype(event_id: Column) -> Column:
@@ -149,5 +149,5 @@ def classify_log_type(df: DataFrame) -> DataFrame:
             "_msg": low("message"),
             "_data": F.from_json(meta["event_data"], "map<string,string>"),
         }
-    ).withColumn("_c", chain.otherwise(result("unknown", None, 20, "No matching classifier")))
+    ).withColumn("_c", once(chain.otherwise(result("unknown", None, 20, "No matching classifier"))))
     return staged.select(*df.columns, "_c.log_type", "_c.log_subtype", "_c.confidence", "_c.reason")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigil.functions import fixed_values as fx
-from vigil.functions.exprs import contains_any, matches_any, or_else, starts_with_any, strip
+from vigil.functions.exprs import contains_any, matches_any, once, or_else, starts_with_any, strip
 
 
 def _verdict(severity: str, reason: Column | str) -> Column:
@@ -80,7 +80,7 @@ def detect(df: DataFrame, blacklist: DataFrame | None = None, blacklist_limit: i
     clean = F.struct(
         F.lit(False).alias("is_suspicious"), F.lit("low").alias("severity"), F.lit(None).cast("string").alias("reason")
     )
-    return rows.withColumn("detection", chain.otherwise(clean)).select(*df.columns, "detection")
+    return rows.withColumn("detection", once(chain.otherwise(clean))).select(*df.columns, "detection")
 
 
 def blacklisted_events(df: DataFrame, blacklist: DataFrame) -> DataFrame:

@@ -6,17 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigil.functions import fixed_values as fx
-from vigil.functions.exprs import blank_to_null, event_time, is_ip, or_else, strip, truthy
+from vigil.functions.exprs import blank_to_null, event_time, is_ip, once, or_else, strip
 
 MAP = "map<string,string>"
 
 
 def with_fields(df: DataFrame, raw: str = "raw") -> DataFrame:
     """Open-schema JSON text to a ``fields`` map; nested values stay JSON text, non-objects become an empty map."""
-    parsed = F.from_json(raw, MAP)
-    known = F.try_parse_json(raw).isNotNull()
-    empty = F.from_json(F.lit("{}"), MAP)
-    return df.withColumn("fields", F.when(known, F.coalesce(parsed, empty)))
+    empty = F.when(F.try_parse_json(raw).isNotNull(), F.from_json(F.lit("{}"), MAP))
+    return df.withColumn("fields", once(F.coalesce(F.from_json(raw, MAP), empty)))
 
 
 def pick_value(field: str, fields: str = "fields") -> Column:
@@ -32,49 +30,49 @@ def pick(field: str, fields: str = "fields") -> Column:
 def validate(df: DataFrame, raw: str = "raw") -> DataFrame:
     """Adds status, errors, warnings and stage. Expects ``fields`` of ``with_fields``."""
     text = strip(F.col(raw))
-    values = F.map_values("fields")
     empty = F.col(raw).isNull() | (F.length(text) == 0) | F.coalesce(
-        F.forall(values, lambda v: v.isNull()) & text.startswith("{"), F.lit(False)
+        F.forall(F.map_values("fields"), lambda v: v.isNull()) & text.startswith("{"), F.lit(False)
     )
     payload_error = (
         F.when(empty, F.lit("Empty payload"))
         .when(F.octet_length(text) > fx.MAX_PAYLOAD_BYTES, F.lit("Oversized payload"))
         .when(F.col("fields").isNull(), F.lit("Malformed JSON payload"))
     )
-    when_given = pick_value("timestamp")
-    no_type = pick("event_type").isNull()
+    when, ip = F.col("_when"), F.col("_ip")
+    no_type = F.col("_type").isNull()
     errors = F.array_compact(
         F.array(
             F.when(no_type, F.lit("Missing required event_type")),
             F.when(
-                when_given.isNotNull() & event_time(when_given).isNull(),
-                F.concat(F.lit("Invalid timestamp format: "), when_given),
+                when.isNotNull() & event_time(when).isNull(), F.concat(F.lit("Invalid timestamp format: "), when)
             ),
             F.when(no_type, F.lit("Missing critical fields required for SOC processing (event_type)")),
         )
     )
-    severity = F.lower(strip(pick_value("severity")))
     warnings = F.array_compact(
         F.array(
             F.when(pick("source").isNull(), F.lit("Missing source")),
             F.when(pick("message").isNull(), F.lit("Missing message")),
-            F.when(~severity.isin(fx.LOG_SEVERITIES), F.lit("Non-standard severity value")),
-            F.when(pick("source_ip").isNotNull() & ~is_ip(pick("source_ip")), F.lit("Invalid source_ip format")),
+            F.when(~F.lower(strip(pick_value("severity"))).isin(fx.LOG_SEVERITIES), F.lit("Non-standard severity value")),
+            F.when(ip.isNotNull() & ~is_ip(ip), F.lit("Invalid source_ip format")),
         )
     )
-    none = F.array().cast("array<string>")
-    checked = df.withColumn("_payload", payload_error).withColumn(
-        "errors", F.when(F.col("_payload").isNotNull(), F.array("_payload")).otherwise(errors)
+    none, bad = F.array().cast("array<string>"), F.col("_payload").isNotNull()
+    picked = df.withColumns(
+        {
+            "_payload": payload_error, "_when": once(pick_value("timestamp")), "_ip": once(pick("source_ip")),
+            "_type": pick("event_type"),
+        }
     )
-    return (
-        checked.withColumn("warnings", F.when(F.col("_payload").isNotNull(), none).otherwise(warnings))
-        .withColumn("stage", F.when(F.col("_payload").isNotNull(), F.lit("payload_check")).otherwise("field_check"))
-        .withColumn(
-            "status",
-            F.when(F.size("errors") > 0, "INVALID").when(F.size("warnings") > 0, "WARNING").otherwise("VALID"),
-        )
-        .drop("_payload")
+    checked = picked.withColumns(
+        {
+            "errors": once(F.when(bad, F.array("_payload")).otherwise(errors)),
+            "warnings": once(F.when(bad, none).otherwise(warnings)),
+            "stage": F.when(bad, F.lit("payload_check")).otherwise("field_check"),
+        }
     )
+    status = F.when(F.size("errors") > 0, "INVALID").when(F.size("warnings") > 0, "WARNING").otherwise("VALID")
+    return checked.withColumn("status", status).drop("_payload", "_when", "_ip", "_type")
 
 
 def route(validated: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -107,7 +105,7 @@ def enrich_windows(df: DataFrame) -> DataFrame:
     event_id = or_else(F.col("meta")["event_id"], data["EventID"], data["Eventid"], top["EventID"], top["event_id"])
     generic = F.lower(strip("event_type")).isin("windows_event", "windows_raw", "windows")
     return (
-        df.withColumn("_data", _event_data())
+        df.withColumn("_data", once(_event_data()))
         .withColumn("source_ip", F.coalesce("source_ip", strip(ip), strip(top["IpAddress"])))
         .withColumn("user", F.coalesce("user", strip(who), strip(top["SubjectUserName"])))
         .withColumn(
@@ -142,14 +140,14 @@ def build_metadata() -> Column:
 def normalize(df: DataFrame, default_time: Column, keep: list[str] | None = None) -> DataFrame:
     """Open ``fields`` to the fixed event schema. Rows without an event type are dropped (validation rejects them)."""
     empty = F.from_json(F.lit("{}"), MAP)
-    picked = df.withColumn("meta", F.coalesce(F.from_json(F.col("fields")["metadata"], MAP), empty)).select(
+    picked = df.withColumn("meta", once(F.coalesce(F.from_json(F.col("fields")["metadata"], MAP), empty))).select(
         *(keep or []),
         "fields",
         "meta",
         default_time.alias("_default_time"),
         *[pick(f).alias(f) for f in ("source", "host", "event_type", "message", "source_ip", "user")],
         pick_value("severity").alias("_severity"),
-        pick_value("timestamp").alias("_time"),
+        once(pick_value("timestamp")).alias("_time"),
     ).where("event_type is not null")
     rich = enrich_windows(picked)
     meta_number = F.col("meta")["record_number"].try_cast("bigint")
@@ -265,7 +263,3 @@ def merge_counts(stored: DataFrame, new: DataFrame, key: str, count: str, order:
         .agg(F.sum(count).alias(count), F.min_by(F.struct(*rest), order).alias("f"))
         .select(key, count, "f.*")
     )
-
-
-def has_text(col: str) -> Column:
-    return truthy(F.col(col))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigil.functions import fixed_values as fx
-from vigil.functions.exprs import MINUTE, all_of, any_of, matches_any, starts_with_any
+from vigil.functions.exprs import MINUTE, all_of, any_of, matches_any, once, starts_with_any
 from vigil.operators.kernels import trailing_window
 
 MATCH = "struct<rule_code:string,rule_name:string,severity:string,risk_score:int,reason:string>"
@@ -110,7 +110,7 @@ def pattern_rules(df: DataFrame, rules: list, out: str = "rule_matches") -> Data
         if r.rule_type == "pattern"
     ]
     found = F.array_compact(F.array(*hits)) if hits else F.array()
-    return df.withColumn(out, found.cast(f"array<{MATCH}>"))
+    return df.withColumn(out, once(found.cast(f"array<{MATCH}>")))
 
 
 def threshold_rules(df: DataFrame, rules: list, id_col: str, t: str) -> DataFrame:

@@ -11,6 +11,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vigil.functions.exprs import once
+
 HOUR = 3_600_000_000
 
 BASE_SPARK = [
@@ -110,9 +112,14 @@ class Tables:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}.parquet")
 
+    def spread(self, df: DataFrame) -> DataFrame:
+        """Rows of an input with fewer splits than cores (one small file) dealt out to all of them."""
+        cores = self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
     @cached_property
     def snapshot(self) -> DataFrame:
-        base = self.table("events").selectExpr(*BASE_SPARK)
+        base = self.spread(self.table("events")).selectExpr(*BASE_SPARK)
         return base.selectExpr(*[f"{e} AS {'`user`' if n == 'usr' else n}" for n, e in EXPRESSIONS.items()])
 
     @cached_property
@@ -122,4 +129,4 @@ class Tables:
         meta = F.map_filter(
             F.create_map(*[x for n in names for x in (F.lit(n), F.col(n))]), lambda k, v: v.isNotNull()
         )
-        return self.snapshot.withColumn("metadata", meta)
+        return self.snapshot.withColumn("metadata", once(meta))

@@ -118,9 +118,8 @@ def _(t):
   ELSE 'critical' END AS severity, '10.0.0.' || CAST(user_id % 5 AS VARCHAR) AS source_ip, 'user' || CAST(user_id AS VARCHAR) AS user_name,
   CAST(floor(t / 1000) AS BIGINT) * 1000 AS t FROM snap"""))
 def _(t):
-    df = parsed(t, CEF)
-    return standard(df, "source", "event_type", "message", "severity", "source_ip", "user").join(
-        df.select("event_id", micros(event_time(F.col("parsed.timestamp"))).alias("t")), "event_id")
+    out = standard(parsed(t, CEF), "source", "event_type", "message", "severity", "source_ip", "user", "timestamp")
+    return out.withColumn("t", micros(event_time(F.col("timestamp")))).drop("timestamp")
 
 
 @query("parse_leef", oracle("""SELECT event_id, 'leef' AS detected_format, 'leef-vend-prod' AS source, 'leef_ev_' || raw_type AS event_type,

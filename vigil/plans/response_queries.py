@@ -13,6 +13,7 @@ from vigil.operators.detect import detect
 from vigil.plans.adapters import HOUR, oracle
 from vigil.plans.detect_queries import BURST, CODES, HITS, RISK, VERDICT, detector, matched
 from vigil.plans.registry import query
+from vigil.streaming.storage import written
 
 SEV = "['informational','low','medium','high','critical']"
 AS_OF = "(SELECT max(t) FROM snap)"
@@ -94,7 +95,7 @@ ALERTS = [*CHAIN, EPISODES, MERGED]
 
 
 def alerts(t):
-    occ = occurrences(t)
+    occ = written(occurrences(t), "occurrences")
     # the close happens right after the occurrence
     closes = occ.where("event_id % 1000 = 300").select("alert_fingerprint", F.col("t"))
     return A.dedup_alerts(occ, closes)

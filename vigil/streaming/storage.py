@@ -1,4 +1,4 @@
-"""Where streams keep tables between micro-batches."""
+"""Tables between steps and micro-batches, in the folder that all executors share."""
 
 from __future__ import annotations
 
@@ -35,3 +35,10 @@ def read_batches(spark: SparkSession, path: str, schema, upto: int) -> DataFrame
             raise
         return spark.createDataFrame([], schema)
     return found.where(f"batch <= {upto}").drop("batch")
+
+
+def written(df: DataFrame, name: str = "step") -> DataFrame:
+    """The same rows read back from a table in the shared folder: later steps start from there, also after a loss."""
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
