@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigil.functions import fixed_values as fx
-from vigil.functions.exprs import DAY, any_of, map_literal, or_else, severity_index, severity_name
+from vigil.functions.exprs import HOUR, any_of, map_literal, or_else, severity_index, severity_name
 from vigil.operators.kernels import numbered, running_count
 
 TOP = len(fx.ALERT_SEVERITIES) - 1
@@ -125,7 +125,7 @@ def escalated(first_index: Column, first_risk: Column, n: Column) -> tuple[Colum
     return index.cast("int"), F.least(F.lit(100), first_risk + 5 * one + 10 * two)
 
 
-def dedup_alerts(occurrences: DataFrame, closes: DataFrame | None = None, block: int = DAY) -> DataFrame:
+def dedup_alerts(occurrences: DataFrame, closes: DataFrame | None = None, block: int = HOUR) -> DataFrame:
     """One alert per open fingerprint.
 
     ``closes`` (alert_fingerprint, t) are close/resolve times: later occurrences start a new alert. Totals are one
@@ -177,7 +177,7 @@ def priority(severity: Column) -> Column:
     return F.coalesce(F.try_element_at(map_literal(fx.PRIORITY_BY_SEVERITY), severity), F.lit("P4"))
 
 
-def daily_ids(df: DataFrame, prefix: str, t: str, order: list[str], out: str, block: int = DAY // 24) -> DataFrame:
+def daily_ids(df: DataFrame, prefix: str, t: str, order: list[str], out: str, block: int = HOUR) -> DataFrame:
     """``PREFIX-yyyymmdd-0001`` in creation order of the UTC day; the day is numbered hour by hour."""
     day = df.withColumn("_day", F.date_format(F.timestamp_micros(t), "yyyyMMdd"))
     ranked = numbered(day, ["_day"], t, [t, *order], "_n", block)

@@ -314,17 +314,23 @@ def suppress_matches(matches: DataFrame, windows: dict[str, int] | None = None,
     Active means: no more than the type's window after the *first_seen* of the match that fired.
     ``control`` (key, t) closes an active correlation.
     """
-    windows = windows or {k: m * MINUTE for k, m in fx.SUPPRESSION_MINUTES.items()}
-    window = F
-    for name, width in windows.items():
-        window = window.when(F.col("correlation_type") == name, F.lit(width))
-    window = window.otherwise(F.lit(5 * MINUTE))
+    window = suppression_window(windows, F.col("correlation_type"))
+    if control is not None:
+        control = control.withColumn("reach", suppression_window(windows, F.substring_index("key", ":", 1)))
     return suppress(
-        matches, correlation_key(), F.col("event_id"), F.col("t"), F.col("first_seen") + window,
-        reach=max(5 * MINUTE, *windows.values()), control=control,
+        matches, correlation_key(), F.col("event_id"), F.col("t"), F.col("first_seen") + window, reach=window,
+        control=control,
     )
 
 
+def suppression_window(windows: dict[str, int] | None, kind: Column) -> Column:
+    windows = windows or {k: m * MINUTE for k, m in fx.SUPPRESSION_MINUTES.items()}
+    out = F
+    for name, width in windows.items():
+        out = out.when(kind == name, F.lit(width))
+    return out.otherwise(F.lit(5 * MINUTE)).cast("bigint")
+
+
 def surviving(matches: DataFrame, windows: dict[str, int] | None = None, control: DataFrame | None = None) -> DataFrame:
     kept = suppress_matches(matches, windows, control).where("fires").select(
         F.col("key").alias("correlation_key"), F.col("id").alias("event_id")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigil.functions import fixed_values as fx
-from vigil.functions.exprs import DAY
+from vigil.functions.exprs import HOUR
 from vigil.operators.alerts import daily_ids
 from vigil.operators.kernels import fold_states
 
@@ -28,7 +28,7 @@ def create_incidents(alerts: DataFrame) -> DataFrame:
     return daily_ids(fresh, "INC", "created_at", ["alert_id"], "incident_id")
 
 
-def apply_transitions(changes: DataFrame, block: int = DAY) -> DataFrame:
+def apply_transitions(changes: DataFrame, block: int = HOUR) -> DataFrame:
     """Replay changes (incident_id, t, seq, action): per change before, after, accepted and the reason of a rejection."""
     replayed = fold_states(
         changes, F.col("incident_id"), F.col("t"), F.col("seq"), F.col("action"), "open", ACTIONS, block

@@ -50,7 +50,7 @@ def trailing_window(
     are repeated in the next block, so (key, block) is the unit of work, not the key.
     """
     keep, sums, spans, distinct = keep or {}, sums or {}, spans or {}, distinct or {}
-    block = block or 8 * width
+    block = block or 4 * width
     if block < width:
         raise ValueError("block must be at least as long as the window")
     key_names = list(keys)
@@ -268,27 +268,34 @@ def _chain(t, deadline, control):
 
 
 def suppress(
-    df: DataFrame, key: Column, id_: Column, t: Column, deadline: Column, reach: int, block: int | None = None,
+    df: DataFrame, key: Column, id_: Column, t: Column, deadline: Column, reach: int | Column, block: int | None = None,
     control: DataFrame | None = None,
 ) -> DataFrame:
     """Keep a row when its key is armed; it then silences the key for all ``t <= deadline``.
 
-    ``deadline`` is a value of the row that fires (anchor time plus window), ``reach`` an upper bound of
-    ``deadline - t``. ``control`` (columns key, t) re-arms keys at once. Returns key, id, t, ``anchor`` (the id of
+    ``deadline`` is a value of the row that fires (anchor time plus window); ``reach`` is an upper bound of
+    ``deadline - t``, the same for all rows of a key. A key is split into blocks of twice its reach. ``control``
+    (columns key, t, and reach when that is a column) re-arms keys at once. Returns key, id, t, ``anchor`` (the id of
     the row that fired last) and ``fires``.
     """
-    block = block or max(12 * reach, 1)
+    span = reach if isinstance(reach, Column) else F.lit(reach)
     rows = df.select(
-        key.alias("key"), id_.cast("bigint").alias("id"), t.alias("t"), deadline.alias("d"), F.lit(0).alias("ctl")
+        key.alias("key"), id_.cast("bigint").alias("id"), t.alias("t"), deadline.alias("d"), F.lit(0).alias("ctl"),
+        span.cast("bigint").alias("reach"),
     )
     if control is not None:
-        marks = control.select("key", F.lit(0).cast("bigint").alias("id"), "t", F.lit(0).cast("bigint").alias("d"),
-                               F.lit(1).alias("ctl"))
+        zero = F.lit(0).cast("bigint")
+        own = F.col("reach") if isinstance(reach, Column) else F.lit(reach)
+        marks = control.select("key", zero.alias("id"), "t", zero.alias("d"), F.lit(1).alias("ctl"),
+                               own.cast("bigint").alias("reach"))
         rows = rows.unionByName(marks)
-    rows = rows.where("key is not null and t is not null").withColumn("blk", F.floor(F.col("t") / block))
+    length = F.lit(block) if block else F.greatest(2 * F.col("reach"), F.lit(1))
+    rows = rows.where("key is not null and t is not null").withColumn("len", length.cast("bigint")).withColumn(
+        "blk", F.floor(F.col("t") / F.col("len"))
+    )
 
     def load(arrays):
-        ts, ds, ids, ctl = arrays
+        ts, ds, ids, ctl = arrays[:4]
         if not ctl.any():
             return ts, ds, ids, ts[:0]
         match = ctl == 0
@@ -303,7 +310,8 @@ def suppress(
             last = last[last]
         # which row fires first depends on the entry deadline only, and that reaches at most ``reach`` into the block
         stop = n if not len(cs) else int(np.searchsorted(ts, cs[0], side="right"))
-        stop = min(stop, int(np.searchsorted(ts, int(b) * block + reach, side="right")))
+        limit = int(b) * int(arrays[5][0]) + int(arrays[4][0])
+        stop = min(stop, int(np.searchsorted(ts, limit, side="right")))
         head = last[: min(stop, n - 1) + 1] if n else last
         starts = np.flatnonzero(np.r_[True, head[1:] != head[:-1]]) if len(head) else np.zeros(0, int)
         lo = [NEVER if j == 0 else int(ts[j - 1]) for j in starts]
@@ -346,7 +354,7 @@ def suppress(
     return _per_block(
         rows,
         ["t", "ctl", "id"],
-        ["t", "d", "id", "ctl"],
+        ["t", "d", "id", "ctl", "reach", "len"],
         summarise,
         "key string, blk bigint, lo bigint, kind int, d bigint, anchor bigint",
         walk,

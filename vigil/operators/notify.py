@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigil.functions import fixed_values as fx
-from vigil.functions.exprs import DAY, MINUTE, map_literal, or_else
+from vigil.functions.exprs import DAY, HOUR, MINUTE, map_literal, or_else
 from vigil.operators.kernels import fold_states, suppress
 
 POLICIES = (
@@ -110,7 +110,7 @@ def channel_outcome(attempts: DataFrame) -> DataFrame:
     )
 
 
-def apply_transitions(changes: DataFrame, block: int = DAY) -> DataFrame:
+def apply_transitions(changes: DataFrame, block: int = HOUR) -> DataFrame:
     """Replay status changes (notification_id, t, seq, action = wanted status); the same status is always allowed."""
     moves = {s: {**{n: n for n in targets}, s: s} for s, targets in fx.NOTIFICATION_TRANSITIONS.items()}
     return fold_states(

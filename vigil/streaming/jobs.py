@@ -12,7 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from vigil.functions.exprs import DAY, HOUR
 from vigil.operators import correlate
 from vigil.operators.kernels import suppress
-from vigil.streaming.storage import read_batches, write_batch
+from vigil.streaming.storage import read_batch, read_batches, write_batch
 
 
 def connection_windows_stream(conns: DataFrame, width: str = "60 seconds", late: str = "10 minutes") -> DataFrame:
@@ -71,34 +71,42 @@ def correlate_batch(
 ) -> None:
     """One micro-batch: append the events, run the batch detectors over the look-back, emit matches of new events.
 
-    ``look_back`` is at least the longest window. The last firing match per key is carried as a table, so suppression
-    continues across batches. Every write is a folder of this batch: running it again gives the same result.
+    ``look_back`` is at least the longest window. Three small tables continue the work across batches: the time span of
+    each batch (which batches the look-back needs), and per key the last firing match while it still silences the key.
+    Every write is a folder of this batch, so running a batch again gives the same result.
     """
-    events = f"{folder}/events"
-    write_batch(batch, events, batch_id)
-    new = spark.read.schema(batch.schema).parquet(f"{events}/batch={batch_id}")
-    start = new.agg(F.min("t")).first()[0]
+    span_schema, active_schema = "batch bigint, first bigint, last bigint", "key string, id bigint, t bigint, d bigint"
+    write_batch(batch, f"{folder}/events", batch_id)
+    new = read_batch(spark, f"{folder}/events", batch.schema, batch_id)
+    before = read_batch(spark, f"{folder}/active", active_schema, batch_id - 1)
+    spans = read_batch(spark, f"{folder}/spans", span_schema, batch_id - 1)
+    start, end = new.agg(F.min("t"), F.max("t")).first()
     if start is None:
+        write_batch(before, f"{folder}/active", batch_id)
+        write_batch(spans, f"{folder}/spans", batch_id)
         return
-    known = read_batches(spark, events, batch.schema, batch_id).where(F.col("t") >= start - look_back)
-    ids = new.select("event_id").distinct()
+    # an entry per batch that may still be needed, so a handful of rows
+    needed = spans.where(F.col("last") >= start - look_back)
+    mine = spark.createDataFrame([(batch_id, start, end)], span_schema)
+    write_batch(needed.unionByName(mine), f"{folder}/spans", batch_id)
+    batches = [r.batch for r in needed.collect()] + [batch_id]
+    known = read_batches(spark, f"{folder}/events", batch.schema, batches).where(F.col("t") >= start - look_back)
     found = None
     for name, detector in detectors.items():
         part = detector(known, width=widths[name])
         found = part if found is None else found.unionByName(part)
-    fresh = found.join(ids, "event_id", "left_semi").withColumn("key", correlate.correlation_key())
+    fresh = found.join(new.select("event_id"), "event_id", "left_semi").withColumn("key", correlate.correlation_key())
     write_batch(fresh, f"{folder}/matches", batch_id)
-    stored = spark.read.schema(fresh.schema).parquet(f"{folder}/matches/batch={batch_id}")
-    window = F
-    for name, width in widths.items():
-        window = window.when(F.col("correlation_type") == name, F.lit(width))
-    now = stored.select("key", F.col("event_id").alias("id"), "t", (F.col("first_seen") + window.otherwise(0)).alias("d"))
-    schema = "key string, id bigint, t bigint, d bigint"
-    before = read_batches(spark, f"{folder}/fired", schema, batch_id - 1)
-    last = before.groupBy("key").agg(F.max_by(F.struct("id", "t", "d"), F.struct("t", "id")).alias("x")).select("key", "x.*")
-    runs = suppress(last.unionByName(now), F.col("key"), F.col("id"), F.col("t"), F.col("d"), reach=max(widths.values()))
+    stored = read_batch(spark, f"{folder}/matches", fresh.schema, batch_id)
+    window = correlate.suppression_window(widths, F.col("correlation_type"))
+    now = stored.select("key", F.col("event_id").alias("id"), "t", (F.col("first_seen") + window).alias("d"))
+    reach = correlate.suppression_window(widths, F.substring_index("key", ":", 1))
+    runs = suppress(before.unionByName(now), F.col("key"), F.col("id"), F.col("t"), F.col("d"), reach=reach)
     fired = runs.where("fires").select("key", "id").join(now, ["key", "id"])
     write_batch(fired.select("key", "id", "t", "d"), f"{folder}/fired", batch_id)
+    again = read_batch(spark, f"{folder}/fired", active_schema, batch_id)
+    last = before.unionByName(again).groupBy("key").agg(F.max_by(F.struct("id", "t", "d"), F.struct("t", "id")).alias("x"))
+    write_batch(last.select("key", "x.*").where(F.col("d") >= end - look_back), f"{folder}/active", batch_id)
 
 
 def correlate_stream(

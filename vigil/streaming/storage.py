@@ -26,15 +26,25 @@ def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
 
-def read_batches(spark: SparkSession, path: str, schema, upto: int) -> DataFrame:
-    """Everything written by batches up to and including ``upto``."""
+def read_batch(spark: SparkSession, path: str, schema, batch_id: int) -> DataFrame:
+    """One batch's folder; nothing when the batch was never written."""
+    folder = f"{path}/batch={batch_id}"
+    return read_batches(spark, path, schema, [batch_id]) if _exists(spark, folder) else spark.createDataFrame([], schema)
+
+
+def read_batches(spark: SparkSession, path: str, schema, batch_ids: list[int]) -> DataFrame:
+    """Several batches that were written, in one scan."""
+    return spark.read.schema(schema).parquet(*[f"{path}/batch={i}" for i in batch_ids])
+
+
+def _exists(spark: SparkSession, folder: str) -> bool:
     try:
-        found = spark.read.schema(schema).option("basePath", path).parquet(f"{path}/batch=*")
-    except Exception as exc:  # nothing written yet
-        if "PATH_NOT_FOUND" not in str(exc):
-            raise
-        return spark.createDataFrame([], schema)
-    return found.where(f"batch <= {upto}").drop("batch")
+        spark.read.schema("x int").parquet(folder)
+    except Exception as exc:
+        if "PATH_NOT_FOUND" in str(exc):
+            return False
+        raise
+    return True
 
 
 def written(df: DataFrame, name: str = "step") -> DataFrame:
