@@ -187,42 +187,35 @@ def values_in_window(
 
 
 # --------------------------------------------------------------------------- blocked replay
-def _groups(batches, columns):
-    """Yield (key, blk, arrays) for each run of equal (key, blk) in sorted batches; one group is held at a time."""
-    current, pieces = None, []
+def _whole_blocks(batches):
+    """Re-cut sorted batches so that no (key, blk) run is split; only the last, possibly unfinished run is held back."""
+    held = []
     for pdf in batches:
         if not len(pdf):
             continue
         key, blk = pdf["key"].to_numpy(), pdf["blk"].to_numpy()
-        data = [pdf[c].to_numpy() for c in columns]
-        cuts = np.flatnonzero((key[1:] != key[:-1]) | (blk[1:] != blk[:-1])) + 1
-        for lo, hi in zip([0, *cuts], [*cuts, len(key)]):
-            if current != (key[lo], blk[lo]):
-                if current is not None:
-                    yield *current, [p[0] if len(p) == 1 else np.concatenate(p) for p in pieces]
-                current, pieces = (key[lo], blk[lo]), [[] for _ in columns]
-            for piece, column in zip(pieces, data):
-                piece.append(column[lo:hi])
-    if current is not None:
-        yield *current, [p[0] if len(p) == 1 else np.concatenate(p) for p in pieces]
-
-
-def _frames(results, columns, size=20000):
-    """Collect per-group results (tuples of equally long lists) into data frames of a useful size."""
-    held, n = [[] for _ in columns], 0
-    for result in results:
-        for out, part in zip(held, result):
-            out.extend(part)
-        n += len(result[0])
-        if n >= size:
-            yield pd.DataFrame(dict(zip(columns, held)))
-            held, n = [[] for _ in columns], 0
-    if n:
-        yield pd.DataFrame(dict(zip(columns, held)))
-
-
-def _per_block(rows: DataFrame, order: list[str], columns: list[str], summarise, summary_schema, walk, entry_schema,
-               replay, out_schema) -> DataFrame:
+        same = (key == key[-1]) & (blk == blk[-1])
+        cut = len(key) - int(np.argmin(same[::-1])) if not same.all() else 0
+        if cut == 0 and held and (held[-1]["key"].iloc[-1], held[-1]["blk"].iloc[-1]) == (key[-1], blk[-1]):
+            held.append(pdf)
+            continue
+        if cut or held:
+            yield pd.concat([*held, pdf.iloc[:cut]]) if held else pdf.iloc[:cut]
+        held = [pdf.iloc[cut:]]
+    if held:
+        yield pd.concat(held)
+
+
+def _runs(pdf):
+    """Start and end positions of the (key, blk) runs, and the run number of each row."""
+    key, blk = pdf["key"].to_numpy(), pdf["blk"].to_numpy()
+    fresh = np.r_[True, (key[1:] != key[:-1]) | (blk[1:] != blk[:-1])]
+    start = np.flatnonzero(fresh)
+    return start, np.r_[start[1:], len(key)], np.cumsum(fresh) - 1
+
+
+def _per_block(rows: DataFrame, order: list[str], summarise, summary_schema, walk, entry_schema, replay,
+               out_schema) -> DataFrame:
     """Sequential replay per key, run in parallel over time blocks.
 
     1. ``summarise`` reduces each (key, blk) run to a few rows: its effect on any entry state
@@ -230,41 +223,65 @@ def _per_block(rows: DataFrame, order: list[str], columns: list[str], summarise,
     3. ``replay`` runs each block again, now from its known entry state
 
     The window puts a block's rows together and in order, and keeps adaptive execution from splitting them.
-    Steps 1 and 3 share its exchange, and no step holds more than one block of one key.
+    Steps 1 and 3 share its exchange. They work on whole blocks, many small ones or one large one at a time.
     """
     together = Window.partitionBy("key", "blk").orderBy(*order)
     placed = rows.withColumn("pos", F.row_number().over(together))
-    fields = lambda schema: [f.split()[0] for f in schema.split(", ")]
-
-    def first(batches):
-        yield from _frames((summarise(k, b, a) for k, b, a in _groups(batches, columns)), fields(summary_schema))
-
-    def second(batches):
-        yield from _frames(walk(batches), fields(entry_schema))
-
-    entry_columns = [c for c in fields(entry_schema) if c not in ("key", "blk")]
 
-    def third(batches):
-        grouped = _groups(batches, [*columns, *entry_columns])
-        results = (replay(k, b, a[: len(columns)], [x[0] for x in a[len(columns):]]) for k, b, a in grouped)
-        yield from _frames(results, fields(out_schema))
+    def over_blocks(step):
+        return lambda batches: (step(pdf) for pdf in _whole_blocks(batches))
 
-    summaries = placed.mapInPandas(first, summary_schema)
-    entries = summaries.repartition("key").sortWithinPartitions("key", "blk", "lo").mapInPandas(second, entry_schema)
+    summaries = placed.mapInPandas(over_blocks(summarise), summary_schema)
+    entries = summaries.repartition("key").sortWithinPartitions("key", "blk", "lo").mapInPandas(walk, entry_schema)
     known = placed.join(entries, ["key", "blk"]).withColumn("pos", F.row_number().over(together))
-    return known.mapInPandas(third, out_schema)
+    return known.mapInPandas(over_blocks(replay), out_schema)
 
 
 # --------------------------------------------------------------------------- suppression
-def _chain(t, deadline, control):
-    """Next firing position after each row. A control re-arms the key for rows later than itself."""
-    d = deadline
-    if len(control):
-        pos = np.searchsorted(control, t, side="left")
-        ahead = pos < len(control)
-        d = deadline.copy()
-        d[ahead] = np.minimum(d[ahead], control[pos[ahead]])
-    return d, np.maximum(np.searchsorted(t, d, side="right"), np.arange(1, len(t) + 1))
+class _Blocks:
+    """Suppression inside blocks, for all blocks of a data frame at once.
+
+    ``at`` orders the rows of all blocks on one axis (block number times ``step`` plus time inside the block), so one binary
+    search finds every row's successor.
+    """
+
+    def __init__(self, pdf):
+        start, _, run = _runs(pdf)
+        self.key, self.blk = pdf["key"].to_numpy()[start], pdf["blk"].to_numpy()[start]
+        length, reach = (pdf[c].to_numpy("int64")[start] for c in ("len", "reach"))
+        zero = self.blk * length
+        self.step = int((length + reach).max()) + 2
+        self.base = np.arange(len(start)) * self.step
+        t, ctl = pdf["t"].to_numpy("int64"), pdf["ctl"].to_numpy() != 0
+        place = self.base[run] + (t - zero[run])
+        control = place[ctl]
+        row = ~ctl
+        self.run, self.t, self.id, self.at = run[row], t[row], pdf["id"].to_numpy("int64")[row], place[row]
+        self.n = len(self.t)
+        d = np.minimum(pdf["d"].to_numpy("int64")[row] - zero[self.run], self.step - 1) + self.base[self.run]
+        # the first control of each block, or the end of the block's axis
+        pos = np.searchsorted(control, self.base)
+        far = np.r_[control, self.base[-1] + self.step]
+        self.first_control = np.minimum(far[pos], self.base + self.step)
+        self.has_control = self.first_control < self.base + self.step
+        # a control re-arms the key for rows later than itself
+        pos = np.searchsorted(control, self.at)
+        self.d = np.minimum(d, far[pos])
+        self.begin = np.searchsorted(self.run, np.arange(len(start)))
+        self.end = np.searchsorted(self.run, np.arange(len(start)), side="right")
+        self.zero = zero
+        self.next = np.maximum(np.searchsorted(self.at, self.d, side="right"), np.arange(1, self.n + 1))
+        self.leaves = self.next >= self.end[self.run]
+        # entry deadlines reach at most this far into a block
+        self.limit = np.minimum(self.base + reach, self.first_control)
+
+    def time(self, place, run):
+        return place - self.base[run] + self.zero[run]
+
+    def enter(self, armed):
+        """First firing row per block for entry deadlines ``armed``."""
+        low = np.clip(armed - self.zero, -1, self.step - 1) + self.base
+        return np.searchsorted(self.at, np.minimum(low, self.first_control), side="right")
 
 
 def suppress(
@@ -294,38 +311,37 @@ def suppress(
         "blk", F.floor(F.col("t") / F.col("len"))
     )
 
-    def load(arrays):
-        ts, ds, ids, ctl = arrays[:4]
-        if not ctl.any():
-            return ts, ds, ids, ts[:0]
-        match = ctl == 0
-        return ts[match], ds[match], ids[match], ts[~match]
-
-    def summarise(k, b, arrays):
-        ts, ds, ids, cs = load(arrays)
-        n = len(ts)
-        d, nxt = _chain(ts, ds, cs)
-        last = np.where(nxt < n, nxt, np.arange(n))
-        while n and (last[last] != last).any():
+    def summarise(pdf):
+        b = _Blocks(pdf)
+        i = np.arange(b.n)
+        last = np.where(b.leaves, i, b.next) if b.n else i
+        while b.n and (last[last] != last).any():
             last = last[last]
-        # which row fires first depends on the entry deadline only, and that reaches at most ``reach`` into the block
-        stop = n if not len(cs) else int(np.searchsorted(ts, cs[0], side="right"))
-        limit = int(b) * int(arrays[5][0]) + int(arrays[4][0])
-        stop = min(stop, int(np.searchsorted(ts, limit, side="right")))
-        head = last[: min(stop, n - 1) + 1] if n else last
-        starts = np.flatnonzero(np.r_[True, head[1:] != head[:-1]]) if len(head) else np.zeros(0, int)
-        lo = [NEVER if j == 0 else int(ts[j - 1]) for j in starts]
-        kind, dd, anchor = [0] * len(starts), [int(d[head[j]]) for j in starts], [int(ids[head[j]]) for j in starts]
-        if stop == n:  # entry state may outlive every row of the block
-            lo.append(int(ts[-1]) if n else NEVER)
-            kind.append(2 if len(cs) else 1)
-            dd.append(NEVER)
-            anchor.append(-1)
-        return [k] * len(lo), [b] * len(lo), lo, kind, dd, anchor
+        opens = i == b.begin[b.run]
+        before = np.r_[0, b.at[:-1]] if b.n else b.at
+        changed = np.r_[True, last[1:] != last[:-1]] if b.n else opens
+        piece = np.flatnonzero(opens | (changed & (before <= b.limit[b.run])))
+        to = last[piece]
+        lo = np.where(opens[piece], NEVER, np.r_[0, b.t[:-1]][piece]) if b.n else piece
+        fires = pd.DataFrame({"run": b.run[piece], "lo": lo, "kind": 0, "d": b.time(b.d[to], b.run[to]), "anchor": b.id[to]})
+        # the entry state may outlive every row of the block; a control ends it
+        some = b.end > b.begin
+        tail = np.where(some, b.end - 1, 0)
+        survives = ~some | (b.at[tail] <= b.limit) if b.n else ~some
+        quiet = np.flatnonzero(survives)
+        lo = np.where(some[quiet], b.t[tail[quiet]] if b.n else NEVER, NEVER)
+        passes = pd.DataFrame(
+            {"run": quiet, "lo": lo, "kind": np.where(b.has_control[quiet], 2, 1), "d": NEVER, "anchor": -1}
+        )
+        out = pd.concat([fires, passes])
+        out.insert(0, "key", b.key[out["run"]])
+        out.insert(1, "blk", b.blk[out["run"]])
+        return out.drop(columns="run")
 
     def walk(batches):
         now, entry, leave = None, (NEVER, -1), (1, NEVER, -1)
         for pdf in batches:
+            out = []
             for k, b, lo, kind, d, anchor in zip(*[pdf[c].tolist() for c in ("key", "blk", "lo", "kind", "d", "anchor")]):
                 if now != (k, b):
                     if now is None or now[0] != k:
@@ -333,32 +349,33 @@ def suppress(
                     elif leave[0] != 1:
                         entry = leave[1:]
                     now, leave = (k, b), (1, NEVER, -1)
-                    yield [k], [b], [entry[0]], [entry[1]]
+                    out.append((k, b, *entry))
                 if lo <= entry[0]:
                     leave = (kind, d, anchor)
-
-    def replay(k, b, arrays, entry):
-        ts, ds, ids, cs = load(arrays)
-        n, armed = len(ts), int(entry[0])
-        if len(cs):
-            armed = min(armed, int(cs[0]))
-        nxt = _chain(ts, ds, cs)[1].tolist()
-        fires, j = np.zeros(n, dtype=bool), int(np.searchsorted(ts, armed, side="right"))
-        while j < n:
-            fires[j] = True
-            j = nxt[j]
-        at = np.maximum.accumulate(np.where(fires, np.arange(n), -1)) if n else np.zeros(0, int)
-        anchor = np.where(at < 0, entry[1], ids[at]) if n else ids
-        return [k] * n, ids.tolist(), ts.tolist(), anchor.tolist(), fires.tolist()
+            yield pd.DataFrame(out, columns=["key", "blk", "armed", "entry"])
+
+    def replay(pdf):
+        b = _Blocks(pdf)
+        start = _runs(pdf)[0]
+        armed, entry = pdf["armed"].to_numpy("int64")[start], pdf["entry"].to_numpy("int64")[start]
+        fires = np.zeros(b.n, dtype=bool)
+        front = b.enter(armed)
+        front = front[front < b.end]
+        while len(front):
+            fires[front] = True
+            front = b.next[front[~b.leaves[front]]]
+        at = np.maximum.accumulate(np.where(fires, np.arange(b.n), -1)) if b.n else np.zeros(0, int)
+        own = at >= b.begin[b.run]
+        anchor = np.where(own, b.id[np.maximum(at, 0)], entry[b.run]) if b.n else b.id
+        return pd.DataFrame({"key": b.key[b.run], "id": b.id, "t": b.t, "anchor": anchor, "fires": fires})
 
     return _per_block(
         rows,
         ["t", "ctl", "id"],
-        ["t", "d", "id", "ctl", "reach", "len"],
         summarise,
         "key string, blk bigint, lo bigint, kind int, d bigint, anchor bigint",
         walk,
-        "key string, blk bigint, armed bigint, anchor bigint",
+        "key string, blk bigint, armed bigint, entry bigint",
         replay,
         "key string, id bigint, t bigint, anchor bigint, fires boolean",
     )
@@ -376,49 +393,65 @@ def fold_states(
     """
     states = list(moves)
     index = {s: i for i, s in enumerate(states)}
-    step: dict[str, list[int]] = {}
+    code = {a: i for i, a in enumerate(sorted({a for targets in moves.values() for a in targets}))}
+    # table[action, state]: next state, the state itself where rejected; unknown actions are rejected everywhere
+    table = np.tile(np.arange(len(states)), (len(code) + 1, 1))
+    allowed = np.zeros((len(code) + 1, len(states)), dtype=bool)
     for s, targets in moves.items():
         for a, target in targets.items():
-            step.setdefault(a, [-1] * len(states))[index[s]] = index[target]
+            table[code[a], index[s]], allowed[code[a], index[s]] = index[target], True
     rows = df.select(
         key.alias("key"), t.alias("t"), seq.cast("bigint").alias("seq"), action.alias("action")
     ).where("key is not null").withColumn("blk", F.floor(F.col("t") / block))
 
-    def run(state, actions):
-        for a in actions:
-            target = step[a][state] if a in step else -1
-            if target >= 0:
-                state = target
-        return state
-
-    def summarise(k, b, arrays):
-        actions = arrays[2].tolist()
-        return [k], [b], [0], [",".join(str(run(s, actions)) for s in range(len(states)))]
+    def in_step(pdf):
+        """Walk all blocks together, one change of each per round; yields (row positions, runs, actions)."""
+        start, end, _ = _runs(pdf)
+        actions = pdf["action"].map(code).fillna(len(code)).to_numpy("int64")
+        by_length = np.argsort(start - end, kind="stable")
+        lengths = (end - start)[by_length]
+        for p in range(int(lengths[0])):
+            runs = by_length[: np.searchsorted(-lengths, -p)]
+            yield start[runs] + p, runs, actions[start[runs] + p]
+
+    def summarise(pdf):
+        start = _runs(pdf)[0]
+        ends = np.tile(np.arange(len(states)), (len(start), 1))
+        for _, runs, actions in in_step(pdf):
+            ends[runs] = table[actions[:, None], ends[runs]]
+        return pd.DataFrame(
+            {"key": pdf["key"].to_numpy()[start], "blk": pdf["blk"].to_numpy()[start], "lo": 0,
+             "ends": [",".join(map(str, e)) for e in ends.tolist()]}
+        )
 
     def walk(batches):
         owner, state = None, index[initial]
         for pdf in batches:
-            for k, b, ends in zip(pdf["key"].tolist(), pdf["blk"].tolist(), pdf["ends"].tolist()):
+            out = []
+            for k, ends in zip(pdf["key"].tolist(), pdf["ends"].tolist()):
                 if owner != k:
                     owner, state = k, index[initial]
-                yield [k], [b], [state]
+                out.append(state)
                 state = int(ends.split(",")[state])
-
-    def replay(k, b, arrays, entry):
-        ts, seqs, actions = [x.tolist() for x in arrays]
-        state, before, after, accepted = int(entry[0]), [], [], []
-        for a in actions:
-            target = step[a][state] if a in step else -1
-            before.append(states[state])
-            accepted.append(target >= 0)
-            state = target if target >= 0 else state
-            after.append(states[state])
-        return [k] * len(ts), seqs, ts, actions, before, after, accepted
+            yield pd.DataFrame({"key": pdf["key"], "blk": pdf["blk"], "entry": out})
+
+    def replay(pdf):
+        state = pdf["entry"].to_numpy("int64")[_runs(pdf)[0]].copy()
+        before, after = np.zeros(len(pdf), int), np.zeros(len(pdf), int)
+        accepted = np.zeros(len(pdf), bool)
+        for at, runs, actions in in_step(pdf):
+            before[at] = state[runs]
+            accepted[at] = allowed[actions, state[runs]]
+            state[runs] = table[actions, state[runs]]
+            after[at] = state[runs]
+        names = np.array(states, dtype=object)
+        out = pdf[["key", "seq", "t", "action"]].copy()
+        out["before"], out["after"], out["accepted"] = names[before], names[after], accepted
+        return out
 
     return _per_block(
         rows,
         ["t", "seq"],
-        ["t", "seq", "action"],
         summarise,
         "key string, blk bigint, lo bigint, ends string",
         walk,

@@ -49,7 +49,8 @@ def run(
     counted = rules.threshold_rules(seen, compiled, "event_id", "t")
     if counted is not None:
         seen = written(rules.with_threshold_matches(seen, counted, "event_id"), "events")
-    matches = written(correlate.surviving(correlate.all_matches(seen, widths), widths), "correlations")
+    found = written(correlate.all_matches(seen, widths), "matches")
+    matches = written(correlate.surviving(found, widths), "correlations")
     # at most one match per detector and event
     per_event = matches.groupBy("event_id").agg(
         F.collect_list(F.struct("correlation_type", "severity", "risk_score", "event_count")).alias("correlation_matches")
