@@ -186,6 +186,12 @@ def container_event_key(action: Column, event_id: Column, nanos: Column, seconds
     return F.concat_ws("_", action, event_id, F.coalesce(F.when(nanos != 0, nanos), seconds).cast("string"))
 
 
+def drop_duplicate_container_events(df: DataFrame) -> DataFrame:
+    """One event per (action, container_id, time); nanoseconds when known, else seconds."""
+    key = container_event_key(F.col("action"), F.col("container_id"), F.col("time_nano"), F.col("time"))
+    return df.withColumn("event_key", key).dropDuplicates(["event_key"])
+
+
 # --------------------------------------------------------------------------- quarantine and unknown logs
 def quarantine_hash() -> Column:
     parts = [pick("source"), pick("event_type"), pick("message"), pick_value("timestamp")]

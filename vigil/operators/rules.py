@@ -152,14 +152,20 @@ def threshold_rules(df: DataFrame, rules: list, id_col: str, t: str) -> DataFram
     return hits
 
 
-def with_threshold_matches(df: DataFrame, hits: DataFrame, id_col: str, out: str = "rule_matches") -> DataFrame:
-    """Append threshold hits to the match array; at most one entry per rule and event."""
-    grouped = hits.groupBy(id_col).agg(
-        F.collect_list(F.struct("rule_code", "rule_name", "severity", "risk_score", "reason")).alias("_more")
-    )
+def with_threshold_matches(
+    df: DataFrame, hits: DataFrame | None, id_col: str, out: str = "rule_matches", last: str | None = None
+) -> DataFrame:
+    """Append threshold hits to the match array, at most one per rule and event, then the matches of column ``last``:
+    the order of matches is stored pattern rules, threshold rules, built-in rules."""
     none = F.array().cast(f"array<{MATCH}>")
-    joined = df.join(grouped, id_col, "left")
-    return joined.withColumn(out, F.concat(F.col(out), F.coalesce("_more", none))).drop("_more")
+    joined, more = df, none
+    if hits is not None:
+        grouped = hits.groupBy(id_col).agg(
+            F.array_sort(F.collect_list(F.struct("rule_code", "rule_name", "severity", "risk_score", "reason"))).alias("_more")
+        )
+        joined, more = df.join(grouped, id_col, "left"), F.coalesce("_more", none)
+    parts = [F.col(out), more, *([F.col(last)] if last else [])]
+    return joined.withColumn(out, F.concat(*parts)).drop("_more", *([last] if last else []))
 
 
 # --------------------------------------------------------------------------- rules as data

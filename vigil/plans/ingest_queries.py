@@ -286,13 +286,13 @@ def _(t):
     return I.drop_duplicate_events(s, ["event_id"])
 
 
-@query("dedup_container", oracle("""SELECT raw_type || '_c' || CAST(user_id % 3 AS VARCHAR) || '_' ||
-  CAST(CASE WHEN k % 2 = 0 THEN k + 1 ELSE 7 END AS VARCHAR) AS event_key, count(*) AS deliveries FROM snap GROUP BY 1"""))
+@query("dedup_container", oracle("""SELECT DISTINCT raw_type || '_c' || CAST(user_id % 3 AS VARCHAR) || '_' ||
+  CAST(CASE WHEN k % 2 = 0 THEN k + 1 ELSE 7 END AS VARCHAR) AS event_key, raw_type AS action FROM snap"""))
 def _(t):
-    key = I.container_event_key(
-        F.col("raw_type"), F.concat(F.lit("c"), (F.col("user_id") % 3).cast("string")),
-        F.when(F.col("k") % 2 == 0, F.col("k") + 1).otherwise(0), F.lit(7))
-    return t.snapshot.groupBy(key.alias("event_key")).agg(F.count("*").alias("deliveries"))
+    events = t.snapshot.select(
+        F.col("raw_type").alias("action"), F.concat(F.lit("c"), (F.col("user_id") % 3).cast("string")).alias("container_id"),
+        F.when(F.col("k") % 2 == 0, F.col("k") + 1).otherwise(0).alias("time_nano"), F.lit(7).alias("time"))
+    return I.drop_duplicate_container_events(events).select("event_key", "action")
 
 
 @query("quarantine_hash", oracle("""SELECT event_id, sha256(CASE m WHEN 0 THEN 'appno type ' || CAST(user_id % 7 AS VARCHAR)

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import base64
+import gzip
+
+import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vigil.functions.exprs import event_time, micros
 from vigil.operators import decode as D
@@ -72,7 +77,26 @@ def _(t):
     return out.select("doc_id", F.sha2("decoded", 256).alias("decoded_hash"), F.array_join("decoding_chain", ",").alias("chain"))
 
 
-@query("decode_gzip")
+SIMPLE = ("NOT regexp_matches(text, '[%\\\\]') AND length(trim(text)) > 3 AND NOT regexp_matches(trim(text), '^[A-Za-z0-9+/=\\s]+$') "
+          "AND NOT regexp_matches(text, '[^\\x20-\\x7e\\n\\x{a1}-\\x{24f}]')")
+
+
+@query("decode_gzip", f"SELECT doc_id, sha256(text) AS decoded_hash, 'gzip' AS chain FROM documents WHERE {SIMPLE}")
+def _(t):
+    """Documents packed the way cloud agents ship them, base64 over gzip, and unpacked again."""
+
+    @F.pandas_udf(T.StringType())
+    def pack(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: base64.b64encode(gzip.compress(x.encode(), mtime=0)).decode())
+
+    simple = (~F.col("text").rlike(r"[%\\]") & (F.length(F.trim("text")) > 3) & ~F.trim("text").rlike(r"^[A-Za-z0-9+/=\s]+$")
+              & ~F.col("text").rlike(r"[^\x20-\x7e\n\xa1-\u024f]"))
+    docs = t.table("documents").where(simple).select("doc_id", pack("text").alias("packed"))
+    out = D.decode_payloads(docs, "packed")
+    return out.select("doc_id", F.sha2("decoded", 256).alias("decoded_hash"), F.array_join("decoding_chain", ",").alias("chain"))
+
+
+@query("decode_documents", "SELECT doc_id, '' AS chain, length(text) AS n_decoded FROM documents")
 def _(t):
     """Documents as they are: which layers does the chain driver find in whole texts."""
     out = D.decode_payloads(t.table("documents").select("doc_id", "text"), "text")

@@ -43,12 +43,15 @@ def run(
     typed = classify.classify_log_type(parsed).withColumn(
         "event_type", F.lower(F.trim("event_type"))).withColumn("t", micros(F.col("ts")))
     unique = typed if count_duplicates else ingest.drop_duplicate_events(typed, ["event_id"])
-    compiled = [r for table in (rule_table, rules.web_rules(spark)) for r in rules.load_rules(table) or []]
-    ruled = rules.pattern_rules(unique, compiled)
-    seen = written(detect(ruled).withColumns({n: F.col("metadata")[n] for n in WEB_FIELDS}).drop("parsed"), "events")
-    counted = rules.threshold_rules(seen, compiled, "event_id", "t")
-    if counted is not None:
-        seen = written(rules.with_threshold_matches(seen, counted, "event_id"), "events")
+    stored_rules = rules.load_rules(rule_table)
+    if stored_rules is None:
+        raise ValueError("too many rules for expressions: match them with rules.rule_theta_join")
+    ruled = rules.pattern_rules(unique, stored_rules)
+    ruled = rules.pattern_rules(ruled, rules.load_rules(rules.web_rules(spark)), out="web_matches")
+    fields = {n: F.col("metadata")[n] for n in WEB_FIELDS}
+    seen = written(detect(ruled).withColumns(fields).drop("parsed"), "events")
+    counted = rules.threshold_rules(seen, stored_rules, "event_id", "t")
+    seen = written(rules.with_threshold_matches(seen, counted, "event_id", last="web_matches"), "events")
     found = written(correlate.all_matches(seen, widths), "matches")
     matches = written(correlate.surviving(found, widths), "correlations")
     # at most one match per detector and event
