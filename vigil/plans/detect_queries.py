@@ -346,7 +346,15 @@ def _(t):
     return out.select("event_id", "related_user", "related_source_ip", "event_count", "first_seen", "severity")
 
 
-@query("corr_close_reset")
+CLOSED = f"""ctl AS (SELECT 'failed_login_burst:' || usr || ':' || source_ip AS key, t FROM snap WHERE k % 50 = 7 AND usr IS NOT NULL AND source_ip IS NOT NULL),
+  cm AS (SELECT event_id, key, t, least(d, coalesce((SELECT min(c.t) FROM ctl c WHERE c.key = x.key AND c.t >= x.t), d)) AS d FROM
+    (SELECT event_id, 'failed_login_burst:' || usr || ':' || source_ip AS key, t, first_seen + {12 * HOUR} AS d FROM burst) x),
+  cn AS (SELECT a.event_id, arg_min(b.event_id, b.t) AS next_id FROM cm a JOIN cm b ON a.key = b.key AND a.d < b.t GROUP BY a.event_id),
+  up AS (SELECT arg_min(event_id, t) AS event_id FROM cm GROUP BY key UNION ALL SELECT next_id FROM up JOIN cn USING (event_id))"""
+
+
+@query("corr_close_reset", oracle("""SELECT m.key, m.event_id, arg_max(a.event_id, a.t) AS anchor, m.event_id IN (SELECT event_id FROM up) AS fires
+  FROM cm m JOIN (SELECT cm.* FROM cm JOIN up USING (event_id)) a ON a.key = m.key AND a.t <= m.t GROUP BY m.key, m.event_id""", BURST, CLOSED, recursive=True))
 def _(t):
     """An analyst closes the correlation of a user's key at every 50th event: the key fires again at once."""
     control = t.snapshot.where("k % 50 = 7 and `user` is not null and source_ip is not null").select(
