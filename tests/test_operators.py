@@ -245,14 +245,26 @@ def test_pipeline(spark):
     rows += [log(20, source="auth", message="no type"), log(21, source="auth", message="no type"),
              log(22, source="zzz", event_type="odd", message="thing"),
              log(23, source="win", event_type="e", message="m", record_number=5), log(24, source="win", event_type="e", message="m", record_number=5)]
+    rows += [log(30, source="gw", event_type="raw", message="CEF:0|Acme|FW|1|T1|Hit|9|src=10.9.9.9 suser=eve rt=1767268800000"),
+             log(31, event_type="raw", message="<Event><System><Provider Name=\"P\"/><EventID>4625</EventID><Computer>PC</Computer></System>"
+                 "<EventData><Data Name=\"IpAddress\">10.8.8.8</Data></EventData></Event>")]
     raw = spark.createDataFrame(rows, "event_id bigint, received string, raw string").withColumn("received", F.to_timestamp("received"))
     out = pipeline.run(raw, rules.default_rules(spark), notify.default_policies(spark), 2026)
     assert [(r.quarantined_count, r.rejection_reason) for r in out.quarantine.collect()] == [(2, "Missing required event_type")]
-    assert [(r.source, r.collector_name) for r in out.unknown.collect()] == [("win", "win_collector"), ("zzz", "zzz_collector")] or \
-        {r.source for r in out.unknown.collect()} == {"win", "zzz"}
-    assert out.events.count() == 10
+    assert {(r.source, r.collector_name) for r in out.unknown.collect()} == {("win", "win_collector"), ("zzz", "zzz_collector")}
+    events = {r.event_id: r for r in out.events.collect()}
+    assert len(events) == 12
+    cef, xml = events[30], events[31]
+    assert (cef.source, cef.event_type, cef.severity, cef.source_ip, cef.user, cef.t) == (
+        "cef-acme-fw", "cef_t1", "critical", "10.9.9.9", "eve", 1767268800000000)
+    assert (cef.detected_format, cef.metadata["vendor"], cef.detection.severity) == ("cef", "Acme", "critical")
+    assert (xml.source, xml.event_type, xml.source_ip, xml.host, xml.log_type, xml.log_subtype) == (
+        "P", "windows_event_4625", "10.8.8.8", "PC", "windows_event", "authentication")
     assert [(r.correlation_type, r.event_count) for r in out.correlations.collect()] == [("failed_login_burst", 6)]
-    alert = out.alerts.collect()
-    assert [(a.alert_type, a.severity, a.alert_id, a.occurrence_count) for a in alert] == [("correlation", "high", "ALT-20260101-0001", 1)]
-    assert [r.incident_id for r in out.incidents.collect()] == ["INC-20260101-0001"]
-    assert [(r.status, r.recipient_group) for r in out.notifications.collect()] == [("delivered", "High Severity Policy")]
+    alert = {a.alert_type: a for a in out.alerts.collect()}
+    assert set(alert) == {"correlation", "detection"}
+    burst = alert["correlation"]
+    assert (burst.severity, burst.occurrence_count, burst.alert_title) == ("high", 1, "Correlation Match: failed_login_burst")
+    assert {a.alert_id for a in alert.values()} == {"ALT-20260101-0001", "ALT-20260101-0002"}
+    assert {r.incident_id for r in out.incidents.collect()} == {"INC-20260101-0001", "INC-20260101-0002"}
+    assert sorted(r.recipient_group for r in out.notifications.collect()) == ["Critical Severity Policy", "High Severity Policy"]

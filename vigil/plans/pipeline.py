@@ -12,6 +12,9 @@ from vigil.operators import alerts, classify, correlate, formats, incidents, ing
 from vigil.operators.detect import detect
 from vigil.streaming.storage import written
 
+PARSE_FIELDS = [
+    "detected_format", "parsing_confidence", "decoding_chain", "event_fingerprint", "log_type", "log_subtype", "confidence", "reason",
+]
 WEB_FIELDS = ["http_method", "request_uri", "status_code", "user_agent"]
 
 
@@ -33,15 +36,20 @@ def run(
     """``raw`` has event_id, received (timestamp) and raw (JSON text).
 
     Duplicates are removed before rules and windows see them; ``count_duplicates`` lets them advance the windows instead.
-    The normalized events and the alert occurrences are read several times, so both are written once.
+    Tables that several later steps read (parsed events, normalized events, matches, occurrences) are written once.
     """
     spark = raw.sparkSession
     passed, held = ingest.route(ingest.validate(ingest.with_fields(raw)))
-    normal = ingest.normalize(passed, F.col("received"), keep=["event_id"])
-    normal = normal.withColumn("timestamp", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
-    parsed = formats.merge_parsed(formats.parse_logs(normal, "message", year))
-    typed = classify.classify_log_type(parsed).withColumn(
-        "event_type", F.lower(F.trim("event_type"))).withColumn("t", micros(F.col("ts")))
+    declared = {n: F.col("fields")[n] for n in ("source", "event_type", "timestamp", "message")}
+    parsed = formats.merge_into_fields(formats.parse_logs(passed.withColumns(declared), "message", year))
+    merged = parsed.drop("parsed", "decoded", *declared).withColumns(
+        {
+            **{n: F.col("fields")[n] for n in ("source", "event_type", "message")},
+            "metadata": F.from_json(F.col("fields")["metadata"], ingest.MAP),
+        }
+    )
+    classified = written(classify.classify_log_type(merged), "classified")
+    typed = ingest.normalize(classified, F.col("received"), keep=["event_id", *PARSE_FIELDS]).withColumn("t", micros(F.col("ts")))
     unique = typed if count_duplicates else ingest.drop_duplicate_events(typed, ["event_id"])
     stored_rules = rules.load_rules(rule_table)
     if stored_rules is None:
@@ -49,7 +57,7 @@ def run(
     ruled = rules.pattern_rules(unique, stored_rules)
     ruled = rules.pattern_rules(ruled, rules.load_rules(rules.web_rules(spark)), out="web_matches")
     fields = {n: F.col("metadata")[n] for n in WEB_FIELDS}
-    seen = written(detect(ruled).withColumns(fields).drop("parsed"), "events")
+    seen = written(detect(ruled).withColumns(fields), "events")
     counted = rules.threshold_rules(seen, stored_rules, "event_id", "t")
     seen = written(rules.with_threshold_matches(seen, counted, "event_id", last="web_matches"), "events")
     found = written(correlate.all_matches(seen, widths), "matches")
@@ -64,7 +72,7 @@ def run(
     told = occurrences.select("event_id", "t", "alert_fingerprint", F.col("alert_severity").alias("severity"))
     return Tables(
         quarantine=ingest.quarantine(held, ["event_id"]),
-        unknown=ingest.unknown_logs(seen, ["event_id"]),
+        unknown=ingest.unknown_logs(classified.withColumn("ts", F.col("received")), ["event_id"]),
         events=seen,
         correlations=matches,
         alerts=stored,

@@ -437,11 +437,11 @@ def _(t):
 
 @query("notify_daily_metrics", oracle("""SELECT strftime(make_timestamp(t), '%Y-%m-%d') AS metric_date, count(*) FILTER (k % 5 = 0) AS total_sent,
   count(*) FILTER (k % 5 = 1) AS total_failed, count(*) FILTER (k % 5 = 2) AS total_suppressed, count(*) FILTER (k % 5 = 3) AS total_escalated,
-  count(*) FILTER (k % 5 = 4) AS total_retried, coalesce(round(avg(value) FILTER (k % 5 = 0), 4), 0) AS avg_delivery_time_seconds FROM snap GROUP BY 1"""))
+  count(*) FILTER (k % 5 = 4) AS total_retried, coalesce(avg(CAST(floor(value) AS BIGINT)) FILTER (k % 5 = 0), 0) AS avg_delivery_time_seconds FROM snap GROUP BY 1"""))
 def _(t):
     outcomes = ["sent", "failed", "suppressed", "escalated", "retried"]
-    h = t.snapshot.select("t", F.get(F.array(*map(F.lit, outcomes)), F.col("k") % 5).alias("outcome"), F.col("value").alias("delivery_seconds"))
-    return M.daily_metrics(h).withColumn("avg_delivery_time_seconds", F.round("avg_delivery_time_seconds", 4))
+    h = t.snapshot.select("t", F.get(F.array(*map(F.lit, outcomes)), F.col("k") % 5).alias("outcome"), F.floor("value").alias("delivery_seconds"))
+    return M.daily_metrics(h)
 
 
 @query("notify_context", oracle(f"""SELECT notification_id, alert_id, CASE escalation_level WHEN 0 THEN 'NEW' ELSE 'ESCALATED' END AS tag,
