@@ -4,6 +4,7 @@ from vigil.plans import (  # noqa: F401
     detect_queries,
     ingest_queries,
     parse_queries,
+    pipeline_queries,
     port_queries,
     response_queries,
 )
