@@ -341,8 +341,13 @@ def _(t):
 @query("corr_survivors", oracle("SELECT event_id, usr AS related_user, source_ip AS related_source_ip, n AS event_count, first_seen, 'high' AS severity FROM burst "
        "WHERE event_id IN (SELECT event_id FROM alive)", BURST, SURVIVORS, recursive=True))
 def _(t):
-    """Flagship: scan, normalize, match, trailing window, suppression, alert rows."""
-    out = X.surviving(detector(t, "failed_login_burst"), {"failed_login_burst": 12 * HOUR})
+    return login_survivors(t, 12)
+
+
+def login_survivors(t, hours):
+    """Scan, trailing window per user and address, suppression of repeats, alert rows."""
+    found = X.failed_login_burst(t.events, width=hours * HOUR)
+    out = X.surviving(found, {"failed_login_burst": hours * HOUR})
     return out.select("event_id", "related_user", "related_source_ip", "event_count", "first_seen", "severity")
 
 
