@@ -10,6 +10,7 @@ from vigil.operators import detect as D
 from vigil.operators import rules as R
 from vigil.plans.adapters import HOUR, oracle
 from vigil.plans.registry import query
+from vigil.streaming.storage import written
 
 SQLI = "|".join(fx.SQL_INJECTION_PATTERNS).replace("'", "''")
 TRAVERSAL = "|".join(fx.PATH_TRAVERSAL_PATTERNS)
@@ -346,7 +347,7 @@ def _(t):
 
 def login_survivors(t, hours):
     """Scan, trailing window per user and address, suppression of repeats, alert rows."""
-    found = X.failed_login_burst(t.events, width=hours * HOUR)
+    found = written(X.failed_login_burst(t.events, width=hours * HOUR), "matches")
     out = X.surviving(found, {"failed_login_burst": hours * HOUR})
     return out.select("event_id", "related_user", "related_source_ip", "event_count", "first_seen", "severity")
 
