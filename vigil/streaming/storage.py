@@ -2,25 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-_LOCAL: list[str] = []
-
-
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach, as the cluster names it. In local mode without a setting a temporary one."""
+    """The folder every executor can reach, as the cluster names it; without a setting one in the warehouse, which is shared too."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if not _LOCAL:
-        _LOCAL.append(tempfile.mkdtemp(prefix="vigil-"))
-    return _LOCAL[0]
+    return configured or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_steps"
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
