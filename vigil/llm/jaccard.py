@@ -15,7 +15,7 @@ those that links don't connect already. A region of few members joins them direc
 pivots, and so on until no region has unconnected members left. Nothing is capped: the result is exact.
 
 *Cost.* The order of shingles comes from counts over the whole corpus in a table of fixed size. Before two sets are
-fetched, 1,024-bit parity sketches bound their symmetric difference from below. Equal sets are one class from the start, and a task
+fetched, parity sketches of at least twice as many bits bound their symmetric difference from below. Equal sets are one class from the start, and a task
 sends each class once. The members of a region that the counts show to be large are dealt over several tasks with a pivot each; the
 pivots of its parts are measured against each other.
 
@@ -42,9 +42,12 @@ WORDS = 5
 PERCENT = 75
 RADIUS = 1 - PERCENT / 100
 COUNTERS = 1 << 18
+#: A sketch has so many bits at least.
 SKETCH_BITS = 1024
 #: A region up to this size joins its members directly.
 LEAF = 256
+#: Sets that are measured against a pivot in one place, about.
+TOGETHER = 500
 #: Pivots of a larger region in each round, about.
 PIVOTS = 16
 #: Members of a region that go to one task, about, when the counts show that it is large.
@@ -66,11 +69,20 @@ def shingles(text: bytes) -> np.ndarray:
 
 
 def sketch(found: np.ndarray) -> bytes:
-    """Parity of the number of shingles in each of ``SKETCH_BITS`` cells."""
-    cells = np.bincount((found & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    """Parity of the number of shingles in each of at least twice as many cells, a power of two."""
+    bits = max(SKETCH_BITS, 1 << (2 * len(found) - 1).bit_length()) if len(found) else SKETCH_BITS
+    cells = np.bincount((found & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(cells.astype(np.uint8)).tobytes()
 
 
+def differing(x: bytes, y: bytes) -> int:
+    """Cells in which two sketches differ: no more than there are shingles in one set only. The longer one is folded."""
+    a, b = sorted((np.frombuffer(x, dtype=np.uint8), np.frombuffer(y, dtype=np.uint8)), key=len)
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum(dtype=np.int64))
+
+
 def class_id(found: np.ndarray) -> int:
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(found.tobytes()))))
 
@@ -168,11 +180,7 @@ def near_sketches(pairs: DataFrame) -> DataFrame:
 
     def keep(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            a = np.frombuffer(b"".join(batch.column("data").to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1)
-            b = np.frombuffer(b"".join(batch.column("other").to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1)
-            apart = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+            apart = np.array([differing(x, y) for x, y in zip(batch.column("data").to_pylist(), batch.column("other").to_pylist(), strict=True)], dtype=np.int64)
             total = batch.column("n").to_numpy(zero_copy_only=False) + batch.column("m").to_numpy(zero_copy_only=False)
             fits = (100 + PERCENT) * apart <= (100 - PERCENT) * total
             yield batch.select(["a", "b", "i", "j"]).filter(pa.array(fits, pa.bool_()))
@@ -184,38 +192,51 @@ def distances(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
     """Pairs of classes ``a``, ``b`` that sizes and sketches don't tell apart: their distance ``d`` and whether they ``link``.
 
     ``classes``: c, n, data and the id of a document of each. The sets are computed again, from the texts of the documents
-    that are still in question.
+    that are still in question, and sent to where the pivot ``a`` goes: one place, or several if many are to be
+    measured against it.
     """
     one = classes.select(F.col("c").alias("a"), "n", "data", F.col("doc_id").alias("i"))
     two = classes.select(F.col("c").alias("b"), F.col("n").alias("m"), F.col("data").alias("other"), F.col("doc_id").alias("j"))
     sized = pairs.join(one, "a").join(two, "b").where(sizes_fit("n", "m"))
     asked = written(near_sketches(sized), "pairs")
-    ids = written(asked.select(F.col("i").alias("doc_id")).union(asked.select("j")).distinct(), "ids")
+    places = F.ceil(F.col("k") / TOGETHER).cast("int")
+    pivots = written(asked.groupBy("a", "i").agg(F.count("*").alias("k")).select("a", "i", places.alias("places")), "pivots")
+    others = asked.join(pivots.select("a", "places"), "a").select(F.col("j").alias("doc_id"), "a", F.pmod(F.xxhash64("b"), "places").cast("int").alias("place"))
+    selves = pivots.select(F.col("i").alias("doc_id"), "a", F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("place"))
+    sent = others.union(selves).groupBy("doc_id").agg(F.collect_set(F.struct("a", "place")).alias("to"))
+    sent = written(sent.select("doc_id", F.col("to.a").alias("pivots"), F.col("to.place").alias("places")), "sent")
 
     def sets(batches):
         for batch in batches:
-            found = [shingles(t) for t in as_bytes(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([class_id(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], ["c", "set"]
-            )
-
-    known = written(docs.join(ids, "doc_id").mapInArrow(sets, "c long, set binary").dropDuplicates(["c"]), "sets")
+            for text, to, at in zip(as_bytes(batch.column("text")), batch.column("pivots").to_pylist(), batch.column("places").to_pylist(), strict=True):
+                found = shingles(text)
+                c, data = class_id(found), found.tobytes()
+                for k in range(0, len(to), 100):
+                    p = to[k : k + 100]
+                    columns = [pa.array(p, pa.int64()), pa.array(at[k : k + 100], pa.int32()), pa.array([x == c for x in p], pa.bool_()), pa.array([c] * len(p), pa.int64())]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array([data] * len(p), pa.binary())], ["a", "place", "self", "b", "set"])
 
     def compare(batches):
+        pivot, own = None, np.zeros(0, np.uint64)
         for batch in batches:
-            d, link = [], []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                both = np.concatenate((np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)))
-                both.sort(kind="stable")
-                shared = int((both[1:] == both[:-1]).sum())
-                union = len(both) - shared
-                d.append(1 - shared / union)
-                link.append(100 * shared >= PERCENT * union)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(d, pa.float64()), pa.array(link, pa.bool_())], ["a", "b", "d", "link"])
+            out = []
+            for a, self, b, data in zip(*(batch.column(x).to_pylist() for x in ("a", "self", "b", "set")), strict=True):
+                found = np.frombuffer(data, dtype=np.uint64)
+                if self:
+                    pivot, own = a, found
+                elif a == pivot:
+                    both = np.concatenate((own, found))
+                    both.sort(kind="stable")
+                    shared = int((both[1:] == both[:-1]).sum())
+                    union = len(both) - shared
+                    out.append((a, b, 1 - shared / union, 100 * shared >= PERCENT * union))
+            columns = list(zip(*out, strict=True)) or [()] * 4
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], ["a", "b", "d", "link"])
 
     return (
-        asked.select("a", "b").join(known.select(F.col("c").alias("a"), F.col("set").alias("x")), "a")
-        .join(known.select(F.col("c").alias("b"), F.col("set").alias("y")), "b")
+        docs.join(sent, "doc_id").select("text", "pivots", "places").mapInArrow(sets, "a long, place int, self boolean, b long, set binary")
+        .repartition(partitions(docs.sparkSession), "a", "place").sortWithinPartitions("a", "place", F.desc("self"))
         .mapInArrow(compare, "a long, b long, d double, link boolean")
     )
 
@@ -241,29 +262,30 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
     part = Window.partitionBy("s", "part")
     members = (
         memberships(docs, level, parts).repartition(partitions(spark), "s", "part")
-        .withColumn("p", F.min("c").over(part)).withColumn("last", F.max("c").over(part))
-        .where("p <> last or dealt").select("s", "c", "p").distinct()
+        .withColumn("p", F.min("c").over(part)).withColumn("last", F.max("c").over(part)).withColumn("size", F.count("*").over(part))
+        .where("p <> last or dealt").select("s", "c", "p", "dealt", (F.col("dealt") | (F.col("size") > 2)).alias("open")).distinct()
     )
     members = written(members, "members")
     # each member with the pivot of its part, and the pivots of a region's parts with the smallest of them
-    heads = members.select("s", "p").distinct()
+    heads = members.where("dealt").select("s", "p").distinct()
     first = heads.groupBy("s").agg(F.min("p").alias("head"))
     stars = members.select(*ordered("c", "p")).union(heads.join(first, "s").select(*ordered("p", "head"))).where("a <> b").distinct()
     tested = written(distances(stars, classes, docs), "distances")
     links = tested.where("link").select("a", "b")
     labels = components(links)
-    left = _unconnected(members, labels)
+    # a region of two has been done with: one of them was its pivot
+    left = _unconnected(members.where("open").select("s", "c", "p"), labels)
     while not left.isEmpty():
         to_pivot = tested.select(F.col("a").alias("c"), F.col("b").alias("p"), "d").union(tested.select("b", "a", "d"))
         size = left.groupBy("s").agg(F.count("*").alias("size"))
         sized = written(
             left.join(to_pivot.dropDuplicates(["c", "p"]), ["c", "p"], "left").withColumn("d", F.when(F.col("c") == F.col("p"), 0.0).otherwise(F.col("d")))
-            .join(size, "s"), "regions",
+            .join(size, "s").join(classes.select("c", "n"), "c"), "regions",
         )
         x = sized.where(F.col("size") <= LEAF)
-        y = x.select("s", F.col("c").alias("y"), F.col("label").alias("other"), F.col("d").alias("e"), F.col("p").alias("q"))
+        y = x.select("s", F.col("c").alias("y"), F.col("n").alias("m"), F.col("label").alias("other"), F.col("d").alias("e"), F.col("p").alias("q"))
         apart = F.coalesce((F.col("p") == F.col("q")) & (F.abs(F.col("d") - F.col("e")) > F.lit(RADIUS + 1e-9)), F.lit(False))
-        leaves = x.join(y, (x.s == y.s) & (x.c < y.y) & (x.label != y.other) & ~apart).select(F.col("c").alias("a"), F.col("y").alias("b"))
+        leaves = x.join(y, (x.s == y.s) & (x.c < y.y) & (x.label != y.other) & ~apart & sizes_fit("n", "m")).select(F.col("c").alias("a"), F.col("y").alias("b"))
         # a larger region: about PIVOTS of its members become the pivots that all others are measured against
         large = sized.where(F.col("size") > LEAF)
         chosen = F.pmod(F.xxhash64("c"), F.ceil(F.col("size") / PIVOTS)) == 0
@@ -288,11 +310,15 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
 
 def _unconnected(regions: DataFrame, labels: DataFrame, least: int = 3) -> DataFrame:
     """Members (``s``, ``c``, pivot ``p``) of regions with members of several components, with their ``label``. A region of
-    two has been done with when one of them was its pivot."""
+    two has been done with when one of them was its pivot. Of regions with the same members one is enough."""
     known = regions.join(labels.select(F.col("node").alias("c"), "component"), "c", "left").withColumn("label", F.coalesce("component", "c")).drop("component")
     known = written(known, "regions")
-    open_ = known.groupBy("s").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("k"))
-    return written(known.join(open_.where(F.col("low") != F.col("high")).where(F.col("k") >= least).select("s"), "s"), "regions")
+    of = known.groupBy("s").agg(
+        F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("k"),
+        F.bit_xor(F.xxhash64("c")).alias("x"), F.bit_xor(F.xxhash64("c", F.lit(1))).alias("y"),
+    )
+    open_ = of.where(F.col("low") != F.col("high")).where(F.col("k") >= least).groupBy("k", "x", "y").agg(F.min("s").alias("s"))
+    return written(known.join(open_.select("s"), "s"), "regions")
 
 
 @query("op6_jaccard_join")
