@@ -11,7 +11,7 @@ document is replicated. Each region then has a document pivot, its smallest memb
 
 *Windows.* All members are measured against the pivot. Those within the radius of it are linked. For the others d(x, p) - d(y, p)
 bounds d(x, y) from below, so only pairs whose distances to the pivot differ by no more than the radius are left, and only
-those that links don't connect already. A region of few members joins them directly; a larger one goes on with new document
+those that links don't connect already. A region of up to ``LEAF`` members joins them in one place; a larger one goes on with new document
 pivots, and so on until no region has unconnected members left. Nothing is capped: the result is exact.
 
 *Cost.* The order of shingles comes from counts over the whole corpus in a table of fixed size. Before two sets are
@@ -45,7 +45,7 @@ COUNTERS = 1 << 18
 #: A sketch has so many bits at least.
 SKETCH_BITS = 1024
 #: A region up to this size joins its members directly.
-LEAF = 256
+LEAF = 4_096
 #: Sets that are measured against a pivot in one place, about.
 TOGETHER = 500
 #: Pivots of a larger region in each round, about.
@@ -83,6 +83,12 @@ def differing(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(a ^ b).sum(dtype=np.int64))
 
 
+def shortened(data: bytes) -> bytes:
+    """A sketch folded to ``SKETCH_BITS``."""
+    x = np.frombuffer(data, dtype=np.uint8)
+    return np.bitwise_xor.reduce(x.reshape(-1, SKETCH_BITS // 8), axis=0).tobytes()
+
+
 def class_id(found: np.ndarray) -> int:
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(found.tobytes()))))
 
@@ -127,15 +133,15 @@ def measured(docs: DataFrame) -> DataFrame:
             if seen:
                 total += np.bincount(counter_of(np.concatenate(seen)), minlength=COUNTERS)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([-1] * len(sizes), pa.int32()), batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(marks, pa.binary())],
-                ["part", "doc_id", "n", "c", "data"],
+                [pa.array([-1] * len(sizes), pa.int32()), batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(marks, pa.binary()), pa.array([shortened(x) for x in marks], pa.binary())],
+                ["part", "doc_id", "n", "c", "data", "short"],
             )
         yield pa.RecordBatch.from_arrays(
-            [pa.array([0], pa.int32()), pa.array([0], pa.int64()), pa.array([0], pa.int64()), pa.array([0], pa.int64()), pa.array([total.tobytes()], pa.binary())],
-            ["part", "doc_id", "n", "c", "data"],
+            [pa.array([0], pa.int32()), pa.array([0], pa.int64()), pa.array([0], pa.int64()), pa.array([0], pa.int64()), pa.array([total.tobytes()], pa.binary()), pa.array([b""], pa.binary())],
+            ["part", "doc_id", "n", "c", "data", "short"],
         )
 
-    return docs.mapInArrow(measure, "part int, doc_id long, n long, c long, data binary")
+    return docs.mapInArrow(measure, "part int, doc_id long, n long, c long, data binary, short binary")
 
 
 def memberships(docs: DataFrame, level: np.ndarray, parts: np.ndarray) -> DataFrame:
@@ -244,6 +250,53 @@ def distances(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
 # ---- join
 
 
+def joined_regions(members: DataFrame, n: int) -> DataFrame:
+    """Pairs of members of a region (``s``, at most ``LEAF`` of them) that are in different components and that neither sizes, nor the
+    distances to their pivot, nor the short sketches tell apart."""
+
+    def pairs(region: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        c, n, label, d, p = (region[x] for x in ("c", "n", "label", "d", "p"))
+        marks = np.frombuffer(b"".join(region["short"]), dtype=np.uint64).reshape(len(c), -1)
+        names, of = np.unique(label, return_inverse=True)
+        most = np.bincount(of, minlength=len(names)).argmax()
+        outside = np.flatnonzero(of != most)  # pairs within the largest component need not be looked at
+        found = []
+        for begin in range(0, len(outside), 16):
+            i = outside[begin : begin + 16]
+            fits = (of[i][:, None] != of[None, :]) & ((of[None, :] == most) | (i[:, None] < np.arange(len(c))[None, :]))
+            fits &= 100 * np.minimum(n[i][:, None], n[None, :]) >= PERCENT * np.maximum(n[i][:, None], n[None, :])
+            with np.errstate(invalid="ignore"):
+                fits &= ~((p[i][:, None] == p[None, :]) & (np.abs(d[i][:, None] - d[None, :]) > RADIUS + 1e-9))
+            x, y = np.nonzero(fits)
+            apart = np.bitwise_count(marks[i[x]] ^ marks[y]).sum(axis=1, dtype=np.int64)
+            near = (100 + PERCENT) * apart <= (100 - PERCENT) * (n[i[x]] + n[y])
+            found.append((c[i[x[near]]], c[y[near]]))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (c[:0], c[:0])
+
+    def join(batches):
+        names = ["c", "n", "label", "d", "p"]
+        held = None
+        for batch in batches:
+            columns = {x: batch.column(x).to_numpy(zero_copy_only=False) for x in ("s", *names)} | {"short": np.array(batch.column("short").to_pylist(), dtype=object)}
+            if held is not None:
+                columns = {x: np.concatenate((held[x], columns[x])) for x in columns}
+            cuts = np.flatnonzero(columns["s"][1:] != columns["s"][:-1]) + 1
+            edges = [0, *cuts.tolist()]
+            out = [pairs({x: v[a:b] for x, v in columns.items()}) for a, b in zip(edges, edges[1:], strict=False)]
+            held = {x: v[edges[-1] :] for x, v in columns.items()}
+            if out:
+                yield packed(out)
+        if held is not None and len(held["s"]):
+            yield packed([pairs(held)])
+
+    def packed(out):
+        x, y = (np.concatenate(v) for v in zip(*out, strict=True))
+        found = np.unique(np.stack((np.minimum(x, y), np.maximum(x, y)), axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+
+    return members.repartition(n, "s").sortWithinPartitions("s").mapInArrow(join, "a long, b long").distinct()
+
+
 def ordered(x: str, y: str) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
@@ -257,7 +310,7 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
     parts = np.where(level > 0, np.maximum(1, counters // PART), 1).astype(np.uint64)
     own = seen.where("part = -1")
     # one document stands for all of a class
-    classes = written(own.where("n > 0").groupBy("c").agg(F.first("n").alias("n"), F.min("doc_id").alias("doc_id"), F.first("data").alias("data")), "classes")
+    classes = written(own.where("n > 0").groupBy("c").agg(F.first("n").alias("n"), F.min("doc_id").alias("doc_id"), F.first("data").alias("data"), F.first("short").alias("short")), "classes")
 
     part = Window.partitionBy("s", "part")
     members = (
@@ -280,12 +333,9 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
         size = left.groupBy("s").agg(F.count("*").alias("size"))
         sized = written(
             left.join(to_pivot.dropDuplicates(["c", "p"]), ["c", "p"], "left").withColumn("d", F.when(F.col("c") == F.col("p"), 0.0).otherwise(F.col("d")))
-            .join(size, "s").join(classes.select("c", "n"), "c"), "regions",
+            .join(size, "s").join(classes.select("c", "n", "short"), "c"), "regions",
         )
-        x = sized.where(F.col("size") <= LEAF)
-        y = x.select("s", F.col("c").alias("y"), F.col("n").alias("m"), F.col("label").alias("other"), F.col("d").alias("e"), F.col("p").alias("q"))
-        apart = F.coalesce((F.col("p") == F.col("q")) & (F.abs(F.col("d") - F.col("e")) > F.lit(RADIUS + 1e-9)), F.lit(False))
-        leaves = x.join(y, (x.s == y.s) & (x.c < y.y) & (x.label != y.other) & ~apart & sizes_fit("n", "m")).select(F.col("c").alias("a"), F.col("y").alias("b"))
+        leaves = joined_regions(sized.where(F.col("size") <= LEAF), partitions(spark))
         # a larger region: about PIVOTS of its members become the pivots that all others are measured against
         large = sized.where(F.col("size") > LEAF)
         chosen = F.pmod(F.xxhash64("c"), F.ceil(F.col("size") / PIVOTS)) == 0
