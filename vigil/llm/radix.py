@@ -6,8 +6,10 @@ place in it: equal suffixes have equal first digits, and neighbouring suffixes s
 
 Pass 1 deals stretches out by first digit and sorts them. A digit that occurs once ends there: its suffixes are unique. Within a
 digit, a stretch that occurs again as a whole is repeated, all but its first occurrence. The first occurrences of different
-stretches with one digit go on. Pass 2 deals out their single suffixes by all ``DEPTH`` bytes (a 128-bit hash) and sorts them;
-groups of equal ones are the repeated strings, and all but the first suffix of a group are repeats.
+stretches with one digit go on. Pass 2 does the same with a longer digit: of the bytes around the first one, a suffix has at least half before
+it or half behind it, so each stretch goes on as two, with those bytes added to the digit. Pass 3 takes all ``DEPTH`` bytes of single
+suffixes; groups of equal ones are the repeated strings, and all but the first suffix of a group are repeats. Digits and what
+follows them are compared by 64-bit hashes each, so equal means equal in 128 bits.
 
 A task first sorts what it has itself: of equal stretches or suffixes it sends only the first, and a digit that it has with
 several stretches is dealt out by stretch, with one mark under the digit. So no passage, however common, makes a
@@ -41,8 +43,11 @@ BLOCK = 1 << 20
 CHUNK = 32 << 20
 
 _PLACE = np.uint64((1 << 24) - 1)
-_COLUMNS = ["key", "digit", "s1", "s2", "doc_id", "at", "size", "kind"]
-_SCHEMA = "key long, digit long, s1 long, s2 long, doc_id long, at long, size int, kind int"
+_COLUMNS = ["key", "digit", "rest", "doc_id", "at", "shape"]
+_SCHEMA = "key long, digit long, rest long, doc_id long, at long, shape long"
+#: A row's shape: the size of the stretch below this, the place of its digit above it, and the kind of row above that.
+_SIZE = 1 << 16
+_KIND = 32
 #: kinds of rows: a stretch under its digit, one dealt out by stretch, a mark, a repeat that the task found itself
 STRETCH, DEALT, MARK, REPEAT = 0, 1, 2, 3
 
@@ -72,33 +77,26 @@ def _hashes(text: bytes, start: np.ndarray, end: np.ndarray, seed: np.ndarray) -
     return np.frombuffer(found, dtype=np.int64).reshape(-1, 2)
 
 
-def _batch(columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(columns, _COLUMNS)
-
-
 def _send(rows: list[tuple]) -> pa.RecordBatch:
-    """Sort a task's own rows (digit, s1, s2, doc_id, at, size): repeats within it are known, the rest is dealt out."""
-    digit, s1, s2, doc, at, size = (np.concatenate(x) for x in zip(*rows, strict=True))
-    order = np.lexsort((at, doc, s2, s1, digit))
-    digit, s1, s2, doc, at, size = (x[order] for x in (digit, s1, s2, doc, at, size))
+    """Sort a task's own rows (digit, rest, doc_id, at, size): repeats within it are known, what else there is is dealt out."""
+    digit, rest, doc, at, size = (np.concatenate(x) for x in zip(*rows, strict=True))
+    order = np.lexsort((at, doc, rest, digit))
+    digit, rest, doc, at, size = (x[order] for x in (digit, rest, doc, at, size))
     other = np.concatenate(([True], digit[1:] != digit[:-1]))
-    new = other | np.concatenate(([True], (s1[1:] != s1[:-1]) | (s2[1:] != s2[:-1])))
+    new = other | np.concatenate(([True], rest[1:] != rest[:-1]))
     first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
     once = new | (doc != doc[first]) | (at != at[first])  # the same place of an equal row is no repeat
-    digit, s1, s2, doc, at, size, other, new = (x[once] for x in (digit, s1, s2, doc, at, size, other, new))
+    digit, rest, doc, at, size, other, new = (x[once] for x in (digit, rest, doc, at, size, other, new))
     group = np.cumsum(other) - 1
     several = (np.bincount(group, weights=new) > 1)[group]
-    kind = np.where(~new, REPEAT, np.where(several, DEALT, STRETCH)).astype(np.int32)
-    key = np.where(kind == STRETCH, digit, np.where(kind == DEALT, s1, at * 31 + doc))
-    marks = other & several
-    zero = np.zeros(marks.sum(), dtype=np.int64)
-    both = lambda x, y: pa.array(np.concatenate((x, y)))
-    return _batch(
-        [
-            both(key, digit[marks]), both(digit, digit[marks]), both(s1, zero), both(s2, zero), both(doc, zero), both(at, zero),
-            both(size.astype(np.int32), zero.astype(np.int32)), both(kind, np.full(len(zero), MARK, dtype=np.int32)),
-        ]
-    )
+    kind = np.where(~new, REPEAT, np.where(several, DEALT, STRETCH))
+    key = np.where(kind == STRETCH, digit, np.where(kind == DEALT, rest, at * 31 + doc))
+    marked = digit[other & several]
+    zero = np.zeros(len(marked), dtype=np.int64)
+    # sent in the order of the texts: neighbouring ids and places compress well
+    back = np.argsort(order[once])
+    parts = ((key, marked), (digit, marked), (rest, zero), (doc, zero), (at, zero), (size + (kind << _KIND), zero + (MARK << _KIND)))
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate((x[back], y))) for x, y in parts], _COLUMNS)
 
 
 def _gathered(found):
@@ -125,42 +123,66 @@ def first_digits(docs: DataFrame, depth: int, digit: int) -> DataFrame:
             for doc, text in zip(batch.column("doc_id").to_pylist(), as_bytes(batch.column("text")), strict=True):
                 rows = []
                 for start, end, place, hashes in stretches(text, depth, digit):
-                    s = _hashes(text, start, end + depth, place - start)
-                    rows.append((hashes.view(np.int64), s[:, 0], s[:, 1], np.full(len(start), doc, dtype=np.int64), _at(text, start), end - start + 1))
+                    rest = _hashes(text, start, end + depth, place - start)
+                    size = end - start + 1 + (place - start) * _SIZE
+                    rows.append((hashes.view(np.int64), rest[:, 0], np.full(len(start), doc, dtype=np.int64), _at(text, start), size))
                 yield len(text), rows
 
     return docs.mapInArrow(lambda batches: _gathered(find(batches)), _SCHEMA)
 
 
+def _asked(batches):
+    """(doc_id, text, starts, sizes, places of the digit behind the starts)."""
+    for batch in batches:
+        for doc, text, places, sizes in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "places", "sizes")), strict=True):
+            shape = np.array(sizes, dtype=np.int64)
+            yield doc, text.encode(), np.array(places, dtype=np.int64), shape % _SIZE, shape // _SIZE
+
+
+def longer_digits(asked: DataFrame, depth: int, digit: int) -> DataFrame:
+    """The stretches that go on, in two: suffixes with at least half of what is around the digit before it, and the others."""
+    around = depth - digit
+    half = around // 2
+
+    def find(batches):
+        for doc, text, start, size, behind in _asked(batches):
+            place, end, rows = start + behind, start + size - 1, []
+            for side, (low, high, a, b) in enumerate(
+                ((start, np.minimum(end, place - half), place - half, place + digit), (np.maximum(start, place - half + 1), end, place, place + digit + around - half))
+            ):
+                some = low <= high
+                low, high, a, b, at = low[some], high[some], a[some], b[some], place[some]
+                more = _hashes(text, a, b, np.full(len(a), side))
+                rest = _hashes(text, low, high + depth, at - low)
+                rows.append((more[:, 0], rest[:, 0], np.full(len(low), doc, dtype=np.int64), _at(text, low), high - low + 1))
+            yield len(start) * 160, rows
+
+    return asked.mapInArrow(lambda batches: _gathered(find(batches)), _SCHEMA)
+
+
 def suffixes(asked: DataFrame, depth: int) -> DataFrame:
-    """Single suffixes of the stretches that go on. ``asked``: doc_id, text, places and sizes."""
+    """Single suffixes of the stretches that go on."""
 
     def find(batches):
-        for batch in batches:
-            for doc, text, places, sizes in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "places", "sizes")), strict=True):
-                text, rows = text.encode(), []
-                for place, size in zip(places, sizes, strict=True):
-                    start = np.arange(place, place + size)
-                    s = _hashes(text, start, start + depth, np.zeros_like(start))
-                    # a group of equal suffixes is one digit
-                    rows.append((s[:, 0], s[:, 0], s[:, 1], np.full(size, doc, dtype=np.int64), _at(text, start), np.ones(size, dtype=np.int64)))
-                yield sum(sizes) * 16, rows
+        for doc, text, places, sizes, _ in _asked(batches):
+            start = np.concatenate([np.arange(p, p + n) for p, n in zip(places.tolist(), sizes.tolist(), strict=True)])
+            s = _hashes(text, start, start + depth, np.zeros_like(start))
+            yield len(start) * 32, [(s[:, 0], s[:, 1], np.full(len(start), doc, dtype=np.int64), _at(text, start), np.ones(len(start), dtype=np.int64))]
 
     return asked.mapInArrow(lambda batches: _gathered(find(batches)), _SCHEMA)
 
 
 def decided(sent: DataFrame, n: int) -> DataFrame:
     """Of each stretch: whether it is a ``repeat``; those that are neither that nor unique go on."""
-    digit = Window.partitionBy("key", "digit").orderBy("s1", "s2", "doc_id", "at")
+    digit = Window.partitionBy("key", "digit").orderBy("rest", "doc_id", "at")
     whole = digit.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    equal = Window.partitionBy("key", "digit", "s1", "s2").orderBy("doc_id", "at")
-    own = F.struct("doc_id", "at")
-    several = (F.first("s1").over(whole) != F.last("s1").over(whole)) | (F.first("s2").over(whole) != F.last("s2").over(whole))
+    equal = Window.partitionBy("key", "digit", "rest").orderBy("doc_id", "at")
+    kind = F.shiftright("shape", _KIND)
     found = (
-        sent.repartition(n, "key", "digit").withColumn("rank", F.rank().over(equal)).withColumn("several", several)
-        .where(F.col("kind") != MARK)
-        .withColumn("repeat", (F.col("kind") == REPEAT) | (F.col("rank") > 1))
-        .where("repeat or several or kind = %d" % DEALT)
+        sent.repartition(n, "key", "digit").withColumn("rank", F.rank().over(equal))
+        .withColumn("several", F.first("rest").over(whole) != F.last("rest").over(whole))
+        .where(kind != MARK).withColumn("repeat", (kind == REPEAT) | (F.col("rank") > 1))
+        .where(F.col("repeat") | F.col("several") | (kind == DEALT)).withColumn("size", (F.col("shape") % F.lit(1 << _KIND)).cast("int"))
     )
     return found.select("doc_id", F.shiftright("at", 32).alias("crc"), F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).alias("place"), "size", "repeat")
 
@@ -174,10 +196,16 @@ def repeats(docs: DataFrame, depth: int = DEPTH, digit: int = DIGIT) -> DataFram
     null where there are none."""
     n = partitions(docs.sparkSession)
     one = written(decided(first_digits(docs, depth, digit), n), "stretches")
+    # one plan from here on: the texts are dealt out by document once and read three times
     dealt = docs.withColumn("crc", F.crc32(F.col("text").cast("binary")) - F.lit(1 << 31))
-    asked = dealt.join(per_text(one.where("not repeat")), ["doc_id", "crc"])
-    two = decided(suffixes(asked, depth), n).where("repeat")
-    return dealt.join(per_text(one.where("repeat").union(two)), ["doc_id", "crc"], "left").select("doc_id", "text", "places", "sizes")
+
+    def going_on(rows: DataFrame) -> DataFrame:
+        return dealt.join(per_text(rows.where("not repeat")), ["doc_id", "crc"])
+
+    two = decided(longer_digits(going_on(one), depth, digit), n)
+    three = decided(suffixes(going_on(two), depth), n)
+    found = one.union(two).union(three).where("repeat").withColumn("size", (F.col("size") % F.lit(_SIZE)).cast("int"))
+    return dealt.join(per_text(found), ["doc_id", "crc"], "left").select("doc_id", "text", "places", "sizes")
 
 
 def covered(places: list[int] | None, sizes: list[int] | None, depth: int) -> list[tuple[int, int]]:
