@@ -379,9 +379,9 @@ def jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without near copies: of each component the row with the smallest id stays, and one of equal rows.
+    """The rows of ``docs`` without near copies: of each component the rows with the smallest id stay.
     Rows without an id have no rank among others; they all stay."""
     short_batches(docs.sparkSession)
-    found = similarity_classes(texts(docs)).where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).join(found, "__id", "left_anti")
-    return kept.drop("__id")
+    gone = similarity_classes(texts(docs)).where("doc_id <> component_id").select("doc_id").distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"))
+    return rows.join(gone, "doc_id", "left_anti").select("row.*")

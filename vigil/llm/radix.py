@@ -276,13 +276,14 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                 kept = without(text, whole_signs(text, covered(places, sizes, DEPTH))).decode()
                 left.append(kept)
                 n.append(zlib.crc32(text) - (1 << 31))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(left, pa.string())], ["__id", "__crc", "__text"])
-
-    found = repeats(texts(docs)).where("places is not null").mapInArrow(cut, "__id long, __crc long, __text string").distinct()
-    keyed = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn(
-        "__crc", F.crc32(F.coalesce("text", F.lit("")).cast("binary")) - F.lit(1 << 31)
-    )
-    joined = keyed.join(found, ["__id", "__crc"], "left").withColumn("text", F.coalesce("__text", "text"))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(left, pa.string())], ["doc_id", "crc", "left"])
+
+    found = repeats(texts(docs)).where("places is not null").mapInArrow(cut, "doc_id long, crc long, left string").distinct()
+    rows = docs.select(
+        F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"),
+        (F.crc32(F.coalesce("text", F.lit("")).cast("binary")) - F.lit(1 << 31)).alias("crc"),
+    ).join(found, ["doc_id", "crc"], "left")
+    new = {"text": F.coalesce("left", "row.text")}
     if "n_chars" in docs.columns:
-        joined = joined.withColumn("n_chars", F.when(F.col("__text").isNotNull(), F.length("__text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return joined.select(*docs.columns)
+        new["n_chars"] = F.when(F.col("left").isNotNull(), F.length("left")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)
+    return rows.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])

@@ -30,7 +30,7 @@ GROUPS = 64
 #: Blocks moved to even out what the flow leaves, at most.
 TOUCHES = 5_000
 
-KEY = ["old", "power", "part"]
+ADDED = ["__size", "__crc", "__old", "__shard", "__slot", "__power", "__part", "__group", "__before", "__o", "__p", "__q"]
 
 
 def cheapest_flow(supply: list[int], demand: list[int], cost) -> dict[tuple[int, int], int]:
@@ -114,10 +114,10 @@ def transfers(blocks: list[tuple[tuple, int | None, int]], shards: int) -> dict[
 
 
 def resharded(docs: DataFrame, old: Column, shards: int = SHARDS) -> DataFrame:
-    """``docs`` with ``__size``, ``__crc``, ``__old`` and new ``__shard`` and ``__slot``."""
+    """``docs`` with ``__size``, ``__crc``, ``__old`` and new ``__shard`` and ``__slot``; columns of these names are replaced."""
     text = F.col("text").cast("binary")
     rows = docs.select(
-        "*", (F.coalesce(F.octet_length("text"), F.lit(0)) + F.lit(1)).cast("long").alias("__size"),
+        *[c for c in docs.columns if c not in ADDED], (F.coalesce(F.octet_length("text"), F.lit(0)) + F.lit(1)).cast("long").alias("__size"),
         F.coalesce(F.crc32(text), F.lit(0)).alias("__crc"), old.cast("int").alias("__old"),
     )
     spot = F.xxhash64(F.coalesce("doc_id", F.lit(0)), "__crc")
@@ -126,10 +126,10 @@ def resharded(docs: DataFrame, old: Column, shards: int = SHARDS) -> DataFrame:
     sizes = rows.groupBy(*keys).agg(F.sum("__size").alias("bytes")).collect()  # one row per block
     to = transfers([((r["__old"], r["__power"], r["__part"]), r["__old"], r["bytes"]) for r in sizes], shards)
     spark = docs.sparkSession
-    plan = spark.createDataFrame([(*k, j) for k, j in to.items()], "o int, p int, q int, __shard int")
-    same = F.col("__old").eqNullSafe(F.col("o")) & (F.col("__power") == F.col("p")) & (F.col("__part") == F.col("q"))
+    plan = spark.createDataFrame([(*k, j) for k, j in to.items()], "__o int, __p int, __q int, __shard int")
+    same = F.col("__old").eqNullSafe(F.col("__o")) & (F.col("__power") == F.col("__p")) & (F.col("__part") == F.col("__q"))
     # the plan has a row per block, which are bounded as said above
-    placed = rows.join(F.broadcast(plan), same).drop("o", "p", "q", "__power", "__part")
+    placed = rows.join(F.broadcast(plan), same).drop("__o", "__p", "__q", "__power", "__part")
     group = F.pmod(F.shiftright(spot, 8), F.lit(GROUPS)).cast("int")
     return numbered(placed.withColumn("__group", group))
 
