@@ -205,11 +205,11 @@ def alert_status(alerts: DataFrame, changes: DataFrame) -> DataFrame:
             F.max(F.when(F.col("status") == s, F.col("t"))).alias(f"{s}_at")
             for s in ("acknowledged", "resolved", "closed")
         ],
-        F.max("t").alias("updated_at"),
+        F.max("t").alias("updated_at"), F.max(F.struct("t", "seq")).alias("_last"),
     )
     # both spellings are resolved to the alert id before the join, an OR join would pair everything with everything
     by_number = state.where(F.col("alert_id").rlike("^[0-9]+$")).select(
-        F.col("alert_id").cast("bigint").alias("id"), *[F.col(c) for c in state.columns if c != "alert_id"]
+        F.col("alert_id").try_cast("bigint").alias("id"), *[F.col(c) for c in state.columns if c != "alert_id"]
     )
     numbers = alerts.select("id", "alert_id").join(by_number, "id").drop("id")
     merged = (
@@ -217,7 +217,7 @@ def alert_status(alerts: DataFrame, changes: DataFrame) -> DataFrame:
         .unionByName(numbers)
         .groupBy("alert_id")
         .agg(
-            F.max_by("_status", "updated_at").alias("_status"),
+            F.max_by("_status", "_last").alias("_status"),
             *[F.max(f"{s}_at").alias(f"{s}_at") for s in ("acknowledged", "resolved", "closed")],
             F.max("updated_at").alias("updated_at"),
         )

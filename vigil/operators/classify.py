@@ -54,7 +54,7 @@ def classify_log_type(df: DataFrame) -> DataFrame:
             src.contains("chrome") | kind.startswith("browser."),
             result(
                 "chrome_browser",
-                F.when(kind.isin("browser.url_visit", "browser.search", "browser.download"), F.substring(kind, 9, 20)),
+                F.when(kind.isin("browser.url_visit", "browser.search", "browser.download"), F.substring_index(kind, ".", -1)),
                 95,
                 "Source or event type matches Chrome browser log collector",
             ),

@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import binascii
 import codecs
+import gzip
 import re
 import zlib
 from urllib.parse import unquote
@@ -62,10 +63,10 @@ def _gzip(text):
         try:
             data = unwrap(text)
             if data and data[:2] == b"\x1f\x8b":
-                plain = zlib.decompress(data, wbits=31).decode("utf-8", errors="replace")
+                plain = gzip.decompress(data).decode("utf-8", errors="replace")
                 if _readable(plain[:200]):
                     return plain
-        except (ValueError, zlib.error):
+        except (ValueError, OSError, EOFError, zlib.error):
             continue
     return None
 

@@ -170,16 +170,13 @@ def drop_duplicate_events(df: DataFrame, order: list[str]) -> DataFrame:
     """First event per (source, host, event_type, record_number); events without a number are all kept.
 
     The earliest row is found with a map-side combined minimum, so a record that was delivered millions of times
-    does not gather its copies in one task. Missing keys compare equal.
+    does not gather its copies in one task. Missing keys compare equal, and rows without an order come first. The same
+    event delivered again is one row.
     """
-    rank = F.struct(*order)
     numbered = df.where("record_number is not null")
-    first = (
-        numbered.groupBy("source", "host", "event_type", "record_number")
-        .agg(F.min(rank).alias("_first"))
-        .select(*[F.col(f"_first.{c}").alias(c) for c in order])
-    )
-    return numbered.join(first, order, "left_semi").unionByName(df.where("record_number is null"))
+    row = F.min_by(F.struct(*df.columns), F.struct(*order)).alias("_row")
+    first = numbered.groupBy("source", "host", "event_type", "record_number").agg(row).select("_row.*")
+    return first.unionByName(df.where("record_number is null"))
 
 
 def container_event_key(action: Column, event_id: Column, nanos: Column, seconds: Column) -> Column:

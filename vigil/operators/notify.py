@@ -54,11 +54,11 @@ def notifications(alert_events: DataFrame, policies: DataFrame, width: int = 5 *
     )
 
 
-def with_policy(df: DataFrame, policies: DataFrame, limit: int = 10_000) -> DataFrame:
-    """Active policy per severity, or the defaults. The policy table is broadcast once its size is known to be small."""
-    active = policies.where("is_active").drop("is_active").dropDuplicates(["severity"])
-    if active.limit(limit + 1).count() <= limit:
-        active = F.broadcast(active)
+def with_policy(df: DataFrame, policies: DataFrame) -> DataFrame:
+    """Active policy per severity, of several the one whose name is the smallest, or the defaults."""
+    columns = [c for c in policies.columns if c not in ("is_active", "severity", "policy_name")]
+    best = F.min(F.struct("policy_name", *columns)).alias("_best")
+    active = policies.where("is_active").groupBy("severity").agg(best).select("severity", "_best.*")
     return df.join(active, "severity", "left").withColumns(
         {
             "initial_role": F.coalesce("initial_role", F.lit("analyst")),

@@ -23,13 +23,6 @@ def window_start(width: int) -> Column:
     return (F.floor(F.col("t") / width) * width).cast("bigint")
 
 
-def _pair_counts(conns: DataFrame, width: int) -> DataFrame:
-    """Events per window, port, address, remote port and state: the first, map-side combined reduction."""
-    return conns.groupBy(window_start(width).alias("win"), "port", "remote_ip", "remote_port", "state").agg(
-        F.count("*").alias("n")
-    )
-
-
 def connection_windows(conns: DataFrame, width: int = 60 * SECOND) -> DataFrame:
     """Per window and port: events, distinct (address, port) pairs, distinct addresses, and the traffic metric.
 
