@@ -174,8 +174,10 @@ def records(content: bytes):
 
 def trained(pages: DataFrame) -> bytes:
     """A dictionary from the beginnings of some pages; the fixed parts of a record where they are too few."""
-    sample = pages.orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLES).select(F.substring("html", 1, SAMPLE_CHARS).alias("x"))
-    found = [record(i, "http://", (r.x or "").encode(), None) for i, r in enumerate(sample.collect())]
+    # ids first: each task offers so many rows
+    chosen = [r.page_id for r in pages.select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLES).collect()]
+    beginnings = pages.where(F.col("page_id").isin(chosen)).select("page_id", F.substring("html", 1, SAMPLE_CHARS).alias("x")).limit(SAMPLES)
+    found = [record(r.page_id, "http://", r.x.encode(), None) for r in sorted(beginnings.collect())]
     try:
         return zstandard.train_dictionary(DICTIONARY, found).as_bytes()
     except zstandard.ZstdError:
@@ -185,7 +187,6 @@ def trained(pages: DataFrame) -> bytes:
 def archives(pages: DataFrame, least: int = LEAST) -> DataFrame:
     """``name`` and ``content`` of archives with a record per page. ``pages``: page_id, url, html."""
     short_batches(pages.sparkSession)
-    # the prefix bounds what the driver sees of a page
     rows = pages.select(
         F.coalesce(F.col("page_id").cast("long"), F.lit(NO_ID)).alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html")
     )
