@@ -43,11 +43,14 @@ BLOCK = 1 << 20
 CHUNK = 32 << 20
 
 _PLACE = np.uint64((1 << 24) - 1)
-_COLUMNS = ["key", "digit", "rest", "doc_id", "at", "shape"]
-_SCHEMA = "key long, digit long, rest long, doc_id long, at long, shape long"
-#: A row's shape: the size of the stretch below this, the place of its digit above it, and the kind of row above that.
+#: What neighbouring rows share stands together, and so does what they don't: ``head`` is kind of row and CRC of the text, ``spot`` the
+#: place in the text, size of the stretch and place of its digit.
+_COLUMNS = ["doc_id", "head", "digit", "rest", "spot"]
+_SCHEMA = "doc_id long, head long, digit long, rest long, spot long"
+#: In a task: the size of the stretch below this, the place of its digit above it.
 _SIZE = 1 << 16
 _KIND = 32
+_LOW = (1 << 32) - 1
 #: kinds of rows: a stretch under its digit, one dealt out by stretch, a mark, a repeat that the task found itself
 STRETCH, DEALT, MARK, REPEAT = 0, 1, 2, 3
 
@@ -77,7 +80,7 @@ def _hashes(text: bytes, start: np.ndarray, end: np.ndarray, seed: np.ndarray) -
     return np.frombuffer(found, dtype=np.int64).reshape(-1, 2)
 
 
-def _send(rows: list[tuple]) -> pa.RecordBatch:
+def _send(rows: list[tuple], depth: int) -> pa.RecordBatch:
     """Sort a task's own rows (digit, rest, doc_id, at, size): repeats within it are known, what else there is is dealt out."""
     digit, rest, doc, at, size = (np.concatenate(x) for x in zip(*rows, strict=True))
     order = np.lexsort((at, doc, rest, digit))
@@ -90,26 +93,27 @@ def _send(rows: list[tuple]) -> pa.RecordBatch:
     group = np.cumsum(other) - 1
     several = (np.bincount(group, weights=new) > 1)[group]
     kind = np.where(~new, REPEAT, np.where(several, DEALT, STRETCH))
-    key = np.where(kind == STRETCH, digit, np.where(kind == DEALT, rest, at * 31 + doc))
+    head = (kind << _KIND) + (at >> 32) + (1 << 31)
+    spot = ((at & _LOW) * (depth + 1) + size % _SIZE) * (depth + 1) + size // _SIZE
     marked = digit[other & several]
     zero = np.zeros(len(marked), dtype=np.int64)
     # sent in the order of the texts: neighbouring ids and places compress well
     back = np.argsort(order[once])
-    parts = ((key, marked), (digit, marked), (rest, zero), (doc, zero), (at, zero), (size + (kind << _KIND), zero + (MARK << _KIND)))
+    parts = ((doc, zero), (head, zero + (MARK << _KIND)), (digit, marked), (rest, zero), (spot, zero))
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate((x[back], y))) for x, y in parts], _COLUMNS)
 
 
-def _gathered(found):
+def _gathered(found, depth: int):
     """Send rows in chunks; ``found`` yields (bytes of text, rows)."""
     rows, held = [], 0
     for size, new in found:
         rows += new
         held += size
         if held >= CHUNK and rows:
-            yield _send(rows)
+            yield _send(rows, depth)
             rows, held = [], 0
     if rows:
-        yield _send(rows)
+        yield _send(rows, depth)
 
 
 def _at(text: bytes, place: np.ndarray) -> np.ndarray:
@@ -128,7 +132,7 @@ def first_digits(docs: DataFrame, depth: int, digit: int) -> DataFrame:
                     rows.append((hashes.view(np.int64), rest[:, 0], np.full(len(start), doc, dtype=np.int64), _at(text, start), size))
                 yield len(text), rows
 
-    return docs.mapInArrow(lambda batches: _gathered(find(batches)), _SCHEMA)
+    return docs.mapInArrow(lambda batches: _gathered(find(batches), depth), _SCHEMA)
 
 
 def _asked(batches):
@@ -157,7 +161,7 @@ def longer_digits(asked: DataFrame, depth: int, digit: int) -> DataFrame:
                 rows.append((more[:, 0], rest[:, 0], np.full(len(low), doc, dtype=np.int64), _at(text, low), high - low + 1))
             yield len(start) * 160, rows
 
-    return asked.mapInArrow(lambda batches: _gathered(find(batches)), _SCHEMA)
+    return asked.mapInArrow(lambda batches: _gathered(find(batches), depth), _SCHEMA)
 
 
 def suffixes(asked: DataFrame, depth: int) -> DataFrame:
@@ -169,22 +173,30 @@ def suffixes(asked: DataFrame, depth: int) -> DataFrame:
             s = _hashes(text, start, start + depth, np.zeros_like(start))
             yield len(start) * 32, [(s[:, 0], s[:, 1], np.full(len(start), doc, dtype=np.int64), _at(text, start), np.ones(len(start), dtype=np.int64))]
 
-    return asked.mapInArrow(lambda batches: _gathered(find(batches)), _SCHEMA)
+    return asked.mapInArrow(lambda batches: _gathered(find(batches), depth), _SCHEMA)
 
 
-def decided(sent: DataFrame, n: int) -> DataFrame:
+def decided(sent: DataFrame, n: int, depth: int) -> DataFrame:
     """Of each stretch: whether it is a ``repeat``; those that are neither that nor unique go on."""
     digit = Window.partitionBy("key", "digit").orderBy("rest", "doc_id", "at")
     whole = digit.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     equal = Window.partitionBy("key", "digit", "rest").orderBy("doc_id", "at")
-    kind = F.shiftright("shape", _KIND)
+    kind, base = F.shiftright("head", _KIND), depth + 1
+    key = F.when(kind == DEALT, F.col("rest")).when(kind == REPEAT, F.xxhash64("doc_id", "spot")).otherwise(F.col("digit"))
+    # a row travels without what follows from the rest of it
+    dealt = sent.repartition(n, key, "digit").select(
+        "doc_id", "digit", "rest", key.alias("key"), kind.alias("kind"),
+        (F.shiftleft(F.col("head").bitwiseAND(F.lit(_LOW)) - F.lit(1 << 31), 32) + F.expr(f"spot div {base * base}L")).alias("at"),
+        (F.expr(f"spot div {base}L") % base + F.col("spot") % base * _SIZE).cast("int").alias("size"),
+    )
+    kind = F.col("kind")
     found = (
-        sent.repartition(n, "key", "digit").withColumn("rank", F.rank().over(equal))
+        dealt.withColumn("rank", F.rank().over(equal))
         .withColumn("several", F.first("rest").over(whole) != F.last("rest").over(whole))
         .where(kind != MARK).withColumn("repeat", (kind == REPEAT) | (F.col("rank") > 1))
-        .where(F.col("repeat") | F.col("several") | (kind == DEALT)).withColumn("size", (F.col("shape") % F.lit(1 << _KIND)).cast("int"))
+        .where(F.col("repeat") | F.col("several") | (kind == DEALT))
     )
-    return found.select("doc_id", F.shiftright("at", 32).alias("crc"), F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).alias("place"), "size", "repeat")
+    return found.select("doc_id", F.shiftright("at", 32).alias("crc"), F.col("at").bitwiseAND(F.lit(_LOW)).alias("place"), "size", "repeat")
 
 
 def per_text(rows: DataFrame) -> DataFrame:
@@ -195,15 +207,15 @@ def repeats(docs: DataFrame, depth: int = DEPTH, digit: int = DIGIT) -> DataFram
     """``docs`` (doc_id, text, from ``texts``) with ``places`` and ``sizes`` of the stretches of suffixes that also start earlier;
     null where there are none."""
     n = partitions(docs.sparkSession)
-    one = written(decided(first_digits(docs, depth, digit), n), "stretches")
+    one = written(decided(first_digits(docs, depth, digit), n, depth), "stretches")
     # one plan from here on: the texts are dealt out by document once and read three times
     dealt = docs.withColumn("crc", F.crc32(F.col("text").cast("binary")) - F.lit(1 << 31))
 
     def going_on(rows: DataFrame) -> DataFrame:
         return dealt.join(per_text(rows.where("not repeat")), ["doc_id", "crc"])
 
-    two = decided(longer_digits(going_on(one), depth, digit), n)
-    three = decided(suffixes(going_on(two), depth), n)
+    two = decided(longer_digits(going_on(one), depth, digit), n, depth)
+    three = decided(suffixes(going_on(two), depth), n, depth)
     found = one.union(two).union(three).where("repeat").withColumn("size", (F.col("size") % F.lit(_SIZE)).cast("int"))
     return dealt.join(per_text(found), ["doc_id", "crc"], "left").select("doc_id", "text", "places", "sizes")
 
