@@ -200,7 +200,12 @@ def decided(sent: DataFrame, n: int, depth: int) -> DataFrame:
 
 
 def per_text(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("doc_id", "crc").agg(F.collect_list("place").alias("places"), F.collect_list("size").alias("sizes"))
+    both = F.collect_list(F.shiftleft("place", 32) + F.col("size"))
+    lists = rows.groupBy("doc_id", "crc").agg(both.alias("both"))
+    return lists.select(
+        "doc_id", "crc", F.transform("both", lambda x: F.shiftright(x, 32)).alias("places"),
+        F.transform("both", lambda x: x.bitwiseAND(F.lit(_LOW)).cast("int")).alias("sizes"),
+    )
 
 
 def repeats(docs: DataFrame, depth: int = DEPTH, digit: int = DIGIT) -> DataFrame:
