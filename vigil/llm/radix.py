@@ -28,6 +28,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -135,12 +136,31 @@ def first_digits(docs: DataFrame, depth: int, digit: int) -> DataFrame:
     return docs.mapInArrow(lambda batches: _gathered(find(batches), depth), _SCHEMA)
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``crc`` and the text as one Zstandard frame: texts are dealt out by document, and only the tasks that cut them read them."""
+
+    def pack(batches):
+        press = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            plain = as_bytes(batch.column("text"))
+            crc, frames = [zlib.crc32(x) - (1 << 31) for x in plain], [press.compress(x) for x in plain]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(crc, pa.int64()), pa.array(frames, pa.binary())], ["doc_id", "crc", "packed"])
+
+    return docs.mapInArrow(pack, "doc_id long, crc long, packed binary")
+
+
+def _plain(batch: pa.RecordBatch) -> list[bytes]:
+    unpack = zstandard.ZstdDecompressor()
+    return [unpack.decompress(x) for x in batch.column("packed").to_pylist()]
+
+
 def _asked(batches):
     """(doc_id, text, starts, sizes, places of the digit behind the starts)."""
     for batch in batches:
-        for doc, text, places, sizes in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "places", "sizes")), strict=True):
+        lists = (batch.column(c).to_pylist() for c in ("doc_id", "places", "sizes"))
+        for text, doc, places, sizes in zip(_plain(batch), *lists, strict=True):
             shape = np.array(sizes, dtype=np.int64)
-            yield doc, text.encode(), np.array(places, dtype=np.int64), shape % _SIZE, shape // _SIZE
+            yield doc, text, np.array(places, dtype=np.int64), shape % _SIZE, shape // _SIZE
 
 
 def longer_digits(asked: DataFrame, depth: int, digit: int) -> DataFrame:
@@ -208,13 +228,13 @@ def per_text(rows: DataFrame) -> DataFrame:
     )
 
 
-def repeats(docs: DataFrame, depth: int = DEPTH, digit: int = DIGIT) -> DataFrame:
-    """``docs`` (doc_id, text, from ``texts``) with ``places`` and ``sizes`` of the stretches of suffixes that also start earlier;
-    null where there are none."""
+def packed_repeats(docs: DataFrame, depth: int = DEPTH, digit: int = DIGIT) -> DataFrame:
+    """``docs`` (doc_id, text, from ``texts``), texts ``packed``, with ``places`` and ``sizes`` of the stretches of suffixes that also
+    start earlier; null where there are none."""
     n = partitions(docs.sparkSession)
     one = written(decided(first_digits(docs, depth, digit), n, depth), "stretches")
     # one plan from here on: the texts are dealt out by document once and read three times
-    dealt = docs.withColumn("crc", F.crc32(F.col("text").cast("binary")) - F.lit(1 << 31))
+    dealt = packed(docs)
 
     def going_on(rows: DataFrame) -> DataFrame:
         return dealt.join(per_text(rows.where("not repeat")), ["doc_id", "crc"])
@@ -222,7 +242,18 @@ def repeats(docs: DataFrame, depth: int = DEPTH, digit: int = DIGIT) -> DataFram
     two = decided(longer_digits(going_on(one), depth, digit), n, depth)
     three = decided(suffixes(going_on(two), depth), n, depth)
     found = one.union(two).union(three).where("repeat").withColumn("size", (F.col("size") % F.lit(_SIZE)).cast("int"))
-    return dealt.join(per_text(found), ["doc_id", "crc"], "left").select("doc_id", "text", "places", "sizes")
+    return dealt.join(per_text(found), ["doc_id", "crc"], "left").select("doc_id", "packed", "places", "sizes")
+
+
+def repeats(docs: DataFrame, depth: int = DEPTH, digit: int = DIGIT) -> DataFrame:
+    """``packed_repeats`` with the texts as such: doc_id, text, places, sizes."""
+
+    def unpack(batches):
+        for batch in batches:
+            text = pa.array([x.decode() for x in _plain(batch)], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), text, batch.column("places"), batch.column("sizes")], ["doc_id", "text", "places", "sizes"])
+
+    return packed_repeats(docs, depth, digit).mapInArrow(unpack, "doc_id long, text string, places array<long>, sizes array<int>")
 
 
 def covered(places: list[int] | None, sizes: list[int] | None, depth: int) -> list[tuple[int, int]]:
@@ -264,7 +295,7 @@ def radix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     def digest(batches):
         for batch in batches:
             size, gone, runs, kept = [], [], [], []
-            for text, places, sizes in zip(as_bytes(batch.column("text")), batch.column("places").to_pylist(), batch.column("sizes").to_pylist(), strict=True):
+            for text, places, sizes in zip(_plain(batch), batch.column("places").to_pylist(), batch.column("sizes").to_pylist(), strict=True):
                 found = covered(places, sizes, DEPTH)
                 size.append(len(text))
                 gone.append(sum(b - a for a, b in found))
@@ -275,7 +306,7 @@ def radix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                 ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
             )
 
-    found = repeats(texts(table(spark, sf_dir, "documents"))).mapInArrow(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    found = packed_repeats(texts(table(spark, sf_dir, "documents"))).mapInArrow(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return found.select(own_id(), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
@@ -289,13 +320,13 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     def cut(batches):
         for batch in batches:
             left, n = [], []
-            for text, places, sizes in zip(as_bytes(batch.column("text")), batch.column("places").to_pylist(), batch.column("sizes").to_pylist(), strict=True):
+            for text, places, sizes in zip(_plain(batch), batch.column("places").to_pylist(), batch.column("sizes").to_pylist(), strict=True):
                 kept = without(text, whole_signs(text, covered(places, sizes, DEPTH))).decode()
                 left.append(kept)
                 n.append(zlib.crc32(text) - (1 << 31))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(left, pa.string())], ["doc_id", "crc", "left"])
 
-    found = repeats(texts(docs)).where("places is not null").mapInArrow(cut, "doc_id long, crc long, left string").distinct()
+    found = packed_repeats(texts(docs)).where("places is not null").mapInArrow(cut, "doc_id long, crc long, left string").distinct()
     rows = docs.select(
         F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"),
         (F.crc32(F.coalesce("text", F.lit("")).cast("binary")) - F.lit(1 << 31)).alias("crc"),
