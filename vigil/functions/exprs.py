@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ipaddress
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -23,6 +24,11 @@ def all_of(conditions) -> Column:
     return reduce(lambda a, b: a & b, list(conditions), F.lit(True))
 
 
+def java_pattern(layout: str, any_case: bool = False) -> str:
+    """A layout of the fixed values for Java: without the names of its groups, and only a line feed ends a line."""
+    return ("(?id)" if any_case else "(?d)") + re.sub(r"\(\?P<\w+>", "(", layout)
+
+
 def once(expensive: Column) -> Column:
     """Keep the optimizer from copying an expensive expression.
 

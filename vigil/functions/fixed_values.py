@@ -97,7 +97,23 @@ SCANNER_AGENTS = [
     "w3af",
 ]
 # the detection step spells one agent differently from the rule step
-DETECTION_SCANNER_AGENTS = [" zap/" if a == "zap" else a for a in SCANNER_AGENTS]
+DETECTION_SCANNER_AGENTS = [
+    "sqlmap",
+    "nikto",
+    "nmap",
+    "masscan",
+    "hydra",
+    "metasploit",
+    "burpsuite",
+    "dirbuster",
+    "gobuster",
+    "wfuzz",
+    "acunetix",
+    "nessus",
+    "openvas",
+    " zap/",
+    "w3af",
+]
 LOGIN_URI_PARTS = ["/login", "/signin", "/auth", "/session", "/token", "/api/auth", "/api/login"]
 RECON_STATUS_CODES = ["401", "403", "404", "500"]
 BLACKLISTED_IPS = ["192.168.1.10", "10.0.0.99", "203.0.113.50"]
@@ -158,6 +174,68 @@ WINDOWS_SUBTYPES = {
     "audit_log": [1102, 4719],
 }
 
+# --- line layouts: which lines count as a format, and which of their parts is which, must be exactly this ----
+SYSLOG_3164 = (
+    r'^<(?P<pri>\d+)>(?P<timestamp>[A-Z][a-z]{2}\s+\d+\s+\d{2}:\d{2}:\d{2})\s+'
+    r'(?P<host>[^\s]+)\s+(?P<tag>[a-zA-Z0-9_\-\/]+)(?:\[(?P<pid>\d+)\])?:\s*(?P<message>.*)$'
+)
+SYSLOG_5424 = (
+    r'^<(?P<pri>\d+)>1\s+(?P<timestamp>[^\s]+)\s+(?P<host>[^\s]+)\s+(?P<app_name>[^\s]+)\s+'
+    r'(?P<procid>[^\s]+)\s+(?P<msgid>[^\s]+)\s+(?P<structured_data>\[.*\]|-)\s*(?P<message>.*)$'
+)
+WEB_LOG = (
+    r'^(?P<ip>[^\s]+)\s+(?P<ident>[^\s]+)\s+(?P<authuser>[^\s]+)\s+\[(?P<timestamp>[^\]]+)\]\s+'
+    r'"(?P<method>[A-Z]+)\s+(?P<request>[^\s"]*)\s*(?P<protocol>[^"]*)?"'
+    r'\s+(?P<status>\d+)\s+(?P<bytes>[^\s]+)'
+    r'(?:\s+"(?P<referrer>[^\"]*)"\s+"(?P<user_agent>[^\"]*)")?$'
+)
+# the next two in any case of letters
+CEF = (
+    r'^CEF:(?P<cef_version>\d+)\|(?P<vendor>[^|]*)\|(?P<product>[^|]*)\|'
+    r'(?P<dev_version>[^|]*)\|(?P<event_id>[^|]*)\|(?P<name>[^|]*)\|'
+    r'(?P<severity>[^|]*)\|?(?P<extensions>.*)$'
+)
+LEEF = (
+    r'^LEEF:(?P<leef_version>[^|]*)\|(?P<vendor>[^|]*)\|(?P<product>[^|]*)\|'
+    r'(?P<dev_version>[^|]*)\|(?P<event_id>[^|]*)\|?(?P<attributes>.*)$'
+)
+ACCESS_LOG_COMBINED = (
+    r'^(?P<remote_addr>\S+)\s+'
+    r'(?P<remote_user>\S+)\s+'
+    r'(?P<auth_user>\S+)\s+'
+    r'\[(?P<time_local>[^\]]+)\]\s+'
+    r'"(?P<request>[^"]*?)"\s+'
+    r'(?P<status>\d{3})\s+'
+    r'(?P<body_bytes_sent>\d+|-)\s+'
+    r'"(?P<http_referer>[^"]*?)"\s+'
+    r'"(?P<http_user_agent>[^"]*?)"'
+    r'.*$'
+)
+ACCESS_LOG_EXTENDED = (
+    r'^(?P<remote_addr>\S+)\s+'
+    r'(?P<remote_user>\S+)\s+'
+    r'(?P<auth_user>\S+)\s+'
+    r'\[(?P<time_local>[^\]]+)\]\s+'
+    r'"(?P<request>[^"]*?)"\s+'
+    r'(?P<status>\d{3})\s+'
+    r'(?P<body_bytes_sent>\d+|-)\s+'
+    r'"(?P<http_referer>[^"]*?)"\s+'
+    r'"(?P<http_user_agent>[^"]*?)"\s+'
+    r'"(?P<http_host>[^"]*?)"\s+'
+    r'"(?P<upstream_addr>[^"]*?)"\s+'
+    r'"(?P<request_time>[^"]*?)"'
+    r'(?:\s+"(?P<request_id>[^"]*?)")?'
+    r'.*$'
+)
+ERROR_LOG = (
+    r'^(?P<time>\d{4}/\d{2}/\d{2}\s+\d{2}:\d{2}:\d{2})\s+'
+    r'\[(?P<level>\w+)\]\s+'
+    r'(?P<pid>\d+)#(?P<tid>\d+):\s+'
+    r'(?:\*(?P<cid>\d+)\s+)?'
+    r'(?P<message>.+)$'
+)
+UPSTREAM_PORT = r':(\d+)(?:/|$)'
+
 # --- key=value lines: a line counts only when it names one of these -------------
 KNOWN_PAIR_KEYS = [
     "src", "dst", "action", "user", "host", "event", "type",
