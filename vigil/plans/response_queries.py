@@ -247,11 +247,11 @@ def _(t):
 
 
 INCIDENTS = """inc AS (SELECT 'INC' || CAST(event_id AS VARCHAR) AS incident_id, message AS title, severity, t AS created_at,
-  (['open','acknowledged','investigating','closed'])[k % 4 + 1] AS status, usr AS assigned_to FROM snap WHERE k < 40)"""
+  (['open','acknowledged','investigating','closed'])[k % 4 + 1] AS status, usr AS assigned_to FROM snap)"""
 
 
 def incidents(t):
-    return t.snapshot.where("k < 40").select(
+    return t.snapshot.select(
         F.concat(F.lit("INC"), F.col("event_id").cast("string")).alias("incident_id"), F.col("message").alias("title"), "severity",
         F.col("t").alias("created_at"), F.get(F.array(*map(F.lit, N.STATUSES)), F.col("k") % 4).alias("status"), F.col("user").alias("assigned_to"))
 
