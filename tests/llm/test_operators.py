@@ -93,6 +93,15 @@ def test_one_of_each_keeps_the_smallest(docs, rows):
     assert {r.doc_id for r in kept.collect() if r.doc_id is not None} == want
 
 
+def test_one_of_each_decides_by_row(spark):
+    rng = random.Random(12)
+    near, other, clean, own = (prose(rng, 60) for _ in range(4))
+    copy = near + " end"
+    rows = [(1, near), (2, copy), (2, other), (3, own), (4, near), (4, None), (4, ""), (None, copy), (None, near), (None, clean), (None, clean), (None, None), (None, " ")]
+    got = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert Counter(map(tuple, got)) == Counter(r for r in rows if r not in [(2, copy), (4, near)])
+
+
 def removed(rows, depth):
     seen, out = set(), {}
     for i, text in sorted({(-1 if i is None else i, t or "") for i, t in rows}, key=lambda r: (r[0], zlib.crc32(r[1].encode()))):

@@ -118,7 +118,7 @@ def signed(x: np.ndarray) -> pa.Array:
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """One row per document (part -1: its class, size and sketch) and the counters of each task's shingles (part 0)."""
+    """One row per document (part -1: its class, size, sketch and the hash of its text) and the counters of each task's shingles (part 0)."""
 
     def measure(batches):
         total = np.zeros(COUNTERS, dtype=np.int64)
@@ -133,15 +133,15 @@ def measured(docs: DataFrame) -> DataFrame:
             if seen:
                 total += np.bincount(counter_of(np.concatenate(seen)), minlength=COUNTERS)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([-1] * len(sizes), pa.int32()), batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(marks, pa.binary()), pa.array([shortened(x) for x in marks], pa.binary())],
-                ["part", "doc_id", "n", "c", "data", "short"],
+                [pa.array([-1] * len(sizes), pa.int32()), batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(marks, pa.binary()), pa.array([shortened(x) for x in marks], pa.binary()), batch.column("h")],
+                ["part", "doc_id", "n", "c", "data", "short", "h"],
             )
         yield pa.RecordBatch.from_arrays(
-            [pa.array([0], pa.int32()), pa.array([0], pa.int64()), pa.array([0], pa.int64()), pa.array([0], pa.int64()), pa.array([total.tobytes()], pa.binary()), pa.array([b""], pa.binary())],
-            ["part", "doc_id", "n", "c", "data", "short"],
+            [pa.array([0], pa.int32()), pa.array([0], pa.int64()), pa.array([0], pa.int64()), pa.array([0], pa.int64()), pa.array([total.tobytes()], pa.binary()), pa.array([b""], pa.binary()), pa.array([0], pa.int64())],
+            ["part", "doc_id", "n", "c", "data", "short", "h"],
         )
 
-    return docs.mapInArrow(measure, "part int, doc_id long, n long, c long, data binary, short binary")
+    return docs.withColumn("h", F.xxhash64("text")).mapInArrow(measure, "part int, doc_id long, n long, c long, data binary, short binary, h long")
 
 
 def memberships(docs: DataFrame, level: np.ndarray, parts: np.ndarray) -> DataFrame:
@@ -302,7 +302,7 @@ def ordered(x: str, y: str) -> list:
 
 
 def similarity_classes(docs: DataFrame) -> DataFrame:
-    """Each row's id, number of shingles and component: the smallest id that links lead to. ``docs`` come from ``texts``."""
+    """Each row's id, number of shingles, component (the smallest id that links lead to) and hash of the text. ``docs`` come from ``texts``."""
     spark = docs.sparkSession
     seen = written(measured(docs), "measured")
     counters = summed(seen.where("part = 0"), "data", COUNTERS)
@@ -354,7 +354,7 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
     smallest = named.groupBy("label").agg(F.min("i").alias("component_id"))
     found = named.join(smallest, "label").select("c", "component_id")
     return own.join(found, "c").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.when(F.col("doc_id") != NO_ID, F.col("doc_id"))).alias("component_id")
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.when(F.col("doc_id") != NO_ID, F.col("doc_id"))).alias("component_id"), "h",
     )
 
 
@@ -380,8 +380,10 @@ def jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without near copies: of each component the rows with the smallest id stay.
-    Rows without an id have no rank among others; they all stay."""
+    Rows without an id have no rank among others; they all stay. Of an id with several texts, each is decided alone."""
     short_batches(docs.sparkSession)
-    gone = similarity_classes(texts(docs)).where("doc_id <> component_id").select("doc_id").distinct()
-    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"))
-    return rows.join(gone, "doc_id", "left_anti").select("row.*")
+    gone = similarity_classes(texts(docs)).where((F.col("doc_id") != NO_ID) & (F.col("doc_id") != F.col("component_id"))).select("doc_id", "h").distinct()
+    rows = docs.select(
+        F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")
+    )
+    return rows.join(gone, ["doc_id", "h"], "left_anti").select("row.*")
