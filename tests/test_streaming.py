@@ -59,6 +59,30 @@ def test_correlation_stream_equals_batch(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("late", [None, 24 * 60 * MIN])
+def test_correlation_of_late_batches_equals_batch(spark, late):
+    rnd = random.Random(8)
+    rows, t = [], 0
+    for i in range(200):
+        t += rnd.randrange(1, 20) * MIN
+        rows.append((i, t, rnd.choice(["login_failed", "login_failed", "login_success"]), "h", "auth", f"u{rnd.randrange(2)}",
+                     f"1.1.1.{rnd.randrange(2)}", None, None, None))
+    widths = {"failed_login_burst": 150 * MIN, "brute_force_success": 90 * MIN}  # longer than the look-back
+    detectors = {n: X.DETECTORS[n] for n in widths}
+    burst, success = (detectors[n](spark.createDataFrame(rows, SNAP), width=w) for n, w in widths.items())
+    found = burst.unionByName(success)
+    want = {(r.correlation_key, r.event_id) for r in X.surviving(found, widths).collect()}
+    folder = new_folder(spark, "late")
+    got, seen = set(), {}
+    for k, b in enumerate([0, 2, 1, 4, 3]):
+        jobs.correlate_batch(spark, spark.createDataFrame(rows[40 * b:40 * b + 40], SNAP), k, folder, detectors, widths, late=late)
+        got -= {(r.key, r.id) for r in spark.read.parquet(f"{folder}/withdrawn/batch={k}").collect()}
+        got |= {(r.key, r.id) for r in spark.read.parquet(f"{folder}/fired/batch={k}").collect()}
+        seen |= {(r.event_id, r.correlation_type): (r.event_count, r.first_seen) for r in spark.read.parquet(f"{folder}/matches/batch={k}").collect()}
+    assert len(want) > 5 and got == want
+    assert seen == {(r.event_id, r.correlation_type): (r.event_count, r.first_seen) for r in found.collect()}
+
+
 def test_suppress_stream_equals_batch(spark):
     rnd = random.Random(4)
     rows = [(f"k{rnd.randrange(3)}", i, (i + 99) * MIN, (i + 99 + rnd.randrange(1, 9)) * MIN) for i in range(120)]

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from vigil.functions.exprs import DAY, HOUR
+from vigil.functions.exprs import DAY, HOUR, MINUTE
 from vigil.operators import correlate
 from vigil.operators.kernels import suppress
 from vigil.streaming.storage import read_batch, read_batches, write_batch
@@ -67,56 +67,90 @@ def suppress_stream(matches: DataFrame, ttl_ms: int = DAY // 1000) -> DataFrame:
 
 def correlate_batch(
     spark: SparkSession, batch: DataFrame, batch_id: int, folder: str, detectors: dict[str, Callable], widths: dict[str, int],
-    look_back: int = HOUR,
+    look_back: int = HOUR, late: int | None = None,
 ) -> None:
-    """One micro-batch: append the events, run the batch detectors over the look-back, emit matches of new events.
-
-    ``look_back`` is at least the longest window. Three small tables continue the work across batches: the time span of
-    each batch (which batches the look-back needs), and per key the last firing match while it still silences the key.
+    """One micro-batch: append the events, run the batch detectors from the look-back on, emit what its events change.
+
+    ``look_back`` is raised to the longest window. Events may be older than those of earlier batches: everything from the oldest new
+    event on is judged again, so after each batch the outcome is that of one run over all events so far. ``matches`` has the new matches and
+    those that an older event changed (the later batch holds), ``fired`` those that fire now, ``withdrawn`` those that no longer do.
+    Three tables continue the work: the time span of each batch, and ``found`` and ``active``, all matches and those that fire from
+    the batch's oldest event on, which hold up to the oldest event of any later batch. ``late`` is how far events may lie behind
+    the newest; what only older ones would need is forgotten. Without it nothing is, and there is one span per batch.
     Every write is a folder of this batch, so running a batch again gives the same result.
     """
-    span_schema, active_schema = "batch bigint, first bigint, last bigint", "key string, id bigint, t bigint, d bigint"
+    span_schema, active_schema = "batch bigint, first bigint, last bigint", "key string, id bigint, t bigint, d bigint, batch bigint"
+    look_back = max(look_back, 5 * MINUTE, *widths.values())
     write_batch(batch, f"{folder}/events", batch_id)
     new = read_batch(spark, f"{folder}/events", batch.schema, batch_id)
-    before = read_batch(spark, f"{folder}/active", active_schema, batch_id - 1)
     spans = read_batch(spark, f"{folder}/spans", span_schema, batch_id - 1)
     start, end = new.agg(F.min("t"), F.max("t")).first()
     if start is None:
-        write_batch(before, f"{folder}/active", batch_id)
         write_batch(spans, f"{folder}/spans", batch_id)
         return
-    # an entry per batch that may still be needed, so a handful of rows
-    needed = spans.where(F.col("last") >= start - look_back)
-    mine = spark.createDataFrame([(batch_id, start, end)], span_schema)
-    write_batch(needed.unionByName(mine), f"{folder}/spans", batch_id)
-    batches = [r.batch for r in needed.collect()] + [batch_id]
+    old = sorted(spans.collect())
+    until = _held_until(old)
+
+    def held(name: str, schema) -> DataFrame:
+        """Rows of the table that no later batch replaced, as far back as the look-back."""
+        limits = [(b, u) for b, u in until.items() if u > start - look_back]
+        if not limits:
+            return spark.createDataFrame([], schema)
+        rows = read_batches(spark, f"{folder}/{name}", schema, [b for b, _ in limits])
+        limit = F.broadcast(spark.createDataFrame(limits, "batch bigint, until bigint"))
+        return rows.join(limit, "batch").where((F.col("t") < F.col("until")) & (F.col("t") >= start - look_back)).select(*rows.columns)
+
+    batches = [r.batch for r in old if r.last >= start - look_back] + [batch_id]
     known = read_batches(spark, f"{folder}/events", batch.schema, batches).where(F.col("t") >= start - look_back)
     found = None
     for name, detector in detectors.items():
         part = detector(known, width=widths[name])
         found = part if found is None else found.unionByName(part)
-    fresh = found.join(new.select("event_id"), "event_id", "left_semi").withColumn("key", correlate.correlation_key())
-    write_batch(fresh, f"{folder}/matches", batch_id)
-    stored = read_batch(spark, f"{folder}/matches", fresh.schema, batch_id)
+    own = F.lit(batch_id).cast("bigint")
+    found = found.where(F.col("t") >= start).withColumns({"key": correlate.correlation_key(), "batch": own})
+    write_batch(found, f"{folder}/found", batch_id)
+    stored = read_batch(spark, f"{folder}/found", found.schema, batch_id)
+    earlier = held("found", found.schema).where(F.col("t") >= start)
+    write_batch(stored.drop("batch").exceptAll(earlier.drop("batch")), f"{folder}/matches", batch_id)
+
     window = correlate.suppression_window(widths, F.col("correlation_type"))
-    now = stored.select("key", F.col("event_id").alias("id"), "t", (F.col("first_seen") + window).alias("d"))
+    now = stored.select("key", F.col("event_id").cast("bigint").alias("id"), "t", (F.col("first_seen") + window).alias("d"))
+    fires = held("active", active_schema).drop("batch")
+    last = F.max_by(F.struct("id", "t", "d"), F.struct("t", "id")).alias("x")
+    before = fires.where(F.col("t") < start).groupBy("key").agg(last).select("key", "x.*")
     reach = correlate.suppression_window(widths, F.substring_index("key", ":", 1))
     runs = suppress(before.unionByName(now), F.col("key"), F.col("id"), F.col("t"), F.col("d"), reach=reach)
-    fired = runs.where("fires").select("key", "id").join(now, ["key", "id"])
-    write_batch(fired.select("key", "id", "t", "d"), f"{folder}/fired", batch_id)
-    again = read_batch(spark, f"{folder}/fired", active_schema, batch_id)
-    last = before.unionByName(again).groupBy("key").agg(F.max_by(F.struct("id", "t", "d"), F.struct("t", "id")).alias("x"))
-    write_batch(last.select("key", "x.*").where(F.col("d") >= end - look_back), f"{folder}/active", batch_id)
+    active = runs.where("fires").select("key", "id").join(now, ["key", "id"]).dropDuplicates(["key", "id"])
+    write_batch(active.select("key", "id", "t", "d", own.alias("batch")), f"{folder}/active", batch_id)
+    after = read_batch(spark, f"{folder}/active", active_schema, batch_id).drop("batch")
+    fires = fires.where(F.col("t") >= start)
+    write_batch(after.join(fires, ["key", "id"], "left_anti"), f"{folder}/fired", batch_id)
+    write_batch(fires.join(after, ["key", "id"], "left_anti"), f"{folder}/withdrawn", batch_id)
+
+    spans = [*map(tuple, old), (batch_id, start, end)]
+    if late is not None:
+        cut, until = max(r[2] for r in spans) - late - look_back, _held_until(spans)
+        spans = [r for r in spans if r[2] >= cut or until[r[0]] > cut]
+    write_batch(spark.createDataFrame(spans, span_schema), f"{folder}/spans", batch_id)
+
+
+def _held_until(spans: list) -> dict[int, int]:
+    """For each batch the oldest event of any later one: from there on its tables are replaced. ``spans`` are in order."""
+    out, oldest = {}, 1 << 62
+    for b, first, _ in reversed(spans):
+        out[b] = oldest
+        oldest = min(oldest, first)
+    return out
 
 
 def correlate_stream(
     spark: SparkSession, events: DataFrame, folder: str, detectors: dict[str, Callable], widths: dict[str, int],
-    look_back: int = HOUR, **trigger,
+    look_back: int = HOUR, late: int | None = None, **trigger,
 ):
-    """Start the look-back job on a stream of snapshots; ``{folder}/fired`` and ``{folder}/matches`` are its output."""
+    """Start the look-back job on a stream of snapshots; ``{folder}/fired``, ``withdrawn`` and ``matches`` are its output."""
     return (
         events.writeStream.foreachBatch(
-            lambda batch, i: correlate_batch(spark, batch, i, folder, detectors, widths, look_back)
+            lambda batch, i: correlate_batch(spark, batch, i, folder, detectors, widths, look_back, late)
         )
         .option("checkpointLocation", f"{folder}/checkpoint")
         .trigger(**(trigger or {"availableNow": True}))
