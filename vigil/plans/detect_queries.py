@@ -169,6 +169,15 @@ def _(t):
     return hit.join(found, "event_id", "left").select("event_id", F.coalesce("_f", F.lit(False)).alias("login_failure"))
 
 
+@query("detect_blacklist_all", oracle("""SELECT event_id, event_type = 'login_failed' AS login_failure FROM snap
+  WHERE source_ip IN (SELECT '10.0.0.' || CAST(s_suppkey AS VARCHAR) FROM supplier)"""))
+def _(t):
+    bad = t.table("supplier").select(F.concat(F.lit("10.0.0."), F.col("s_suppkey").cast("string")).alias("ip"))
+    hit = D.blacklisted_events(t.events, bad)
+    found = D.detect(hit.where("event_type = 'login_failed'"), bad).where("detection.is_suspicious").select("event_id", F.lit(True).alias("_f"))
+    return hit.join(found, "event_id", "left").select("event_id", F.coalesce("_f", F.lit(False)).alias("login_failure"))
+
+
 # --------------------------------------------------------------------------- correlation
 # the events are sparse, so the windows of these queries are longer than the defaults
 W = {"failed_login_burst": 12, "brute_force_success": 12, "multi_host_attack": 2, "reconnaissance_activity": 2, "high_risk_rule_chain": 2,

@@ -336,3 +336,15 @@ def _(t):
         F.lit(0.3).alias("parsing_confidence"), F.from_json(F.lit("{}"), "map<string,string>").alias("metadata"))
     out = I.unknown_logs(classify_log_type(s), ["ts", "event_id"])
     return out.select("unknown_hash", "occurrence_count", "first_seen", "collector_name", "parser_confidence", "detection_confidence")
+
+
+@query("unknown_dedup_all", oracle("""SELECT sha256('dev' || 'thing ' || CAST(k AS VARCHAR) || 'odd') AS unknown_hash,
+  count(*) AS occurrence_count, min(t) AS first_seen, 'dev_collector' AS collector_name, 30 AS parser_confidence,
+  20 AS detection_confidence FROM snap GROUP BY k"""))
+def _(t):
+    s = t.snapshot.select(
+        "event_id", F.col("t").alias("ts"), F.lit("dev").alias("source"), F.lit("odd").alias("event_type"),
+        F.concat(F.lit("thing "), F.col("k").cast("string")).alias("message"), F.lit("text").alias("detected_format"),
+        F.lit(0.3).alias("parsing_confidence"), F.from_json(F.lit("{}"), "map<string,string>").alias("metadata"))
+    out = I.unknown_logs(classify_log_type(s), ["ts", "event_id"])
+    return out.select("unknown_hash", "occurrence_count", "first_seen", "collector_name", "parser_confidence", "detection_confidence")

@@ -96,6 +96,28 @@ def _(t):
     return out.select("doc_id", F.sha2("decoded", 256).alias("decoded_hash"), F.array_join("decoding_chain", ",").alias("chain"))
 
 
+@query("decode_chain_all")
+def _(t):
+    """Every document's whole text, by its id as base64, hex or percent signs. Texts that are themselves coded go on, which SQL can't follow."""
+    m = F.pmod("doc_id", F.lit(3))
+    data = F.encode("text", "UTF-8")
+    coded = F.when(m == 1, F.hex(data)).when(m == 2, F.regexp_replace(F.url_encode("text"), r"\+", "%20")).otherwise(F.base64(data))
+    out = D.decode_payloads(t.table("documents").select("doc_id", coded.alias("coded")), "coded")
+    return out.select("doc_id", F.sha2("decoded", 256).alias("decoded_hash"), F.array_join("decoding_chain", ",").alias("chain"))
+
+
+@query("decode_gzip_all")
+def _(t):
+    """As ``decode_gzip``, with every text."""
+
+    @F.pandas_udf(T.StringType())
+    def pack(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: base64.b64encode(gzip.compress(x.encode(), mtime=0)).decode() if x is not None else None)
+
+    out = D.decode_payloads(t.table("documents").select("doc_id", pack("text").alias("packed")), "packed")
+    return out.select("doc_id", F.sha2("decoded", 256).alias("decoded_hash"), F.array_join("decoding_chain", ",").alias("chain"))
+
+
 @query("decode_documents", "SELECT doc_id, '' AS chain, length(text) AS n_decoded FROM documents")
 def _(t):
     """Documents as they are: which layers does the chain driver find in whole texts."""
@@ -123,6 +145,19 @@ def _(t):
         "doc_id", F.sha2(D.decode_hex(F.hex(F.encode("text", "UTF-8"))), 256).alias("h"))
 
 
+@query("decode_base64_all", "SELECT doc_id, CASE WHEN strlen(text) < 1 OR regexp_matches(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]') THEN NULL "
+       "ELSE sha256(text) END AS h FROM documents")
+def _(t):
+    coded = F.base64(F.encode("text", "UTF-8"))
+    return t.table("documents").select("doc_id", F.sha2(D.decode_base64(coded), 256).alias("h"))
+
+
+@query("decode_hex_all", "SELECT doc_id, CASE WHEN strlen(text) < 2 OR regexp_matches(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]') THEN NULL "
+       "ELSE sha256(text) END AS h FROM documents")
+def _(t):
+    return t.table("documents").select("doc_id", F.sha2(D.decode_hex(F.hex(F.encode("text", "UTF-8"))), 256).alias("h"))
+
+
 @query("detect_format", oracle(f"""SELECT event_id, {FORMATS} AS detected_format,
   ([0.95, 1.0, 1.0, 0.9, 0.95, 0.95, 0.95, 0.95, 0.7, 0.6, 0.3])[k % 11 + 1]::DOUBLE AS parsing_confidence FROM snap"""))
 def _(t):
@@ -269,6 +304,22 @@ def _(t):
     return out.select("event_id", "source", "event_type", "detected_format", F.size("metadata").alias("n_meta"))
 
 
+@query("merge_parsed_all", oracle(f"""SELECT event_id, CASE k % 11 WHEN 0 THEN 'Prov' || CAST(k % 3 AS VARCHAR) WHEN 1 THEN 'cef-acme-corp-web-fw'
+  WHEN 2 THEN 'leef-vend-prod' WHEN 4 THEN CASE WHEN k % 2 = 0 THEN 'docker-stdout' ELSE 'docker-stderr' END WHEN 5 THEN 'app' || CAST(k % 3 AS VARCHAR)
+  WHEN 6 THEN 'sshd' WHEN 7 THEN 'web-server' WHEN 8 THEN 'kv-source' WHEN 9 THEN 'EDR' ELSE 'declared' END AS source,
+  CASE k % 11 WHEN 0 THEN 'windows_event_' || CAST(4600 + k AS VARCHAR) WHEN 1 THEN 'cef_' || CAST(k AS VARCHAR) WHEN 2 THEN 'leef_ev_' || raw_type
+  WHEN 3 THEN raw_type WHEN 4 THEN 'docker_log' WHEN 5 THEN 'ID' || CAST(k AS VARCHAR) WHEN 6 THEN 'syslog_event' WHEN 7 THEN 'http_get'
+  WHEN 8 THEN raw_type WHEN 9 THEN CASE WHEN k % 2 = 0 THEN 'bad_file' ELSE 'scan' END ELSE 'declared_type' END AS event_type,
+  {FORMATS} AS detected_format, '1' AS kept FROM snap"""))
+def _(t):
+    src = t.snapshot.select(
+        "event_id", F.expr(MIXED).alias("message"), F.lit("declared").alias("source"), F.lit("declared_type").alias("event_type"),
+        *[F.lit(None).cast("string").alias(n) for n in ("host", "severity", "timestamp", "source_ip", "user")],
+        F.from_json(F.lit('{"kept":"1"}'), "map<string,string>").alias("metadata"))
+    out = formats.merge_parsed(formats.parse_logs(src, year=YEAR))
+    return out.select("event_id", "source", "event_type", "detected_format", F.col("metadata")["kept"].alias("kept"))
+
+
 @query("parse_report", oracle(f"""SELECT {FORMATS} AS detected_format, raw_type AS source, count(*) AS lines,
   avg(([0.95, 1.0, 1.0, 0.9, 0.95, 0.95, 0.95, 0.95, 0.7, 0.6, 0.3])[k % 11 + 1])::DOUBLE AS mean_confidence,
   count(*) FILTER (k % 11 = 3 AND false) AS decoded_lines FROM snap GROUP BY ALL"""))

@@ -351,6 +351,22 @@ def _(t):
     return M.expand_recipients(df, rcp).select("event_id", "recipient_name", "delivery_status")
 
 
+ALL_RECIPIENTS = """rcp AS (SELECT s_name AS recipient_name, CASE s_suppkey % 4 WHEN 0 THEN 'analyst' WHEN 1 THEN 'lead_analyst' ELSE 'other' END AS role
+  FROM supplier WHERE s_suppkey % 5 <> 0)"""
+
+
+@query("notify_recipients_all", oracle("""SELECT event_id, recipient_name, CASE WHEN recipient_name IS NULL THEN 'No active recipients' ELSE 'queued' END AS delivery_status
+  FROM (SELECT event_id, CASE WHEN k % 9 = 0 THEN 'nobody' WHEN severity IN ('high', 'critical') THEN 'lead_analyst' ELSE 'analyst' END AS role FROM snap)
+  LEFT JOIN rcp USING (role)""", ALL_RECIPIENTS))
+def _(t):
+    rcp = t.table("supplier").select(
+        F.col("s_name").alias("recipient_name"), F.when(F.col("s_suppkey") % 4 == 0, "analyst").when(F.col("s_suppkey") % 4 == 1, "lead_analyst")
+        .otherwise("other").alias("role"), (F.col("s_suppkey") % 5 != 0).alias("is_active"))
+    df = t.snapshot.select("event_id", F.when(F.col("k") % 9 == 0, "nobody").when(F.col("severity").isin("high", "critical"), "lead_analyst")
+                           .otherwise("analyst").alias("initial_role"))
+    return M.expand_recipients(df, rcp).select("event_id", "recipient_name", "delivery_status")
+
+
 # line items are delivery attempts: order = notification, line number = channel
 ATTEMPTS = """att AS (SELECT l_orderkey AS notification_id, (l_linenumber - 1) % 5 AS ord, l_quantity > 20 AS ok, epoch_us(l_shipdate) AS t FROM lineitem),
   ch AS (SELECT notification_id, ord, bool_and(ok) AS ok, count(*) AS n, max(t) AS t FROM att GROUP BY ALL),
