@@ -377,6 +377,18 @@ def test_template_of_a_site_goes(spark):
     assert len(got) == 26
 
 
+def test_template_inside_the_article_goes(spark):
+    def page(i):
+        quoted = "<p>Quoted by some.</p><div class=q>Quoted in a box.</div>" if i < 8 else ""
+        return (i, f"https://a.example/{i}", f"<body><article><h1>Head</h1><p>Text {i} of it.</p><div class=x1>Subscribe now <i>for free</i></div>{quoted}<p>All rights kept.</p></article></body>")
+
+    copies = [(100 + i, f"https://b.example/{i}", "<article><p>Copied page.</p><div class=x1>Box.</div></article>") for i in range(9)]
+    pages = spark.createDataFrame([page(i) for i in range(20)] + copies, "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r.text for r in templates.extracted(pages).collect()}
+    want = {i: f"Head\nText {i} of it." + ("\nQuoted by some.\nQuoted in a box." if i < 8 else "") for i in range(20)}
+    assert got == want | {100 + i: "Copied page.\nBox." for i in range(9)}
+
+
 def test_deep_markup():
     root = templates.tree("<div>" * 20_000 + "x")
     templates.hashed(root)

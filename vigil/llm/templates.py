@@ -7,8 +7,10 @@ navigation, headers, footers, sidebars, notices, adverts, forms or reader commen
 changes from page to page and hosts of few pages. What is left of the article (``main``, else ``article``, else the body) is the text:
 its blocks in order, one per line.
 
-Inside the article a recurring subtree only goes if most of its text is links: passages that several pages quote are content, and
-copies of a whole page have the same text, so they count once.
+Inside the article a recurring subtree goes so if most of its text is links. Other blocks and paragraphs there must be on ``INNER_SHARE``
+of the host's pages, since passages that several pages quote are content; copies of a whole page have the same text, so they count
+once. Headings, list items and table cells go with the block they are in, not alone: they are labels that pages share. Without an
+article the page's blocks count as outside one, and single paragraphs stay.
 
 Defined cases: null and empty pages have empty text; broken markup is read as browsers do in the common cases (open elements end
 with their parents, paragraphs and list items end where the next one begins); a url without a host, or null, is a host of its own;
@@ -33,6 +35,8 @@ from vigil.streaming.storage import written
 #: A subtree of the template is on so many pages of its host, and on this share of them.
 PAGES = 5
 SHARE = 0.02
+#: Inside the article, unless it is mostly links, on this share.
+INNER_SHARE = 0.5
 
 # fixed values: element and class names
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -182,16 +186,20 @@ def articles(root: Node) -> list[Node]:
     return found["main"] or found["article"] or [root]
 
 
-def candidates(root: Node, tops: list[Node]) -> list[int]:
-    """Hashes of the subtrees that may belong to a template."""
+def candidates(root: Node, tops: list[Node]) -> list[tuple[int, bool]]:
+    """Hashes of the subtrees that may belong to a template; whether only by ``INNER_SHARE``."""
     found, inner = [], {id(t) for t in tops}
     around = {id(x) for t in tops for x in _around(t)}
+    whole = root is tops[0]
     stack = [(root, False)]
     while stack:
         node, inside = stack.pop()
         inside = inside or id(node) in inner
-        if node.parent is not None and id(node) not in around and _may_go(node, inside and root is not tops[0]):
-            found.append(node.hash)
+        if node.parent is not None and id(node) not in around:
+            if _may_go(node, inside and not whole):
+                found.append((node.hash, False))
+            elif inside and not whole and _may_recur(node):
+                found.append((node.hash, True))
         stack += [(c, inside) for c in node.children if isinstance(c, Node) and c.name not in RAW]
     return found
 
@@ -208,7 +216,12 @@ def _may_go(node: Node, inside: bool) -> bool:
     return not inside or 2 * node.linked > node.size
 
 
-def main_text(root: Node, tops: list[Node], template: set[int]) -> str:
+def _may_recur(node: Node) -> bool:
+    return bool(node.size) and (node.name == "p" or node.name in BLOCKS and node.name not in TEXT_BLOCKS)
+
+
+def main_text(root: Node, tops: list[Node], template: set[int], common: set[int] | frozenset = frozenset()) -> str:
+    """``common``: subtrees that go inside the article although they aren't mostly links."""
     blocks: list[str] = []
     line: list[str] = []
 
@@ -228,7 +241,7 @@ def main_text(root: Node, tops: list[Node], template: set[int]) -> str:
                 line.append(x)
             elif x.name == "br":
                 line.append(" ")
-            elif x is not top and (unwanted(x, not whole) or (x.hash in template and _may_go(x, not whole))):
+            elif x is not top and (unwanted(x, not whole) or (x.hash in template and _may_go(x, not whole)) or (x.hash in common and not whole and _may_recur(x))):
                 # what goes may have stood between two blocks
                 if x.name in BLOCKS:
                     end()
@@ -255,7 +268,7 @@ def extracted(pages: DataFrame, key: str = "page_id") -> DataFrame:
     ).withColumn("crc", F.crc32(F.col("html").cast("binary")))
 
     def survey(batches):
-        """(host, subtree, text of the page) once per page."""
+        """(host, subtree, whether inside the article, text of the page) once per page."""
         for batch in batches:
             out = []
             for page, crc, url, html in zip(*(batch.column(c).to_pylist() for c in ("page_id", "crc", "url", "html")), strict=True):
@@ -263,31 +276,34 @@ def extracted(pages: DataFrame, key: str = "page_id") -> DataFrame:
                 hashed(root)
                 tops = articles(root)
                 text = xxhash.xxh3_64_intdigest(main_text(root, tops, set())) - (1 << 63)
-                out += [(page, crc, host(url or ""), h, text) for h in dict.fromkeys([0, *candidates(root, tops)])]
-            columns = list(zip(*out, strict=True)) or [()] * 5
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["page_id", "crc", "host", "subtree", "text"])
+                out += [(page, crc, host(url or ""), h, inner, text) for h, inner in dict.fromkeys([(0, False), *candidates(root, tops)])]
+            columns = list(zip(*out, strict=True)) or [()] * 6
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.bool_(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["page_id", "crc", "host", "subtree", "inner", "text"])
 
-    seen = written(rows.mapInArrow(survey, "page_id long, crc long, host string, subtree long, text long"), "subtrees")
+    seen = written(rows.mapInArrow(survey, "page_id long, crc long, host string, subtree long, inner boolean, text long"), "subtrees")
     # subtree 0 stands for the page: how many different texts the host has
-    counts = seen.select("host", "subtree", "text").distinct().groupBy("host", "subtree").agg(F.count("*").alias("n"))
+    counts = seen.select("host", "subtree", "inner", "text").distinct().groupBy("host", "subtree", "inner").agg(F.count("*").alias("n"))
     counts = written(counts.where(F.col("n") >= PAGES), "counts")
     whole = counts.where("subtree = 0").select("host", F.col("n").alias("pages"))
-    template = counts.where("subtree <> 0").join(whole, "host").where(F.col("n") >= F.col("pages") * SHARE).select("host", "subtree")
-    of_page = seen.join(template, ["host", "subtree"]).groupBy("page_id", "crc").agg(F.collect_set("subtree").alias("template"))
+    least = F.col("pages") * F.when(F.col("inner"), INNER_SHARE).otherwise(SHARE)
+    template = counts.where("subtree <> 0").join(whole, "host").where(F.col("n") >= least).select("host", "subtree", "inner")
+    of_page = seen.join(template, ["host", "subtree", "inner"]).groupBy("page_id", "crc").agg(
+        F.collect_set(F.when(~F.col("inner"), F.col("subtree"))).alias("template"), F.collect_set(F.when(F.col("inner"), F.col("subtree"))).alias("common")
+    )
     told = rows.join(written(of_page, "templates"), ["page_id", "crc"], "left")
 
     def extract(batches):
         for batch in batches:
             out = []
-            for html, template in zip(batch.column("html").to_pylist(), batch.column("template").to_pylist(), strict=True):
+            for html, template, common in zip(*(batch.column(c).to_pylist() for c in ("html", "template", "common")), strict=True):
                 root = tree(html)
-                if template:
+                if template or common:
                     hashed(root)
-                out.append(main_text(root, articles(root), set(template or ())))
+                out.append(main_text(root, articles(root), set(template or ()), set(common or ())))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string())], ["page_id", "url", "text"])
 
-    return told.select("page_id", "url", "html", "template").mapInArrow(extract, "page_id long, url string, text string")
+    return told.select("page_id", "url", "html", "template", "common").mapInArrow(extract, "page_id long, url string, text string")
 
 
 @query("op2_template_removal")
