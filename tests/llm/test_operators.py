@@ -233,6 +233,16 @@ def test_matches_and_what_is_left(spark, docs, rows):
     assert left.columns == docs.columns and left.count() == docs.count() - 8
 
 
+def test_short_items_are_whole_words(spark):
+    data = [(0, "The answer:  42!"), (1, "answer 421"), (2, "C++ and c+"), (3, "xyes no"), (4, "Yes. YES, yes"), (5, "new\n york, a new yorker"), (6, None), (7, "")]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    items = spark.createDataFrame([(1, "42"), (2, "c++"), (3, "yes"), (4, "New York"), (5, ""), (6, " "), (7, "yes"), (8, "a long enough item that is absent")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.start, r.end, r.edits) for r in decontaminate.matches(texts(docs), items).collect()}
+    want = {(0, 1, 13, 15, 0), (2, 2, 0, 3, 0), (5, 4, 0, 9, 0)} | {(4, i, s, s + 3, 0) for i in (3, 7) for s in (0, 5, 10)}
+    assert got == want
+    assert {r.doc_id for r in decontaminate.uncontaminated(docs, items).collect()} == {1, 3, 6, 7}
+
+
 def test_resampling_rejects_junk_and_keeps_the_rest(spark):
     rng = random.Random(2)
     good = [(i, prose(rng, rng.randint(3, 120))) for i in range(300)]

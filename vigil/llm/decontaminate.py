@@ -10,13 +10,16 @@ Texts and items are compared in lower case, with each stretch of white space as
 items are collected in slices of at most ``SLICE`` characters; the index of a slice goes to the tasks, and each further slice is
 one more step over the same rows.
 
-Defined cases: null and empty texts contain nothing; items without text, or of fewer than q characters, are not looked for; equal
+Items of fewer than q characters are looked for in the same pass as whole words, without edits: neither end lies within a word.
+
+Defined cases: null and empty texts contain nothing; items without text are not looked for; equal
 items are found under each of their ids; several occurrences of an item in a document give a row each, unless they overlap;
 equal rows give equal results; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +39,8 @@ SLICE = 4_000_000
 BLOCK = 1 << 20
 
 _SLOTS = 22
+_START = re.compile(r"\b\w|[^\w\s]")
+_WITHIN = re.compile(r"\w\w")
 
 
 def plain(text: str) -> tuple[str, np.ndarray | None]:
@@ -62,6 +67,12 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]], q: int = Q, errors: float = ERRORS):
         self.items, self.q = [x for x in items if len(x[1]) >= q], q
+        # items shorter than a q-gram, behind the others
+        self.short: dict[str, list[int]] = {}
+        short = [x for x in items if 0 < len(x[1]) < q]
+        for i, (_, t) in enumerate(short, len(self.items)):
+            self.short.setdefault(t, []).append(i)
+        self.lengths = sorted({len(t) for t in self.short})
         size = np.array([len(t) for _, t in self.items], dtype=np.int64)
         self.budget = np.minimum((size * errors).astype(np.int64), (size - q) // q)
         self.least = size + 1 - q - self.budget * q
@@ -74,6 +85,7 @@ class Index:
         self.grams, self.start, self.count = np.unique(hashes[order], return_index=True, return_counts=True)
         self.slots = np.zeros(1 << _SLOTS, dtype=bool)
         self.slots[self._slot(self.grams)] = True
+        self.items = self.items + short
 
     @staticmethod
     def _slot(x: np.ndarray) -> np.ndarray:
@@ -96,6 +108,24 @@ class Index:
 
     def occurrences(self, text: str) -> list[tuple[int, int, int, int]]:
         """(item, start, end, edits) in the text as it is compared."""
+        return self._long(text) + self._short(text)
+
+    def _short(self, text: str) -> list[tuple[int, int, int, int]]:
+        found, free = [], {}
+        for m in _START.finditer(text) if self.short else ():
+            for n in self.lengths:
+                start, end = m.start(), m.start() + n
+                if end > len(text):
+                    break
+                if _WITHIN.match(text, end - 1):
+                    continue
+                for i in self.short.get(text[start:end], ()):
+                    if free.get(i, 0) <= start:
+                        found.append((i, start, end, 0))
+                        free[i] = end
+        return found
+
+    def _long(self, text: str) -> list[tuple[int, int, int, int]]:
         item, place, at = self.hits(text)
         if not len(item):
             return []
