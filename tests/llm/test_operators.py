@@ -257,6 +257,20 @@ def test_resampling_rejects_junk_and_keeps_the_rest(spark):
     assert resample.resample(docs, labels.limit(0)).count() == docs.count()
 
 
+def test_texts_without_words_pass_any_cut(spark, monkeypatch, tmp_path):
+    ratio = np.full(resample.BUCKETS, -1.0)
+    ratio[resample.ngrams(b"good good")] = 1
+    monkeypatch.setattr(resample, "fit", lambda docs, labels: resample.Model(ratio, 32.0))
+    data = [*((i, "good good") for i in range(9)), *((100 + i, f"bad{i}") for i in range(90)), *((200 + i, t) for i, t in enumerate([None, "", " ", "\n\t "])), (None, "")]
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    want = Counter(i for i, t in data if not (t or "").startswith("bad"))
+    assert Counter(r.doc_id for r in resample.resample(docs, docs).collect()) == want
+    for name in ("documents", "labels"):
+        docs.write.parquet(f"{tmp_path}/{name}.parquet")
+    got = resample.quality_resampling(spark, str(tmp_path)).collect()
+    assert Counter(None if r.doc_id < 0 else r.doc_id for r in got) == want and all((r.key is None) == (r.log_weight == 0) for r in got)
+
+
 def test_kth_largest(spark):
     values = [float(x) for x in np.random.default_rng(1).normal(0, 5, 500)] + [3.25] * 20
     df = spark.createDataFrame([(v,) for v in values], "x double")

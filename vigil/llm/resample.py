@@ -6,7 +6,7 @@ two, per n-gram, times ``TEMPER``: tempering keeps long documents from having we
 and the k documents with the largest sums are a sample without replacement in proportion to the weights. k is the number of
 documents whose weight is at least the cut that separates the labelled sample best.
 
-Defined cases: a null or empty text, or one without words, has log weight 0; without labels of both kinds nothing is rejected;
+Defined cases: a null or empty text, or one of white space, has log weight 0 and no key, passes, and counts in no k; without labels of both kinds nothing is rejected;
 rows with equal id and text stand or fall together; documents whose sums equal the k-th largest one all stay; an empty table
 gives an empty result; other columns are passed through untouched.
 """
@@ -122,13 +122,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
 
 
 def scores(docs: DataFrame, model: Model, seed: int = SEED) -> DataFrame:
-    """Log weight and its sum with the Gumbel noise for each document."""
+    """Log weight and its sum with the Gumbel noise for each document; no sum for those without words."""
 
     def score(batches):
         for batch in batches:
             ids, data = batch.column("doc_id").to_pylist(), as_bytes(batch.column("text"))
             weights = [model.log_weight(t) for t in data]
-            keys = [w + gumbel(i, t, seed) for i, t, w in zip(ids, data, weights, strict=True)]
+            keys = [w + gumbel(i, t, seed) if t.strip() else None for i, t, w in zip(ids, data, weights, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(weights, pa.float64()), pa.array(keys, pa.float64())], ["doc_id", "log_weight", "key"]
             )
@@ -137,8 +137,8 @@ def scores(docs: DataFrame, model: Model, seed: int = SEED) -> DataFrame:
 
 
 def last_key(scored: DataFrame, cut: float) -> float:
-    """The k-th largest key, k being the number of documents whose weight is at least the cut."""
-    k = scored.where(F.col("log_weight") >= F.lit(cut)).count()
+    """The k-th largest key, k being the number of documents with words whose weight is at least the cut."""
+    k = scored.where(F.col("key").isNotNull() & (F.col("log_weight") >= F.lit(cut))).count()
     last = kth_largest(scored, "key", k)
     return np.inf if last is None else last
 
@@ -153,7 +153,7 @@ def resample(docs: DataFrame, labels: DataFrame, seed: int = SEED) -> DataFrame:
         for batch in batches:
             ids = pc.fill_null(batch.column("doc_id").cast(pa.int64()), NO_ID).to_pylist()
             data = [t or b"" for t in as_bytes(batch.column("text"))]
-            yield batch.filter(pa.array([model.log_weight(t) + gumbel(i, t, seed) >= last for i, t in zip(ids, data, strict=True)], pa.bool_()))
+            yield batch.filter(pa.array([not t.strip() or model.log_weight(t) + gumbel(i, t, seed) >= last for i, t in zip(ids, data, strict=True)], pa.bool_()))
 
     return docs.mapInArrow(drawn, docs.schema)
 
@@ -165,4 +165,4 @@ def quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = fit(docs, table(spark, sf_dir, "labels"))
     scored = written(scores(docs, model), "scores")
     last = last_key(scored, model.cut)
-    return scored.where(F.col("key") >= F.lit(last)).select("doc_id", "log_weight", "key")
+    return scored.where(F.col("key").isNull() | (F.col("key") >= F.lit(last))).select("doc_id", "log_weight", "key")
