@@ -58,6 +58,10 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 # ---- the index
 
 
+#: Masks of the bits below a place in 64.
+_BELOW = (np.uint64(1) << np.arange(64, dtype=np.uint64)) - np.uint64(1)
+
+
 class WaveletMatrix:
     """``rank(c, i)``: how often symbol c stands in front of place i. Bits packed by 64, a count before each 64."""
 
@@ -74,16 +78,18 @@ class WaveletMatrix:
             self.zeros.append(int(len(bit) - bit.sum()))
             symbols = np.concatenate((symbols[bit == 0], symbols[bit == 1]))
 
-    def rank(self, c: np.ndarray, i: np.ndarray) -> np.ndarray:
-        place, start = i.astype(np.int64), np.zeros(len(i), dtype=np.int64)
-        both = np.concatenate((place, start))
-        c = np.concatenate((c, c))
+        # where each symbol starts behind the last level
+        self.starts = self._down(np.arange(1 << self.levels), np.zeros(1 << self.levels, dtype=np.int64))
+
+    def _down(self, c: np.ndarray, i: np.ndarray) -> np.ndarray:
         for level, bits, counts, zeros in zip(reversed(range(self.levels)), self.bits, self.counts, self.zeros, strict=True):
-            word = both >> 6
-            below = (np.uint64(1) << (both & 63).astype(np.uint64)) - np.uint64(1)
-            ones = counts[word] + np.bitwise_count(bits[word] & below)
-            both = np.where((c >> level) & 1, zeros + ones, both - ones)
-        return both[: len(i)] - both[len(i) :]
+            word = i >> 6
+            ones = counts[word] + np.bitwise_count(bits[word] & _BELOW[i & 63])
+            i = np.where((c >> level) & 1, zeros + ones, i - ones)
+        return i
+
+    def rank(self, c: np.ndarray, i: np.ndarray) -> np.ndarray:
+        return self._down(c, i) - self.starts[c]
 
 
 class _Least:
@@ -165,42 +171,40 @@ class FMIndex:
 
     def matching_statistics(self, streamed: list[np.ndarray], owners: np.ndarray, most: int) -> list[np.ndarray]:
         """For each place of each text the length, at most ``most``, of the longest match that starts there and occurs in an indexed text of
-        a smaller owner. Symbols that the index doesn't have are 0. All texts go from right to left in step."""
+        a smaller owner. Symbols that the index doesn't have are 0. All texts go from right to left, and in each round each of them makes one
+        step: a symbol more, or a shorter match."""
         sizes = np.array([len(x) for x in streamed], dtype=np.int64)
-        rank = np.argsort(-sizes, kind="stable")
-        sizes, owners = sizes[rank], np.asarray(owners)[rank]
-        flat = np.concatenate([streamed[i] for i in rank]) if len(rank) else np.zeros(0, np.int64)
+        owners = np.asarray(owners)
+        flat = np.concatenate(streamed) if len(streamed) else np.zeros(0, np.int64)
         starts = np.concatenate(([0], np.cumsum(sizes)))
         out = np.zeros(len(flat), dtype=np.int32)
+        # of the texts that are not through: where they stand, their interval and its length
+        at, first, owner = starts[1:] - 1, starts[:-1], owners
         low, high, length = np.zeros(len(sizes), np.int64), np.full(len(sizes), self.n, np.int64), np.zeros(len(sizes), np.int64)
-        for step in range(int(sizes.max(initial=0))):
-            going = np.arange(np.searchsorted(-sizes, -step, side="left"))
-            at = starts[going] + sizes[going] - 1 - step
+        while True:
+            going = at >= first
+            if not going.all():
+                at, first, owner, low, high, length = (x[going] for x in (at, first, owner, low, high, length))
+            if not len(at):
+                break
             symbol = flat[at]
-            unknown = going[symbol == 0]
-            low[unknown], high[unknown], length[unknown] = 0, self.n, 0
-            open_ = symbol > 0
-            todo, symbol = going[open_], symbol[open_]
-            while len(todo):
-                a, b = self.extended(symbol, low[todo], high[todo])
-                good = a < b
-                good[good] = self.least_owner(a[good], b[good]) < owners[todo[good]]
-                done = todo[good]
-                low[done], high[done], length[done] = a[good], b[good], length[done] + 1
-                long = done[length[done] > most]
-                low[long], high[long] = self.widened(low[long], high[long], np.full(len(long), most))
-                length[long] = most
-                todo, symbol = todo[~good], symbol[~good]
-                some = length[todo] > 0
-                todo, symbol = todo[some], symbol[some]
-                shorter = np.maximum(0, np.maximum(self.lcp[low[todo]], self.lcp[high[todo]]))
-                low[todo], high[todo] = self.widened(low[todo], high[todo], shorter)
-                length[todo] = shorter
-            out[at] = length[going]
-        found: list[np.ndarray] = [np.zeros(0, np.int32)] * len(sizes)
-        for i, a, b in zip(rank.tolist(), starts.tolist(), starts[1:].tolist(), strict=False):
-            found[i] = out[a:b]
-        return found
+            a, b = self.extended(symbol, low, high)
+            good = (a < b) & (symbol > 0)
+            some = np.flatnonzero(good)
+            good[some] = self.least_owner(a[some], b[some]) < owner[some]
+            low, high, length = np.where(good, a, low), np.where(good, b, high), length + good
+            lost = ~good & (symbol == 0)
+            low[lost], high[lost], length[lost] = 0, self.n, 0
+            shorter = ~good & (length > 0)
+            change = np.flatnonzero(shorter | (length > most))
+            if len(change):
+                parent = np.maximum(0, np.maximum(self.lcp[low[change]], self.lcp[high[change]]))
+                length[change] = np.where(shorter[change], parent, most)
+                low[change], high[change] = self.widened(low[change], high[change], length[change])
+            moved = ~shorter
+            out[at[moved]] = length[moved]
+            at = at - moved
+        return np.split(out, starts[1:-1]) if len(streamed) else []
 
 
 # ---- words and stretches
@@ -375,33 +379,28 @@ def texts_of_stretches(asked: DataFrame, window: int) -> DataFrame:
     return asked.mapInArrow(cut, "shard long, role int, starts array<int>, doc_id long, crc long, words binary")
 
 
-def _symbols(rows: list[dict]) -> list[np.ndarray]:
-    """Words of each row as hashes."""
+def _hashes(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, and whose they are."""
     flat = np.frombuffer(b" ".join([x["words"] for x in rows]) + b" ", dtype=np.uint8)
     end = np.flatnonzero(flat == 0x20)
     start = np.concatenate(([0], end[:-1] + 1))
-    hashes = between(byte_sums(flat), start, end)
-    counts = np.array([x["words"].count(b" ") + 1 for x in rows])
-    return np.split(hashes, np.cumsum(counts)[:-1])
+    counts = [x["words"].count(b" ") + 1 for x in rows]
+    return between(byte_sums(flat), start, end), np.repeat(np.arange(len(rows)), counts)
 
 
 def search(rows: list[dict], window: int) -> list[tuple[int, int, int, int]]:
     """One shard: (doc_id, crc, first window, windows) of what stands in earlier documents."""
-    hashes = _symbols(rows)
     roles = np.array([x["role"] for x in rows])
-    docs = np.array([x["doc_id"] for x in rows], dtype=np.int64)
-    owners = np.unique(docs, return_inverse=True)[1]
     indexed, searched = np.flatnonzero(roles & INDEXED), np.flatnonzero(roles & SEARCHED)
     if not len(indexed) or not len(searched):
         return []
-    known = np.unique(np.concatenate([hashes[i] for i in indexed]))
-
-    def symbols(x):
-        at = np.minimum(np.searchsorted(known, x), len(known) - 1)
-        return np.where(known[at] == x, at + 1, 0)
-
-    index = FMIndex([symbols(hashes[i]) for i in indexed], owners[indexed])
-    found = index.matching_statistics([symbols(hashes[i]) for i in searched], owners[searched], window)
+    hashes, of = _hashes(rows)
+    known = np.unique(hashes[(roles & INDEXED > 0)[of]])
+    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+    symbols = np.split(np.where(known[at] == hashes, at + 1, 0), np.flatnonzero(np.diff(of)) + 1)
+    owners = np.unique(np.array([x["doc_id"] for x in rows], dtype=np.int64), return_inverse=True)[1]
+    index = FMIndex([symbols[i] for i in indexed], owners[indexed])
+    found = index.matching_statistics([symbols[i] for i in searched], owners[searched], window)
     out = []
     for i, lengths in zip(searched.tolist(), found, strict=True):
         edge = np.diff(np.concatenate(([0], lengths >= window, [0])).astype(np.int8))
