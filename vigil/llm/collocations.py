@@ -33,10 +33,12 @@ SHARE = 50
 TOP = 2_000
 #: One pair of words in so many is a trigger.
 EVERY = 32
-#: Bytes of text that a task parses or counts at once.
-BATCH = 8 << 20
+#: Bytes of text that a task parses at once.
+PARSED = 2 << 20
+#: Bytes of chunks that a task counts at once.
+BATCH = 2 << 20
 #: Entries in a range of hashes, about.
-RANGE = 3 << 20
+RANGE = 1 << 20
 
 #: What a byte is: 0 part of a word, 1 between words, 2 between pieces. Fixed values.
 _KIND = np.zeros(256, dtype=np.int8)
@@ -203,7 +205,7 @@ def chunks(docs: DataFrame, longest: int = LONGEST, every: int = EVERY) -> DataF
                 langs.append(lang)
                 held.append(text)
                 size += len(text)
-                if size >= BATCH:
+                if size >= PARSED:
                     yield from send(langs, held)
                     langs, held, size = [], [], 0
         if held:
@@ -254,6 +256,13 @@ def _salt(lang: str) -> int:
     return int(mix(sums(_CHECK[np.frombuffer(lang.encode() + b"\0", dtype=np.uint8)])[-1:])[0])
 
 
+def _one_by_one(batches):
+    """Rows that are large: one at a time."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
 def _phrases(row: dict, longest: int) -> Phrases:
     return Phrases(row["chunks"], np.frombuffer(row["f"], dtype=np.int64), longest, _salt(row["lang"]))
 
@@ -266,20 +275,20 @@ def fragments(packed: DataFrame, parts: int, longest: int = LONGEST) -> DataFram
     """Each batch's counts, one row per range of hashes."""
 
     def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                p = _phrases(row, longest)
-                h, g, n = added(p.h, p.g, p.weight)
-                part = (h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
-                edges = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
-                rows = [
-                    (int(part[a]), row["no"], _press(np.diff(h[a:b], prepend=np.uint64(0))), g[a:b].tobytes(), _press(n[a:b].astype(np.uint64)))
-                    for a, b in zip(edges, edges[1:], strict=False) if b > a
-                ]
-                for k in range(0, len(rows), 256):
-                    columns = zip(*rows[k : k + 256], strict=True)
-                    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], ["part", "no", "h", "g", "n"])
+        for row in _one_by_one(batches):
+            p = _phrases(row, longest)
+            h, g, n = added(p.h, p.g, p.weight)
+            del p
+            part = (h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+            edges = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
+            rows = [
+                (int(part[a]), row["no"], _press(np.diff(h[a:b], prepend=np.uint64(0))), g[a:b].tobytes(), _press(n[a:b].astype(np.uint64)))
+                for a, b in zip(edges, edges[1:], strict=False) if b > a
+            ]
+            for k in range(0, len(rows), 256):
+                columns = zip(*rows[k : k + 256], strict=True)
+                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], ["part", "no", "h", "g", "n"])
 
     return packed.mapInArrow(run, _FRAGMENT)
 
@@ -319,23 +328,22 @@ def named(packed: DataFrame, found: DataFrame, longest: int = LONGEST) -> DataFr
     asked = asked.select("no", F.col("asked.h").alias("h"), F.col("asked.g").alias("g"), F.col("asked.n").alias("n"))
 
     def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                p = _phrases(row, longest)
-                h, g, n = np.array(row["h"], np.int64).view(np.uint64), np.array(row["g"], np.int64).astype(np.uint32), np.array(row["n"], np.int64)
-                order = np.lexsort((g, h))
-                h, g, n = h[order], g[order], n[order]
-                left, right = np.searchsorted(h, p.h), np.searchsorted(h, p.h, side="right")
-                first = np.full(len(h), -1, dtype=np.int64)
-                at = np.flatnonzero(right > left)
-                for step in range(int((right - left).max(initial=0))):  # more than one only where 64 bits are equal by chance
-                    at = at[left[at] + step < right[at]]
-                    same = at[g[left[at] + step] == p.g[at]]
-                    first[left[same] + step] = same
-                words, k = p.words(first), p.k[first]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["lang"]] * len(words), pa.string()), pa.array(words, pa.string()), pa.array(k.astype(np.int32)), pa.array(n)], ["lang", "phrase", "k", "a"]
-                )
+        for row in _one_by_one(batches):
+            p = _phrases(row, longest)
+            h, g, n = np.array(row["h"], np.int64).view(np.uint64), np.array(row["g"], np.int64).astype(np.uint32), np.array(row["n"], np.int64)
+            order = np.lexsort((g, h))
+            h, g, n = h[order], g[order], n[order]
+            left, right = np.searchsorted(h, p.h), np.searchsorted(h, p.h, side="right")
+            first = np.full(len(h), -1, dtype=np.int64)
+            at = np.flatnonzero(right > left)
+            for step in range(int((right - left).max(initial=0))):  # more than one only where 64 bits are equal by chance
+                at = at[left[at] + step < right[at]]
+                same = at[g[left[at] + step] == p.g[at]]
+                first[left[same] + step] = same
+            words, k = p.words(first), p.k[first]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([row["lang"]] * len(words), pa.string()), pa.array(words, pa.string()), pa.array(k.astype(np.int32)), pa.array(n)], ["lang", "phrase", "k", "a"]
+            )
 
     return packed.join(asked, "no").select("lang", "chunks", packed.f.alias("f"), "h", "g", "n").mapInArrow(run, "lang string, phrase string, k int, a long")
 
@@ -381,6 +389,7 @@ def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, sh
     """lang, phrase, a, l, r, n, score of all phrases that are left."""
     spark = docs.sparkSession
     short_batches(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
     packed = dictionary(docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text")), longest, every)
     totals = packed.groupBy("lang").agg(F.sum("total").alias("n"))
     size = packed.agg(F.sum(F.length("chunks"))).first()[0] or 0
