@@ -431,6 +431,7 @@ def phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each language's first phrases by score."""
     found = collocations(table(spark, sf_dir, "documents"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.col("phrase")))
-    # the limit stands right on the rank, so each task sends its own first rows only
+    # each task sends its own first rows only: the limit stands right on the rank and is within what the optimizer carries down
+    spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", str(TOP))
     first = found.withColumn("rank", rank).where(F.col("rank") <= TOP)
     return first.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
