@@ -1,11 +1,14 @@
 """Ten trailing-window detectors over event snapshots, and suppression of repeats.
 
-A snapshot row has: event_id, t (epoch microseconds), event_type, host, source, user, source_ip, rule_matches,
+A detector prepares its rows, hands them to ``windows`` (``kernels.trailing_window``, or its streaming form in ``streaming.keyed``) and
+judges what comes back. A snapshot row has: event_id, t (epoch microseconds), event_type, host, source, user, source_ip, rule_matches,
 http_method, request_uri, status_code.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -95,10 +98,10 @@ def _minutes(width: int) -> str:
     return f"{width // MINUTE} minutes"
 
 
-def failed_login_burst(df: DataFrame, width: int = 5 * MINUTE, threshold: int = 5) -> DataFrame:
+def failed_login_burst(df: DataFrame, width: int = 5 * MINUTE, threshold: int = 5, windows: Callable = trailing_window) -> DataFrame:
     """More than ``threshold`` failed logins of one user from one address."""
     fails = df.where(is_login_failure())
-    found = trailing_window(
+    found = windows(
         fails, {"k_ip": _id("source_ip"), "k_user": _id("user")}, F.col("t"), width, query=F.lit(True), keep=_carry(),
         sums={"n": F.lit(1)}, spans={"hit": F.lit(True)},
     ).where(F.col("n") > threshold)
@@ -107,10 +110,10 @@ def failed_login_burst(df: DataFrame, width: int = 5 * MINUTE, threshold: int =
     return _matches(found, "failed_login_burst", "high", 90, 75, "n", "hit", "n", reason)
 
 
-def brute_force_success(df: DataFrame, width: int = 10 * MINUTE, threshold: int = 3) -> DataFrame:
+def brute_force_success(df: DataFrame, width: int = 10 * MINUTE, threshold: int = 3, windows: Callable = trailing_window) -> DataFrame:
     """A successful login after at least ``threshold`` failed ones of the same user."""
     failed, login = is_login_failure(), _low("event_type").contains("login")
-    found = trailing_window(
+    found = windows(
         df.where(login), {"k_user": _id("user")}, F.col("t"), width, query=~failed, keep=_carry(),
         sums={"n": failed.cast("int")}, spans={"hit": failed},
     ).where(F.col("n") >= threshold).withColumn("events", F.col("n") + 1)
@@ -119,9 +122,9 @@ def brute_force_success(df: DataFrame, width: int = 10 * MINUTE, threshold: int
     return _matches(found, "brute_force_success", "critical", 95, 95, "events", "hit", "n", reason)
 
 
-def multi_host_attack(df: DataFrame, width: int = 15 * MINUTE, threshold: int = 3) -> DataFrame:
+def multi_host_attack(df: DataFrame, width: int = 15 * MINUTE, threshold: int = 3, windows: Callable = trailing_window) -> DataFrame:
     """One address on at least ``threshold`` hosts. ``with_hosts`` adds the list of hosts."""
-    found = trailing_window(
+    found = windows(
         df, {"k_ip": _id("source_ip")}, F.col("t"), width, query=F.lit(True), keep=_carry(),
         sums={"events": F.lit(1)}, spans={"any": F.lit(True)}, distinct={"hosts": F.array(_id("host"))},
     ).where(F.col("hosts") >= threshold)
@@ -140,7 +143,7 @@ def with_hosts(matches: DataFrame, df: DataFrame, width: int) -> DataFrame:
     return matches.join(lists, "event_id").withColumns({"related_host": F.col("_hosts"), "reason": text}).drop("_hosts")
 
 
-def reconnaissance(df: DataFrame, width: int = 10 * MINUTE, threshold: int = 3) -> DataFrame:
+def reconnaissance(df: DataFrame, width: int = 10 * MINUTE, threshold: int = 3, windows: Callable = trailing_window) -> DataFrame:
     """One address active in at least ``threshold`` of four event categories."""
     kind = _low("event_type")
     categories = {
@@ -149,7 +152,7 @@ def reconnaissance(df: DataFrame, width: int = 10 * MINUTE, threshold: int = 3)
         "docker": is_container_event(),
         "http": contains_any(kind, ["http", "web", "browser"]),
     }
-    found = trailing_window(
+    found = windows(
         df, {"k_ip": _id("source_ip")}, F.col("t"), width, query=F.lit(True), keep=_carry(),
         sums={"events": F.lit(1), **{f"c_{n}": c.cast("int") for n, c in categories.items()}},
         spans={"any": F.lit(True)},
@@ -180,13 +183,13 @@ def _by_address_or_user(df: DataFrame, query: Column) -> tuple[DataFrame, dict[s
     return rows, {"role": F.col("_r.role"), "entity": F.col("_r.entity")}, F.col("_r.asks")
 
 
-def high_risk_rule_chain(df: DataFrame, width: int = 15 * MINUTE, threshold: int = 2, min_risk: int = 50) -> DataFrame:
+def high_risk_rule_chain(df: DataFrame, width: int = 15 * MINUTE, threshold: int = 2, min_risk: int = 50, windows: Callable = trailing_window) -> DataFrame:
     """At least ``threshold`` different high-risk rules for one address (else user)."""
     codes = F.transform(
         F.filter("rule_matches", lambda m: m["risk_score"] >= min_risk), lambda m: m["rule_code"]
     )
     rows, keys, asks = _by_address_or_user(df.withColumn("_codes", codes), F.size(F.coalesce(codes, F.array())) > 0)
-    found = trailing_window(
+    found = windows(
         rows, keys, F.col("t"), width, query=asks, keep=_carry(), sums={"events": F.lit(1)},
         spans={"any": F.lit(True)}, distinct={"rules": F.col("_codes")},
     ).where(F.col("rules") >= threshold)
@@ -195,11 +198,11 @@ def high_risk_rule_chain(df: DataFrame, width: int = 15 * MINUTE, threshold: int
     return _matches(found, "high_risk_rule_chain", "critical", 92, 95, "events", "any", "rules", reason)
 
 
-def download_execution_chain(df: DataFrame, width: int = 30 * MINUTE) -> DataFrame:
+def download_execution_chain(df: DataFrame, width: int = 30 * MINUTE, windows: Callable = trailing_window) -> DataFrame:
     """Browser search, browser download and process start of one user, in any order."""
     kind = _low("event_type")
     browser = kind.contains("browser")
-    found = trailing_window(
+    found = windows(
         df, {"k_user": _id("user")}, F.col("t"), width, query=F.lit(True), keep=_carry(),
         sums={
             "events": F.lit(1),
@@ -214,10 +217,10 @@ def download_execution_chain(df: DataFrame, width: int = 30 * MINUTE) -> DataFra
     return _matches(found, "browser_download_execution_chain", "critical", 88, 90, "events", "any", "events", reason)
 
 
-def container_attack(df: DataFrame, width: int = 10 * MINUTE) -> DataFrame:
+def container_attack(df: DataFrame, width: int = 10 * MINUTE, windows: Callable = trailing_window) -> DataFrame:
     """Container restart, stop and create on one host; the count covers all events of the host."""
     kind, mine = _low("event_type"), is_container_event()
-    found = trailing_window(
+    found = windows(
         df, {"k_host": _id("host")}, F.col("t"), width, query=mine, keep=_carry(),
         sums={
             "events": F.lit(1),
@@ -232,10 +235,10 @@ def container_attack(df: DataFrame, width: int = 10 * MINUTE) -> DataFrame:
     return _matches(found, "docker_attack_pattern", "high", 85, 80, "events", "any", "events", reason)
 
 
-def risk_escalation(df: DataFrame, width: int = 60 * MINUTE, threshold: int = 100) -> DataFrame:
+def risk_escalation(df: DataFrame, width: int = 60 * MINUTE, threshold: int = 100, windows: Callable = trailing_window) -> DataFrame:
     """Sum of per-event rule risk of one address (else user) reaches ``threshold``."""
     rows, keys, asks = _by_address_or_user(df, F.coalesce(F.size("rule_matches") > 0, F.lit(False)))
-    found = trailing_window(
+    found = windows(
         rows, keys, F.col("t"), width, query=asks, keep=_carry(),
         sums={"events": F.lit(1), "risk": max_rule_risk(F.col("rule_matches"))}, spans={"any": F.lit(True)},
     ).where(F.col("risk") >= threshold)
@@ -245,9 +248,9 @@ def risk_escalation(df: DataFrame, width: int = 60 * MINUTE, threshold: int = 10
     return _matches(found, "risk_score_escalation", "critical", 90, F.col("risk"), "events", "any", "risk", reason)
 
 
-def web_brute_force(df: DataFrame, width: int = 5 * MINUTE, threshold: int = 5) -> DataFrame:
+def web_brute_force(df: DataFrame, width: int = 5 * MINUTE, threshold: int = 5, windows: Callable = trailing_window) -> DataFrame:
     """Rejected POSTs to login pages from one address."""
-    found = trailing_window(
+    found = windows(
         df.where(is_web_auth_failure()), {"k_ip": _id("source_ip")}, F.col("t"), width, query=F.lit(True),
         keep=_carry(), sums={"n": F.lit(1)}, spans={"hit": F.lit(True)},
     ).where(F.col("n") >= threshold)
@@ -256,10 +259,10 @@ def web_brute_force(df: DataFrame, width: int = 5 * MINUTE, threshold: int = 5)
     return _matches(found, "nginx_brute_force", "high", 90, 80, "n", "hit", "n", reason)
 
 
-def web_recon_scan(df: DataFrame, width: int = 10 * MINUTE, threshold: int = 5, high: int = 10) -> DataFrame:
+def web_recon_scan(df: DataFrame, width: int = 10 * MINUTE, threshold: int = 5, high: int = 10, windows: Callable = trailing_window) -> DataFrame:
     """Different sensitive paths probed from one address; the count covers all its events."""
     probe = is_web_probe()
-    found = trailing_window(
+    found = windows(
         df, {"k_ip": _id("source_ip")}, F.col("t"), width, query=probe, keep=_carry(), sums={"events": F.lit(1)},
         spans={"any": F.lit(True)}, distinct={"paths": F.when(probe, F.array(_low("request_uri")))},
     ).where(F.col("paths") >= threshold)

@@ -7,4 +7,5 @@ from vigil.plans import (  # noqa: F401
     pipeline_queries,
     port_queries,
     response_queries,
+    stream_queries,
 )
