@@ -14,9 +14,12 @@ def events(seed, n, horizon, keys=3):
     ]
 
 
-@pytest.mark.parametrize("seed,width,block", [(1, 10, 10), (2, 7, 30), (3, 50, 60), (4, 1, 8)])
-def test_trailing_window_equals_loop(spark, seed, width, block):
-    rows = events(seed, 300, 400)
+@pytest.mark.parametrize("seed,width,block,horizon,keys", [
+    (1, 10, 10, 400, 3), (2, 7, 30, 400, 3), (3, 50, 60, 400, 3), (4, 1, 8, 400, 3),
+    (5, 50, 200, 40, 1), (6, 5, 20, 30, 1), (7, 1000, 4000, 300, 2), (8, 3, 3, 6, 1), (9, 100, 400, 1, 1),  # crowded blocks are cut
+])
+def test_trailing_window_equals_loop(spark, seed, width, block, horizon, keys):
+    rows = events(seed, 300, horizon, keys)
     df = spark.createDataFrame(rows, "id int, k string, t bigint, v int, f boolean")
     got = K.trailing_window(
         df, {"k": F.col("k")}, F.col("t"), width, query=F.col("v") > 0, keep={"id": F.col("id")},
@@ -37,6 +40,26 @@ def test_trailing_window_equals_loop(spark, seed, width, block):
             assert (r.f_first, r.f_last) == (min(x[2] for x in flagged), max(x[2] for x in flagged))
 
 
+def test_a_crowded_block_is_dealt_out(spark):
+    """Half of all rows stand on one key inside one window: no (key, block, sub-block) has more than twice a partition's share."""
+    from pyspark.sql import Window
+
+    n, width, block = 20_000, 1_000_000, 4_000_000
+    ids = spark.range(n).withColumn("k", F.when(F.col("id") % 2 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 97)))
+    df = ids.withColumn("t", F.when(F.col("k") == "hot", F.pmod(F.xxhash64("id"), F.lit(width))).otherwise(F.pmod(F.xxhash64("id"), F.lit(50 * width))))
+    own = F.floor(F.col("_t") / block)
+    base = df.select("k", F.col("t").alias("_t"))
+    moved = base.select("k", own.alias("_blk"), F.col("_t").alias("_at"), F.lit(1).alias("_s_n"))
+    placed = K._sub_blocks(base, moved, ["k", "_blk"], own, F.lit(False), width, block, ["n"], [], [])
+    sizes = [r["count"] for r in placed.groupBy("k", "_blk", "_sub").count().collect()]
+    assert sum(sizes) == n and max(sizes) <= 2 * n / 8 and max(sizes) < n / 2 / 3
+    got = K.trailing_window(df, {"k": F.col("k")}, F.col("t"), width, F.lit(True), {"id": F.col("id")}, {"n": F.lit(1)}, {"x": F.lit(True)},
+                            {"v": F.array(F.col("id").cast("string"), F.lit("same"))})
+    up = Window.partitionBy("k").orderBy("t").rangeBetween(-width, 0)
+    want = df.select("k", "id", F.count("*").over(up).alias("n"), F.min("t").over(up).alias("x_first"), (F.count("*").over(up) + 1).alias("v"))
+    assert got.select(*want.columns).exceptAll(want).isEmpty() and got.count() == n
+
+
 def naive_suppress(rows, controls):
     out = {}
     for key in {r[1] for r in rows}:

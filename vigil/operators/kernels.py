@@ -47,7 +47,9 @@ def trailing_window(
     A moving frame re-reads the whole window for every row. Here every contribution becomes a
     ``+x`` row at ``t`` and a ``-x`` row at ``t + width``, so ordinary running sums give the
     answer in one sorted pass, however dense the window is. Rows whose effect outlives their time block
-    are repeated in the next block, so (key, block) is the unit of work, not the key.
+    are repeated in the next block, so (key, block) is the unit of work, not the key. A block with more than its share
+    of all rows is cut into sub-blocks of about that share, and the running sums go on from the totals before them
+    (``_sub_blocks``): a key with half of all rows inside one window is spread over all tasks.
     """
     keep, sums, spans, distinct = keep or {}, sums or {}, spans or {}, distinct or {}
     block = block or 4 * width
@@ -96,27 +98,84 @@ def trailing_window(
         moved = moved.unionByName(_presence(base, key_names, name, width, own, leaves), allowMissingColumns=True)
 
     by = [*key_names, "_blk"]
-    up = Window.partitionBy(*by).orderBy("_at", "_kind").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = _sub_blocks(base, moved, by, own, leaves, width, block, list(sums), list(distinct), list(spans))
+    up = Window.partitionBy(*by, "_sub").orderBy("_at", "_kind").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     down = (
-        Window.partitionBy(*by)
+        Window.partitionBy(*by, "_sub")
         .orderBy(F.desc("_at"), F.desc("_kind"))
         .rangeBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    out = moved.select(
+
+    def before(name):
+        return F.coalesce(F.col(f"_off.{name}"), F.lit(0))
+
+    out = placed.select(
         *key_names,
         "_at",
         "_ask",
         "_keep",
-        *[F.sum(f"_s_{n}").over(up).alias(n) for n in sums],
-        *[F.sum(f"_d_{n}").over(up).alias(n) for n in distinct],
-        *[F.max(f"_l_{n}").over(up).alias(f"{n}_last") for n in spans],
+        *[(F.sum(f"_s_{n}").over(up) + before(f"_s_{n}")).alias(n) for n in sums],
+        *[(F.sum(f"_d_{n}").over(up) + before(f"_d_{n}")).alias(n) for n in distinct],
+        *[F.greatest(F.max(f"_l_{n}").over(up), F.col(f"_off._l_{n}")).alias(f"{n}_last") for n in spans],
         # the next row to leave the window is the oldest one still inside it
-        *[F.min(f"_f_{n}").over(down).alias(f"{n}_first") for n in spans],
+        *[F.least(F.min(f"_f_{n}").over(down), F.col(f"_off._f_{n}")).alias(f"{n}_first") for n in spans],
     ).where("_ask")
     aggregates = [*sums, *distinct, *[f"{n}_{e}" for n in spans for e in ("first", "last")]]
     return out.select(*key_names, F.col("_at").alias("t"), *[F.col(f"_keep.{n}").alias(n) for n in keep], *aggregates)
 
 
+#: A block is looked at in so many cells where it is cut.
+CELLS = 1024
+
+
+def _sub_blocks(base, moved, by, own, leaves, width, block, sums, distinct, spans) -> DataFrame:
+    """``moved`` with the sub-block (``_sub``) of each row and what its running sums start from (``_off``, null: nothing).
+
+    1. Blocks with more rows than a partition's share. There can't be more of them than partitions.
+    2. Of these blocks, rows and totals per cell: an aggregate that is combined before the shuffle.
+    3. Cells in order are put together to sub-blocks of a share each; prefix sums over the cells give where each one starts from.
+    4. The cuts of all blocks, two for each partition at most, go to every task. Rows are shuffled once, by (key, block, sub-block).
+
+    Cuts follow from the rows alone, so every task and every repeated task makes the same. Without a crowded block the second pass has
+    nothing to read. Rows of one cell stay together: the window needs rows of one time in one place.
+    """
+    keys = by[:-1]
+    n = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = base.select(*keys, F.explode(F.array_compact(F.array(own, F.when(leaves, own + 1)))).alias("_blk")).groupBy(*by).agg(F.count("*").alias("_n"))
+    target = counts.agg(F.greatest(F.coalesce(F.sum("_n"), F.lit(0)) / n, F.lit(1.0))).scalar()
+    crowded = counts.where(F.col("_n") > target)
+
+    place = (F.col("_at") - F.col("_blk") * block + width) * F.lit(CELLS) / (block + 2 * width)
+    moved = moved.withColumn("_cell", F.floor(place).cast("int"))
+    cells = moved.join(F.broadcast(crowded.select(*by)), by).groupBy(*by, "_cell").agg(
+        F.count("*").alias("_n"),
+        *[F.sum(f"_s_{x}").alias(f"_s_{x}") for x in sums],
+        *[F.sum(f"_d_{x}").alias(f"_d_{x}") for x in distinct],
+        *[F.max(f"_l_{x}").alias(f"_l_{x}") for x in spans],
+        *[F.min(f"_f_{x}").alias(f"_f_{x}") for x in spans],
+    )
+    ordered = Window.partitionBy(*by).orderBy("_cell")
+    prior, rest = ordered.rowsBetween(Window.unboundedPreceding, -1), ordered.rowsBetween(1, Window.unboundedFollowing)
+    edges = cells.select(
+        *by, "_cell", F.floor(F.coalesce(F.sum("_n").over(prior), F.lit(0)) / target).alias("_sub"),
+        *[F.sum(f"_{k}_{x}").over(prior).alias(f"_{k}_{x}") for k, names in (("s", sums), ("d", distinct)) for x in names],
+        *[F.max(f"_l_{x}").over(prior).alias(f"_l_{x}") for x in spans],
+        *[F.min(f"_f_{x}").over(rest).alias(f"_f_{x}") for x in spans],
+    )
+    # a sub-block goes on from what stands before its first cell, and looks ahead to what stands behind its last one
+    ahead = [*[f"_s_{x}" for x in sums], *[f"_d_{x}" for x in distinct], *[f"_l_{x}" for x in spans]]
+    subs = edges.groupBy(*by, "_sub").agg(
+        F.min("_cell").alias("_from"), *[F.min_by(c, "_cell").alias(c) for c in ahead], *[F.max_by(f"_f_{x}", "_cell").alias(f"_f_{x}") for x in spans]
+    )
+    entry = F.struct("_from", *ahead, *[f"_f_{x}" for x in spans])
+    cuts = subs.groupBy(*by).agg(F.array_sort(F.collect_list(entry)).alias("_cuts"))
+    reached = F.filter("_cuts", lambda c: c["_from"] <= F.col("_cell"))
+    return (
+        moved.join(F.broadcast(cuts), by, "left").withColumn("_off", F.try_element_at(reached, F.lit(-1)))
+        .withColumn("_sub", F.coalesce("_off._from", F.lit(0))).drop("_cuts", "_cell")
+    )
+
+
 def _presence(base, key_names, name, width, own, leaves) -> DataFrame:
     """+1 where a value enters the window, -1 where its last sighting leaves it."""
     seen = (
@@ -129,21 +188,24 @@ def _presence(base, key_names, name, width, own, leaves) -> DataFrame:
         .where(F.col("_v").isNotNull())
         .select(*key_names, "_t", "_v", F.explode("_blks").alias("_blk"))
     )
-    w = Window.partitionBy(*key_names, "_v", "_blk").orderBy("_t")
-    before, after = F.lag("_t").over(w), F.lead("_t").over(w)
+    # sightings less than a width apart are one presence, so of those within one width only the first and the last matter
+    seen = seen.groupBy(*key_names, "_v", "_blk", F.floor(F.col("_t") / max(width, 1)).alias("_cell")).agg(F.min("_t").alias("_lo"), F.max("_t").alias("_hi"))
+    w = Window.partitionBy(*key_names, "_v", "_blk").orderBy("_cell")
+    before, after = F.lag("_hi").over(w), F.lead("_lo").over(w)
     runs = seen.select(
         *key_names,
         "_blk",
-        "_t",
-        (before.isNull() | (F.col("_t") - before > width)).alias("_enter"),
-        (after.isNull() | (after - F.col("_t") > width)).alias("_leave"),
+        "_lo",
+        "_hi",
+        (before.isNull() | (F.col("_lo") - before > width)).alias("_enter"),
+        (after.isNull() | (after - F.col("_hi") > width)).alias("_leave"),
     ).where("_enter or _leave")
     step = F.array_compact(
         F.array(
-            F.when(F.col("_enter"), F.struct(F.col("_t").alias("_at"), F.lit(0).alias("_kind"), F.lit(1).alias("_n"))),
+            F.when(F.col("_enter"), F.struct(F.col("_lo").alias("_at"), F.lit(0).alias("_kind"), F.lit(1).alias("_n"))),
             F.when(
                 F.col("_leave"),
-                F.struct((F.col("_t") + width).alias("_at"), F.lit(1).alias("_kind"), F.lit(-1).alias("_n")),
+                F.struct((F.col("_hi") + width).alias("_at"), F.lit(1).alias("_kind"), F.lit(-1).alias("_n")),
             ),
         )
     )
@@ -162,8 +224,8 @@ def values_in_window(
 ) -> DataFrame:
     """Sorted distinct values in ``[t - width, t]`` for each row of ``asked`` (key columns, ``t``, id).
 
-    Sightings are first merged into runs per (key, value, time block), so the join
-    compares a row with a handful of runs instead of with every event of the key.
+    Sightings within one width are one run (an aggregate that is combined before the shuffle), so the join
+    compares a row with at most two runs of a value instead of with every event of the key.
     """
     key_names = list(keys)
     own = F.floor(F.col("_t") / width)
@@ -173,14 +235,7 @@ def values_in_window(
         .join(asked.select(*key_names).distinct(), key_names, "left_semi")
         .select(*key_names, "_t", "_v", F.explode(F.array(own, own + 1)).alias("_blk"))
     )
-    w = Window.partitionBy(*key_names, "_v", "_blk").orderBy("_t")
-    fresh = F.when(F.coalesce(F.col("_t") - F.lag("_t").over(w) > width, F.lit(True)), 1).otherwise(0)
-    runs = (
-        seen.withColumn("_new", fresh)
-        .withColumn("_run", F.sum("_new").over(w))
-        .groupBy(*key_names, "_v", "_blk", "_run")
-        .agg(F.min("_t").alias("_from"), (F.max("_t") + width).alias("_to"))
-    )
+    runs = seen.groupBy(*key_names, "_v", "_blk", F.floor(F.col("_t") / width).alias("_cell")).agg(F.min("_t").alias("_from"), (F.max("_t") + width).alias("_to"))
     probe = asked.select(*key_names, "t", id_col, F.floor(F.col("t") / width).alias("_blk"))
     hit = probe.join(runs, [*key_names, "_blk"]).where(F.col("t").between(F.col("_from"), F.col("_to")))
     return hit.groupBy(*key_names, "t", id_col).agg(F.array_sort(F.collect_set("_v")).alias("values"))
