@@ -76,7 +76,7 @@ def naive_suppress(rows, controls):
     return out
 
 
-@pytest.mark.parametrize("seed,w,block,own_time", [(1, 20, 20, False), (2, 15, 60, True), (3, 40, 90, False), (4, 5, 5, True)])
+@pytest.mark.parametrize("seed,w,block,own_time", [(6, 20, 4, False), (7, 30, 1, True), (8, 25, 5000, False), (9, 10, None, True), (1, 20, 20, False), (2, 15, 60, True), (3, 40, 90, False), (4, 5, 5, True)])
 @pytest.mark.parametrize("with_control", [False, True])
 def test_suppress_equals_loop(spark, seed, w, block, own_time, with_control):
     rnd = random.Random(seed)

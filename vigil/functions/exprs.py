@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from vigil.functions import fixed_values as fx
 
-MINUTE = 60_000_000
+SECOND = 1_000_000
+MINUTE = 60 * SECOND
 HOUR = 60 * MINUTE
 DAY = 24 * HOUR
 

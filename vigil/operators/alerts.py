@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigil.functions import fixed_values as fx
-from vigil.functions.exprs import HOUR, any_of, map_literal, or_else, severity_index, severity_name
+from vigil.functions.exprs import MINUTE, SECOND, any_of, map_literal, or_else, severity_index, severity_name
 from vigil.operators.kernels import numbered, running_count
 
 TOP = len(fx.ALERT_SEVERITIES) - 1
@@ -125,7 +125,7 @@ def escalated(first_index: Column, first_risk: Column, n: Column) -> tuple[Colum
     return index.cast("int"), F.least(F.lit(100), first_risk + 5 * one + 10 * two)
 
 
-def dedup_alerts(occurrences: DataFrame, closes: DataFrame | None = None, block: int = HOUR) -> DataFrame:
+def dedup_alerts(occurrences: DataFrame, closes: DataFrame | None = None, block: int = MINUTE) -> DataFrame:
     """One alert per open fingerprint.
 
     ``closes`` (alert_fingerprint, t) are close/resolve times: later occurrences start a new alert. Totals are one
@@ -177,16 +177,29 @@ def priority(severity: Column) -> Column:
     return F.coalesce(F.try_element_at(map_literal(fx.PRIORITY_BY_SEVERITY), severity), F.lit("P4"))
 
 
-def daily_ids(df: DataFrame, prefix: str, t: str, order: list[str], out: str, block: int = HOUR) -> DataFrame:
-    """``PREFIX-yyyymmdd-0001`` in creation order of the UTC day; the day is numbered hour by hour."""
+def daily_ids(df: DataFrame, prefix: str, t: str, order: list[str], out: str, block: int = SECOND, counters: DataFrame | None = None) -> DataFrame:
+    """``PREFIX-yyyymmdd-0001`` in creation order of the UTC day.
+
+    The day is numbered second by second, behind the totals of the seconds before: a busy hour is many tasks, and a day has 86,400 totals at
+    most. ``counters`` (``day``, ``last``) are the numbers given out by earlier runs, as ``daily_counters`` returns them.
+    """
     day = df.withColumn("_day", F.date_format(F.timestamp_micros(t), "yyyyMMdd"))
-    ranked = numbered(day, ["_day"], t, [t, *order], "_n", block)
+    given = None if counters is None else counters.select(F.col("day").alias("_day"), "last")
+    ranked = numbered(day, ["_day"], t, [t, *order], "_n", block, given)
     # four digits, more when the day is busier (lpad would truncate)
     digits = F.greatest(F.lit(4), F.length(F.col("_n").cast("string")))
     text = F.lpad(F.col("_n").cast("string"), digits, F.lit("0"))
     return ranked.withColumn(out, F.concat_ws("-", F.lit(prefix), "_day", text)).drop("_day", "_n")
 
 
+def daily_counters(ids: DataFrame, column: str, counters: DataFrame | None = None) -> DataFrame:
+    """Day and last number of all ids given out so far: what the next run goes on from. One row per day."""
+    parts = F.split(column, "-")
+    new = ids.select(F.get(parts, F.size(parts) - 2).alias("day"), F.get(parts, F.size(parts) - 1).cast("bigint").alias("last"))
+    both = new if counters is None else new.unionByName(counters.select("day", F.col("last").cast("bigint").alias("last")))
+    return both.groupBy("day").agg(F.max("last").alias("last"))
+
+
 STATUS_BY_ACTION = {
     "acknowledge": "acknowledged",
     "investigate": "investigating",

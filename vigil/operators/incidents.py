@@ -20,12 +20,12 @@ ACTIONS = {
 }
 
 
-def create_incidents(alerts: DataFrame) -> DataFrame:
-    """One open incident per alert (alert_id, alert_title, severity, created_at in micros)."""
+def create_incidents(alerts: DataFrame, counters: DataFrame | None = None) -> DataFrame:
+    """One open incident per alert (alert_id, alert_title, severity, created_at in micros); ids go on behind ``counters`` (day, last)."""
     fresh = alerts.select(
         "alert_id", F.col("alert_title").alias("title"), "severity", F.lit("open").alias("status"), "created_at"
     )
-    return daily_ids(fresh, "INC", "created_at", ["alert_id"], "incident_id")
+    return daily_ids(fresh, "INC", "created_at", ["alert_id"], "incident_id", counters=counters)
 
 
 def apply_transitions(changes: DataFrame, block: int = HOUR) -> DataFrame:

@@ -269,6 +269,27 @@ def _runs(pdf):
     return start, np.r_[start[1:], len(key)], np.cumsum(fresh) - 1
 
 
+#: A crowded block is cut into so many at most.
+FINEST = 1024
+
+
+def _time_blocks(rows: DataFrame, length: Column) -> DataFrame:
+    """``rows`` (key, t, …) with their time block: its start (``blk``) and its length (``len``).
+
+    A block with more than a partition's share of all rows is cut into as many equal parts of its time as it has shares, so a
+    busy stretch of one key makes many blocks. There are no more such blocks than partitions, and which they are follows from the rows alone.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = rows.withColumn("len", length.cast("bigint")).withColumn("blk", F.col("t") - F.pmod("t", "len"))
+    counts = cut.groupBy("key", "blk").agg(F.count("*").alias("_n"))
+    share = counts.agg(F.greatest(F.coalesce(F.sum("_n"), F.lit(0)) / n, F.lit(1.0))).scalar()
+    parts = F.least(F.lit(FINEST), F.pow(F.lit(2.0), F.ceil(F.log2(4 * F.col("_n") / share)))).cast("bigint")
+    crowded = counts.where(F.col("_n") > share).select("key", "blk", parts.alias("_parts"))
+    fine = F.greatest(F.lit(1), F.ceil(F.col("len") / F.coalesce("_parts", F.lit(1)))).cast("bigint")
+    placed = cut.join(F.broadcast(crowded), ["key", "blk"], "left").withColumn("len", fine).drop("_parts")
+    return placed.withColumn("blk", F.col("blk") + F.expr("(t - blk) div len") * F.col("len"))
+
+
 def _per_block(rows: DataFrame, order: list[str], summarise, summary_schema, walk, entry_schema, replay,
                out_schema) -> DataFrame:
     """Sequential replay per key, run in parallel over time blocks.
@@ -304,7 +325,7 @@ class _Blocks:
         start, _, run = _runs(pdf)
         self.key, self.blk = pdf["key"].to_numpy()[start], pdf["blk"].to_numpy()[start]
         length, reach = (pdf[c].to_numpy("int64")[start] for c in ("len", "reach"))
-        zero = self.blk * length
+        zero = self.blk
         self.step = int((length + reach).max()) + 2
         self.base = np.arange(len(start)) * self.step
         t, ctl = pdf["t"].to_numpy("int64"), pdf["ctl"].to_numpy() != 0
@@ -346,7 +367,7 @@ def suppress(
     """Keep a row when its key is armed; it then silences the key for all ``t <= deadline``.
 
     ``deadline`` is a value of the row that fires (anchor time plus window); ``reach`` is an upper bound of
-    ``deadline - t``, the same for all rows of a key. A key is split into blocks of twice its reach. ``control``
+    ``deadline - t``, the same for all rows of a key. A key is split into blocks of twice its reach, crowded ones more finely. ``control``
     (columns key, t, and reach when that is a column) re-arms keys at once. Returns key, id, t, ``anchor`` (the id of
     the row that fired last) and ``fires``.
     """
@@ -362,9 +383,7 @@ def suppress(
                                own.cast("bigint").alias("reach"))
         rows = rows.unionByName(marks)
     length = F.lit(block) if block else F.greatest(2 * F.col("reach"), F.lit(1))
-    rows = rows.where("key is not null and t is not null").withColumn("len", length.cast("bigint")).withColumn(
-        "blk", F.floor(F.col("t") / F.col("len"))
-    )
+    rows = _time_blocks(rows.where("key is not null and t is not null"), length)
 
     def summarise(pdf):
         b = _Blocks(pdf)
@@ -457,7 +476,8 @@ def fold_states(
             table[code[a], index[s]], allowed[code[a], index[s]] = index[target], True
     rows = df.select(
         key.alias("key"), t.alias("t"), seq.cast("bigint").alias("seq"), action.alias("action")
-    ).where("key is not null").withColumn("blk", F.floor(F.col("t") / block))
+    ).where("key is not null")
+    rows = _time_blocks(rows, F.lit(block)).drop("len")
 
     def in_step(pdf):
         """Walk all blocks together, one change of each per round; yields (row positions, runs, actions)."""
@@ -537,6 +557,11 @@ def running_count(df: DataFrame, keys: list[str], t: str, order: list[str], flag
     )
 
 
-def numbered(df: DataFrame, keys: list[str], t: str, order: list[str], out: str, block: int) -> DataFrame:
-    """1, 2, 3 … within the key in ``order``; a busy key is numbered block by block."""
-    return running_count(df, keys, t, order, F.lit(True), out, block)
+def numbered(df: DataFrame, keys: list[str], t: str, order: list[str], out: str, block: int, counters: DataFrame | None = None) -> DataFrame:
+    """1, 2, 3 … within the key in ``order``; a busy key is numbered block by block. ``counters`` (the keys and ``last``, one row a
+    key) has the numbers given out before: a key goes on behind its last one."""
+    ranked = running_count(df, keys, t, order, F.lit(True), out, block)
+    if counters is None:
+        return ranked
+    known = counters.select(*keys, F.col("last").alias("_last"))
+    return ranked.join(known, keys, "left").withColumn(out, F.col(out) + F.coalesce("_last", F.lit(0))).drop("_last")
