@@ -6,12 +6,13 @@ correlation_matches (array of structs with correlation_type, severity, risk_scor
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.functions import fixed_values as fx
 from vigil.functions.exprs import MINUTE, SECOND, any_of, map_literal, or_else, severity_index, severity_name
 from vigil.operators.kernels import numbered, running_count
+from vigil.sources.stored import KeyedTable
 
 TOP = len(fx.ALERT_SEVERITIES) - 1
 
@@ -125,12 +126,13 @@ def escalated(first_index: Column, first_risk: Column, n: Column) -> tuple[Colum
     return index.cast("int"), F.least(F.lit(100), first_risk + 5 * one + 10 * two)
 
 
-def dedup_alerts(occurrences: DataFrame, closes: DataFrame | None = None, block: int = MINUTE) -> DataFrame:
-    """One alert per open fingerprint.
+def alert_totals(occurrences: DataFrame, closes: DataFrame | None = None, earlier: DataFrame | None = None, block: int = MINUTE) -> DataFrame:
+    """What occurrences add up to per fingerprint and episode, in a form that adds up further (``merge_totals``).
 
-    ``closes`` (alert_fingerprint, t) are close/resolve times: later occurrences start a new alert. Totals are one
-    aggregate with map-side combine, so a fingerprint that fires all day never gathers its events. The rule codes are
-    part of the fingerprint, so the first occurrence already has all rules of the alert.
+    ``closes`` (alert_fingerprint, t) are close/resolve times: later occurrences start a new episode. ``earlier``
+    (alert_fingerprint, closed) counts the closes of earlier runs. Totals are one aggregate with map-side combine, so
+    a fingerprint that fires all day never gathers its events. The rule codes are part of the fingerprint, so the
+    first occurrence already has all rules of the alert.
     """
     rows = occurrences.select(
         "alert_fingerprint", "t", "event_id", "alert_title", "alert_type", "alert_severity", "confidence", "risk",
@@ -144,27 +146,51 @@ def dedup_alerts(occurrences: DataFrame, closes: DataFrame | None = None, block:
         rows = counted.where("not _close")
     else:
         rows = rows.withColumn("episode", F.lit(0).cast("bigint"))
-    key, order = ["alert_fingerprint", "episode"], F.struct("t", "event_id")
+    if earlier is not None:
+        rows = rows.join(earlier, "alert_fingerprint", "left").withColumn("episode", F.col("episode") + F.coalesce("closed", F.lit(0))).drop("closed")
+    order = F.struct("t", "event_id")
     first = F.struct(
         "event_id", "alert_title", "alert_type", "alert_severity", "risk", "source", "source_ip", "host", "user",
         "rule_codes",
     )
-    totals = rows.groupBy(*key).agg(
+    return rows.groupBy("alert_fingerprint", "episode").agg(
         F.count("*").alias("occurrence_count"),
         F.min("t").alias("first_seen"),
         F.max("t").alias("last_seen"),
+        F.min(order).alias("first_order"),
         F.min_by(first, order).alias("f"),
+        F.max(order).alias("last_order"),
         F.max_by("confidence", order).alias("confidence"),
         # a stored risk of 0 is replaced by the risk of a later occurrence before it escalates
-        F.min_by("risk", F.when(F.col("risk") > 0, order)).alias("_risk"),
+        F.min(F.when(F.col("risk") > 0, order)).alias("risk_order"),
+        F.min_by("risk", F.when(F.col("risk") > 0, order)).alias("first_risk"),
+    )
+
+
+def merge_totals(both: DataFrame) -> DataFrame:
+    """One row per fingerprint and episode from rows of several ``alert_totals``."""
+    return both.groupBy("alert_fingerprint", "episode").agg(
+        F.sum("occurrence_count").alias("occurrence_count"),
+        F.min("first_seen").alias("first_seen"),
+        F.max("last_seen").alias("last_seen"),
+        F.min("first_order").alias("first_order"),
+        F.min_by("f", "first_order").alias("f"),
+        F.max("last_order").alias("last_order"),
+        F.max_by("confidence", "last_order").alias("confidence"),
+        F.min("risk_order").alias("risk_order"),
+        F.min_by("first_risk", "risk_order").alias("first_risk"),
     )
+
+
+def alerts_of(totals: DataFrame) -> DataFrame:
+    """Alerts as they stand after all occurrences in ``totals``."""
     index, risk = escalated(
-        severity_index(F.col("f.alert_severity")), F.coalesce("_risk", "f.risk"), F.col("occurrence_count")
+        severity_index(F.col("f.alert_severity")), F.coalesce("first_risk", "f.risk"), F.col("occurrence_count")
     )
     return (
         totals.withColumns({"_idx": index, "risk_score": risk})
         .select(
-            *key, "f.event_id", "f.alert_title", "f.alert_type",
+            "alert_fingerprint", "episode", "f.event_id", "f.alert_title", "f.alert_type",
             F.coalesce(severity_name(F.when(F.col("_idx") >= 0, F.col("_idx"))), F.col("f.alert_severity")).alias("severity"),
             "risk_score", "confidence", "occurrence_count", "first_seen", "last_seen", "f.source", "f.source_ip",
             "f.host", "f.user", "f.rule_codes",
@@ -173,6 +199,43 @@ def dedup_alerts(occurrences: DataFrame, closes: DataFrame | None = None, block:
     )
 
 
+def dedup_alerts(occurrences: DataFrame, closes: DataFrame | None = None, block: int = MINUTE) -> DataFrame:
+    """One alert per open fingerprint, of one run alone."""
+    return alerts_of(alert_totals(occurrences, closes, block=block))
+
+
+class StoredAlerts:
+    """Alerts that runs add to: totals by fingerprint and episode, and how often a fingerprint has been closed.
+
+    Runs come in the order of their events; inside a run any order will do. A run's name is what makes it count once.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
+        empty = spark.createDataFrame([], _OCCURRENCE)
+        self.totals = KeyedTable(spark, f"{path}/totals", alert_totals(empty).schema, ["alert_fingerprint", "episode"], buckets)
+        self.closed = KeyedTable(spark, f"{path}/closed", spark.createDataFrame([], "alert_fingerprint string, closed bigint").schema, ["alert_fingerprint"], buckets)
+
+    def add(self, occurrences: DataFrame, run: str, closes: DataFrame | None = None) -> bool:
+        """False when the run has been added before."""
+        if closes is None:
+            closes = occurrences.sparkSession.createDataFrame([], "alert_fingerprint string, t bigint")
+        # the closes of this run are stored last: until then a repetition of the run finds what the first attempt found
+        added = self.totals.upsert(alert_totals(occurrences, closes, self.closed.read()), merge_totals, run)
+        counts = closes.groupBy("alert_fingerprint").agg(F.count("*").alias("closed"))
+        fold = lambda both: both.groupBy("alert_fingerprint").agg(F.sum("closed").alias("closed"))
+        self.closed.upsert(counts, fold, run)
+        return added
+
+    def alerts(self) -> DataFrame:
+        return alerts_of(self.totals.read())
+
+
+_OCCURRENCE = (
+    "alert_fingerprint string, t bigint, event_id bigint, alert_title string, alert_type string, alert_severity string, confidence int, risk int, "
+    "source string, source_ip string, host string, user string, rule_matches array<struct<rule_code:string>>"
+)
+
+
 def priority(severity: Column) -> Column:
     return F.coalesce(F.try_element_at(map_literal(fx.PRIORITY_BY_SEVERITY), severity), F.lit("P4"))
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.functions import fixed_values as fx
 from vigil.functions.exprs import blank_to_null, event_time, is_ip, once, or_else, strip
+from vigil.sources.stored import KeyedTable
 
 MAP = "map<string,string>"
 
@@ -195,8 +196,11 @@ def quarantine_hash() -> Column:
     return F.sha2(F.concat(*[F.coalesce(p, F.lit("")) for p in parts]), 256)
 
 
-def quarantine(invalid: DataFrame, order: list[str], raw: str = "raw") -> DataFrame:
-    """One row per distinct rejected payload: the first rejection, and how often it came."""
+def quarantine(invalid: DataFrame, order: list[str], raw: str = "raw", ranked: bool = False) -> DataFrame:
+    """One row per distinct rejected payload: the first rejection, and how often it came.
+
+    ``ranked`` adds ``first_order``, where the first one stands in ``order``: what ``merge_counts`` needs to go on in a later run.
+    """
     meta = F.from_json(F.col("fields")["metadata"], MAP)
     first = F.struct(
         pick("source").alias("source"),
@@ -210,8 +214,8 @@ def quarantine(invalid: DataFrame, order: list[str], raw: str = "raw") -> DataFr
     return (
         invalid.withColumn("quarantine_hash", quarantine_hash())
         .groupBy("quarantine_hash")
-        .agg(F.min_by(first, F.struct(*order)).alias("f"), F.count("*").alias("quarantined_count"))
-        .select("quarantine_hash", "quarantined_count", "f.*")
+        .agg(F.min_by(first, F.struct(*order)).alias("f"), F.count("*").alias("quarantined_count"), F.min(F.struct(*order)).alias("first_order"))
+        .select("quarantine_hash", "quarantined_count", "f.*", *(["first_order"] if ranked else []))
     )
 
 
@@ -234,8 +238,8 @@ def unknown_hash() -> Column:
     return F.sha2(F.concat(*parts), 256)
 
 
-def unknown_logs(df: DataFrame, order: list[str]) -> DataFrame:
-    """One row per distinct unclassified event. Expects classification and parse columns and ``ts``."""
+def unknown_logs(df: DataFrame, order: list[str], ranked: bool = False) -> DataFrame:
+    """One row per distinct unclassified event. Expects classification and parse columns and ``ts``. ``ranked`` as for ``quarantine``."""
     first = F.struct(
         "source",
         unknown_collector(F.col("source")).alias("collector_name"),
@@ -252,8 +256,9 @@ def unknown_logs(df: DataFrame, order: list[str]) -> DataFrame:
             F.min_by(first, F.struct(*order)).alias("f"),
             F.count("*").alias("occurrence_count"),
             F.min("ts").alias("first_seen"),
+            F.min(F.struct(*order)).alias("first_order"),
         )
-        .select("unknown_hash", "occurrence_count", "first_seen", "f.*")
+        .select("unknown_hash", "occurrence_count", "first_seen", "f.*", *(["first_order"] if ranked else []))
     )
 
 
@@ -266,3 +271,18 @@ def merge_counts(stored: DataFrame, new: DataFrame, key: str, count: str, order:
         .agg(F.sum(count).alias(count), F.min_by(F.struct(*rest), order).alias("f"))
         .select(key, count, "f.*")
     )
+
+
+class StoredCounts:
+    """A quarantine or unknown-log table that runs add to: counts add up, the earliest row stays, a run counts once."""
+
+    def __init__(self, spark: SparkSession, path: str, rows: DataFrame, key: str, count: str, buckets: int = 64):
+        self.key, self.count = key, count
+        self.table = KeyedTable(spark, path, rows.schema, [key], buckets)
+
+    def add(self, rows: DataFrame, run: str) -> bool:
+        """``rows`` of ``quarantine`` or ``unknown_logs`` with ``ranked``. False when the run has been added before."""
+        return self.table.upsert(rows, lambda both: merge_counts(both, both.limit(0), self.key, self.count, "first_order"), run)
+
+    def rows(self) -> DataFrame:
+        return self.table.read().drop("first_order")

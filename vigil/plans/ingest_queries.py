@@ -9,6 +9,7 @@ from vigil.operators import ingest as I
 from vigil.operators.classify import classify_log_type
 from vigil.plans.adapters import oracle
 from vigil.plans.registry import query
+from vigil.streaming.storage import new_folder
 from vigil.sources import collectors as C
 from vigil.sources import readers as R
 
@@ -301,17 +302,36 @@ def _(t):
     return validated(t).where("status = 'INVALID'").select("event_id", I.quarantine_hash().alias("quarantine_hash"))
 
 
-@query("quarantine_dedup", oracle("""SELECT sha256(CASE m WHEN 0 THEN 'appno type ' || CAST(user_id % 7 AS VARCHAR)
+QUARANTINED = oracle("""SELECT sha256(CASE m WHEN 0 THEN 'appno type ' || CAST(user_id % 7 AS VARCHAR)
   WHEN 1 THEN 'appauth.failuremnot-a-time' ELSE '' END) AS quarantine_hash, count(*) AS quarantined_count,
   arg_min(stage, event_id) AS stage, arg_min(CASE m WHEN 0 THEN 'Missing required event_type' ELSE errors END, event_id) AS rejection_reason,
   arg_min(CASE WHEN m IN (0, 1) THEN 'app' ELSE '' END, event_id) AS collector_name
-  FROM verdict WHERE status = 'INVALID' GROUP BY 1""", VERDICT))
+  FROM verdict WHERE status = 'INVALID' GROUP BY 1""", VERDICT)
+
+
+@query("quarantine_dedup", QUARANTINED)
 def _(t):
     _, held = I.route(validated(t))
     return I.quarantine(held, ["event_id"]).select(
         "quarantine_hash", "quarantined_count", "stage", "rejection_reason", F.coalesce("collector_name", F.lit("")).alias("collector_name"))
 
 
+def added_in_runs(t, stored, rows):
+    """Thirds of the events as runs of their own, the second one twice: a run that was added before changes nothing."""
+    for run in (0, 1, 1, 2):
+        stored.add(rows(F.col("event_id") % 3 == run), f"run {run}")
+    return stored.rows()
+
+
+@query("quarantine_runs", QUARANTINED)
+def _(t):
+    _, held = I.route(validated(t))
+    rows = lambda some: I.quarantine(held.where(some), ["event_id"], ranked=True)
+    stored = I.StoredCounts(t.spark, new_folder(t.spark, "quarantine"), rows(F.lit(False)), "quarantine_hash", "quarantined_count", 8)
+    return added_in_runs(t, stored, rows).select(
+        "quarantine_hash", "quarantined_count", "stage", "rejection_reason", F.coalesce("collector_name", F.lit("")).alias("collector_name"))
+
+
 def odd_sources(t):
     names = ["chrome-x", "Docker", "my windows", "syslog1", "FIREWALL", "", "web app-1", "db_collector"]
     return t.snapshot.withColumn("source", F.get(F.array(*map(F.lit, names)), F.col("k") % 8))
@@ -338,13 +358,29 @@ def _(t):
     return out.select("unknown_hash", "occurrence_count", "first_seen", "collector_name", "parser_confidence", "detection_confidence")
 
 
-@query("unknown_dedup_all", oracle("""SELECT sha256('dev' || 'thing ' || CAST(k AS VARCHAR) || 'odd') AS unknown_hash,
+UNKNOWN = oracle("""SELECT sha256('dev' || 'thing ' || CAST(k AS VARCHAR) || 'odd') AS unknown_hash,
   count(*) AS occurrence_count, min(t) AS first_seen, 'dev_collector' AS collector_name, 30 AS parser_confidence,
-  20 AS detection_confidence FROM snap GROUP BY k"""))
-def _(t):
+  20 AS detection_confidence FROM snap GROUP BY k""")
+
+
+def odd_events(t):
     s = t.snapshot.select(
         "event_id", F.col("t").alias("ts"), F.lit("dev").alias("source"), F.lit("odd").alias("event_type"),
         F.concat(F.lit("thing "), F.col("k").cast("string")).alias("message"), F.lit("text").alias("detected_format"),
         F.lit(0.3).alias("parsing_confidence"), F.from_json(F.lit("{}"), "map<string,string>").alias("metadata"))
-    out = I.unknown_logs(classify_log_type(s), ["ts", "event_id"])
-    return out.select("unknown_hash", "occurrence_count", "first_seen", "collector_name", "parser_confidence", "detection_confidence")
+    return classify_log_type(s)
+
+
+UNKNOWN_COLUMNS = ["unknown_hash", "occurrence_count", "first_seen", "collector_name", "parser_confidence", "detection_confidence"]
+
+
+@query("unknown_dedup_all", UNKNOWN)
+def _(t):
+    return I.unknown_logs(odd_events(t), ["ts", "event_id"]).select(*UNKNOWN_COLUMNS)
+
+
+@query("unknown_runs", UNKNOWN)
+def _(t):
+    rows = lambda some: I.unknown_logs(odd_events(t).where(some), ["ts", "event_id"], ranked=True)
+    stored = I.StoredCounts(t.spark, new_folder(t.spark, "unknown"), rows(F.lit(False)), "unknown_hash", "occurrence_count", 8)
+    return added_in_runs(t, stored, rows).select(*UNKNOWN_COLUMNS)

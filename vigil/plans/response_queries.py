@@ -13,7 +13,7 @@ from vigil.operators.detect import detect
 from vigil.plans.adapters import HOUR, oracle
 from vigil.plans.detect_queries import BURST, CODES, HITS, RISK, VERDICT, detector, matched
 from vigil.plans.registry import query
-from vigil.streaming.storage import written
+from vigil.streaming.storage import new_folder, written
 
 SEV = "['informational','low','medium','high','critical']"
 AS_OF = "(SELECT max(t) FROM snap)"
@@ -101,11 +101,31 @@ def alerts(t):
     return A.dedup_alerts(occ, closes)
 
 
-@query("alert_dedup", oracle("""SELECT fp AS alert_fingerprint, episode, event_id, n AS occurrence_count, first_seen, last_seen, title, confidence,
-  CASE WHEN codes = '' THEN '' ELSE array_to_string(list_sort(string_split(codes, ',')), ',') END AS rule_codes FROM alerts""", *ALERTS))
+DEDUPED = oracle("""SELECT fp AS alert_fingerprint, episode, event_id, n AS occurrence_count, first_seen, last_seen, title, confidence,
+  CASE WHEN codes = '' THEN '' ELSE array_to_string(list_sort(string_split(codes, ',')), ',') END AS rule_codes FROM alerts""", *ALERTS)
+
+
+def deduped(found):
+    return found.select("alert_fingerprint", "episode", "event_id", "occurrence_count", "first_seen", "last_seen", F.col("alert_title").alias("title"),
+                        "confidence", F.coalesce(F.array_join("rule_codes", ","), F.lit("")).alias("rule_codes"))
+
+
+@query("alert_dedup", DEDUPED)
 def _(t):
-    return alerts(t).select("alert_fingerprint", "episode", "event_id", "occurrence_count", "first_seen", "last_seen", F.col("alert_title").alias("title"),
-                            "confidence", F.coalesce(F.array_join("rule_codes", ","), F.lit("")).alias("rule_codes"))
+    return deduped(alerts(t))
+
+
+# the events in four runs by time, every run twice: the stored alerts equal those of one run
+@query("alert_runs", DEDUPED)
+def _(t):
+    occ = written(occurrences(t), "occurrences")
+    stored = A.StoredAlerts(t.spark, new_folder(t.spark, "alerts"), 8)
+    first, last = occ.agg(F.min("t"), F.max("t")).first()
+    part = F.floor((F.col("t") - first) * 4 / (last + 1 - first))
+    for run in (0, 0, 1, 1, 2, 3, 3):
+        rows = occ.where(part == run)
+        stored.add(rows, f"run {run}", rows.where("event_id % 1000 = 300").select("alert_fingerprint", "t"))
+    return deduped(stored.alerts())
 
 
 @query("alert_escalation", oracle("""SELECT fp AS alert_fingerprint, episode, severity, risk_score,
