@@ -125,6 +125,39 @@ def _(t):
         "event_id", F.concat_ws(",", F.when(F.col("_p") != "", F.col("_p")), F.when(F.col("_b") != "", F.col("_b"))).alias("rule_codes"))
 
 
+# about a thousand rules, one per brand and size of the parts: plain texts, regexes, and patterns that only Python takes or nobody does
+def part_rules(t):
+    brand = F.substring_index("p_brand", "#", -1).cast("int")
+    pairs = t.table("part").select(brand.alias("b"), F.col("p_size").alias("z")).distinct()
+    z, kind = F.col("z").cast("string"), F.col("b") % 5
+    pattern = (
+        F.when(kind == 0, F.concat(F.lit("/page "), z, F.lit("$/"))).when(kind == 1, F.concat(F.lit(" Item "), z, F.lit(" Down ")))
+        .when(kind == 2, F.concat(F.lit("/(?P<who>USER) "), z, F.lit("\\Z/i"))).when(kind == 3, F.concat(F.lit("/page ("), z, F.lit("/")))
+        .otherwise(F.concat(F.lit("/^(query|get).* "), z, F.lit(r"\b/i")))
+    )
+    none = lambda kind: F.lit(None).cast(kind)
+    return pairs.select(
+        (F.col("b") * 100 + F.col("z")).alias("id"), F.concat(F.lit("rule "), z).alias("rule_name"), F.concat_ws("-", F.col("b").cast("string"), z).alias("rule_code"),
+        F.lit("pattern").alias("rule_type"), F.lit("high").alias("severity"), F.when(F.col("b") % 2 == 0, "nginx").alias("source_type"),
+        none("string").alias("event_type_pattern"), pattern.alias("message_pattern"), none("int").alias("threshold_count"), none("int").alias("threshold_minutes"),
+        (F.col("z") % 100).cast("int").alias("risk_score"), F.lit(True).alias("is_enabled"),
+        none("array<struct<field:string,op:string,values:array<string>>>").alias("conditions"),
+    )
+
+
+THOUSAND = """pr AS (SELECT DISTINCT CAST(split_part(p_brand, '#', 2) AS INT) AS b, p_size AS z FROM part),
+hit AS (SELECT event_id, b, z, b * 100 + z AS id FROM snap JOIN pr ON (b % 2 <> 0 OR contains(source, 'nginx')) AND CASE b % 5
+  WHEN 0 THEN regexp_matches(message, 'page ' || z || '$') WHEN 1 THEN contains(lower(message), 'item ' || z || ' down')
+  WHEN 2 THEN regexp_matches(message, 'USER ' || z || '$', 'i') WHEN 4 THEN regexp_matches(message, '^(query|get).* ' || z || '\\b', 'i') ELSE false END)"""
+
+
+@query("rule_thousand", oracle("""SELECT event_id, count(*) AS n, arg_min(b || '-' || z, id) AS first_rule, string_agg(b || '-' || z, ',' ORDER BY id) AS rule_codes
+  FROM hit GROUP BY event_id""", THOUSAND))
+def _(t):
+    out = R.match_rules(t.snapshot.select("event_id", "source", "event_type", "message"), R.load_rules(part_rules(t))).where(F.size("rule_matches") > 0)
+    return out.select("event_id", F.size("rule_matches").cast("bigint").alias("n"), F.col("rule_matches")[0]["rule_code"].alias("first_rule"), codes().alias("rule_codes"))
+
+
 @query("rule_max_risk", oracle(f"SELECT event_id, {RISK} AS risk FROM hits", HITS))
 def _(t):
     return matched(t).select("event_id", R.max_rule_risk(F.col("rule_matches")).alias("risk"))

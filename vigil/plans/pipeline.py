@@ -52,9 +52,7 @@ def run(
     typed = ingest.normalize(classified, F.col("received"), keep=["event_id", *PARSE_FIELDS]).withColumn("t", micros(F.col("ts")))
     unique = typed if count_duplicates else ingest.drop_duplicate_events(typed, ["event_id"])
     stored_rules = rules.load_rules(rule_table)
-    if stored_rules is None:
-        raise ValueError("too many rules for expressions: match them with rules.rule_theta_join")
-    ruled = rules.pattern_rules(unique, stored_rules)
+    ruled = rules.match_rules(unique, stored_rules)
     ruled = rules.pattern_rules(ruled, rules.load_rules(rules.web_rules(spark)), out="web_matches")
     fields = {n: F.col("metadata")[n] for n in WEB_FIELDS}
     seen = written(detect(ruled).withColumns(fields), "events")
