@@ -41,7 +41,8 @@ WORDS = 5
 #: similar when 100 * intersection >= PERCENT * union
 PERCENT = 75
 RADIUS = 1 - PERCENT / 100
-COUNTERS = 1 << 18
+COUNTER_BITS = 21
+COUNTERS = 1 << COUNTER_BITS
 #: A sketch has so many bits at least.
 SKETCH_BITS = 1024
 #: A region up to this size joins its members directly.
@@ -96,17 +97,17 @@ def class_id(found: np.ndarray) -> int:
 def levels(counters: np.ndarray) -> np.ndarray:
     """How many times twice the mean count each counter holds, as a power of two: 0 for all but common shingles."""
     mean = max(1.0, counters.sum() / len(counters))
-    return np.floor(np.log2(np.maximum(1.0, counters / mean))).astype(np.uint64)
+    return np.floor(np.log2(np.maximum(1.0, counters / mean))).astype(np.uint8)
 
 
 def counter_of(found: np.ndarray) -> np.ndarray:
-    return (found >> np.uint64(64 - 18)).astype(np.int64)
+    return (found >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
 
 
 def prefix(found: np.ndarray, level: np.ndarray) -> np.ndarray:
     """The pivots into whose regions a document goes."""
     n = len(found)
-    place = (level[counter_of(found)] << np.uint64(58)) | (found >> np.uint64(6))
+    place = (level[counter_of(found)].astype(np.uint64) << np.uint64(58)) | (found >> np.uint64(6))
     return found[np.argsort(place, kind="stable")[: n - (-(-PERCENT * n // 100)) + 1]]
 
 
@@ -166,7 +167,7 @@ def memberships(docs: DataFrame, level: np.ndarray, parts: np.ndarray) -> DataFr
     def packed(rows):
         s = np.concatenate([r[0] for r in rows])
         c = np.repeat(np.array([r[1] for r in rows], dtype=np.int64), [len(r[0]) for r in rows])
-        of = parts[counter_of(s)]
+        of = parts[counter_of(s)].astype(np.uint64)
         part = mix(c.view(np.uint64)) % of
         return pa.RecordBatch.from_arrays([signed(s), pa.array(part.astype(np.int32)), pa.array(of > 1), pa.array(c)], ["s", "part", "dealt", "c"])
 
@@ -189,9 +190,9 @@ def near_sketches(pairs: DataFrame) -> DataFrame:
             apart = np.array([differing(x, y) for x, y in zip(batch.column("data").to_pylist(), batch.column("other").to_pylist(), strict=True)], dtype=np.int64)
             total = batch.column("n").to_numpy(zero_copy_only=False) + batch.column("m").to_numpy(zero_copy_only=False)
             fits = (100 + PERCENT) * apart <= (100 - PERCENT) * total
-            yield batch.select(["a", "b", "i", "j"]).filter(pa.array(fits, pa.bool_()))
+            yield batch.select(["a", "b"]).filter(pa.array(fits, pa.bool_()))
 
-    return pairs.mapInArrow(keep, "a long, b long, i long, j long")
+    return pairs.mapInArrow(keep, "a long, b long")
 
 
 def distances(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -201,16 +202,18 @@ def distances(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
     that are still in question, and sent to where the pivot ``a`` goes: one place, or several if many are to be
     measured against it.
     """
-    one = classes.select(F.col("c").alias("a"), "n", "data", F.col("doc_id").alias("i"))
-    two = classes.select(F.col("c").alias("b"), F.col("n").alias("m"), F.col("data").alias("other"), F.col("doc_id").alias("j"))
+    one = classes.select(F.col("c").alias("a"), "n", "data")
+    two = classes.select(F.col("c").alias("b"), F.col("n").alias("m"), F.col("data").alias("other"))
     sized = pairs.join(one, "a").join(two, "b").where(sizes_fit("n", "m"))
     asked = written(near_sketches(sized), "pairs")
     places = F.ceil(F.col("k") / TOGETHER).cast("int")
-    pivots = written(asked.groupBy("a", "i").agg(F.count("*").alias("k")).select("a", "i", places.alias("places")), "pivots")
-    others = asked.join(pivots.select("a", "places"), "a").select(F.col("j").alias("doc_id"), "a", F.pmod(F.xxhash64("b"), "places").cast("int").alias("place"))
-    selves = pivots.select(F.col("i").alias("doc_id"), "a", F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("place"))
-    sent = others.union(selves).groupBy("doc_id").agg(F.collect_set(F.struct("a", "place")).alias("to"))
-    sent = written(sent.select("doc_id", F.col("to.a").alias("pivots"), F.col("to.place").alias("places")), "sent")
+    pivots = written(asked.groupBy("a").agg(F.count("*").alias("k")).select("a", places.alias("places")), "pivots")
+    others = asked.join(pivots, "a").select(F.col("b").alias("c"), "a", F.pmod(F.xxhash64("b"), "places").cast("int").alias("place"))
+    selves = pivots.select(F.col("a").alias("c"), "a", F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("place"))
+    sent = others.union(selves).groupBy("c").agg(F.collect_set(F.struct("a", "place")).alias("to"))
+    # the document that stands for a class, by id and text: rows without an id, or several texts of one id, are told apart
+    sent = sent.join(classes.select("c", "of"), "c").select("of.doc_id", "of.h", F.col("to.a").alias("pivots"), F.col("to.place").alias("places"))
+    sent = written(sent, "sent")
 
     def sets(batches):
         for batch in batches:
@@ -241,7 +244,7 @@ def distances(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], ["a", "b", "d", "link"])
 
     return (
-        docs.join(sent, "doc_id").select("text", "pivots", "places").mapInArrow(sets, "a long, place int, self boolean, b long, set binary")
+        docs.withColumn("h", F.xxhash64("text")).join(sent, ["doc_id", "h"]).select("text", "pivots", "places").mapInArrow(sets, "a long, place int, self boolean, b long, set binary")
         .repartition(partitions(docs.sparkSession), "a", "place").sortWithinPartitions("a", "place", F.desc("self"))
         .mapInArrow(compare, "a long, b long, d double, link boolean")
     )
@@ -307,10 +310,10 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
     seen = written(measured(docs), "measured")
     counters = summed(seen.where("part = 0"), "data", COUNTERS)
     level = levels(counters)
-    parts = np.where(level > 0, np.maximum(1, counters // PART), 1).astype(np.uint64)
+    parts = np.where(level > 0, np.clip(counters // PART, 1, 65_535), 1).astype(np.uint16)
     own = seen.where("part = -1")
     # one document stands for all of a class
-    classes = written(own.where("n > 0").groupBy("c").agg(F.first("n").alias("n"), F.min("doc_id").alias("doc_id"), F.first("data").alias("data"), F.first("short").alias("short")), "classes")
+    classes = written(own.where("n > 0").groupBy("c").agg(F.first("n").alias("n"), F.min(F.struct("doc_id", "h")).alias("of"), F.first("data").alias("data"), F.first("short").alias("short")), "classes")
 
     part = Window.partitionBy("s", "part")
     members = (
@@ -322,8 +325,15 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
     # each member with the pivot of its part, and the pivots of a region's parts with the smallest of them
     heads = members.where("dealt").select("s", "p").distinct()
     first = heads.groupBy("s").agg(F.min("p").alias("head"))
-    stars = members.select(*ordered("c", "p")).union(heads.join(first, "s").select(*ordered("p", "head"))).where("a <> b").distinct()
-    tested = written(distances(stars, classes, docs), "distances")
+    stars = written(members.select("c", "p").union(heads.join(first, "s").select(F.col("p").alias("c"), F.col("head").alias("p"))).where("c <> p").distinct(), "stars")
+    # near copies share most of their regions: first one pivot for each member, then only what that left apart
+    nearest = stars.groupBy("c").agg(F.min("p").alias("p")).select(*ordered("c", "p")).distinct()
+    tested = written(distances(nearest, classes, docs), "distances")
+    labels = components(tested.where("link").select("a", "b"))
+    left, right = (labels.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}")) for x in ("c", "p"))
+    apart = stars.join(left, "c", "left").join(right, "p", "left").where(F.coalesce("of_c", "c") != F.coalesce("of_p", "p"))
+    rest = apart.select(*ordered("c", "p")).distinct().join(tested, ["a", "b"], "left_anti")
+    tested = tested.union(written(distances(rest, classes, docs), "distances"))
     links = tested.where("link").select("a", "b")
     labels = components(links)
     # a region of two has been done with: one of them was its pivot
