@@ -53,6 +53,8 @@ TOGETHER = 500
 PIVOTS = 16
 #: Members of a region that go to one task, about, when the counts show that it is large.
 PART = 2_000
+#: A member of a region names so many of its other regions at most: a pair that meets in one of them before is left to that one.
+NAMED = 256
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -255,11 +257,14 @@ def distances(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
 
 def joined_regions(members: DataFrame, n: int) -> DataFrame:
     """Pairs of members of a region (``s``, at most ``LEAF`` of them) that are in different components and that neither sizes, nor the
-    distances to their pivot, nor the short sketches tell apart."""
+    distances to their pivot, nor the short sketches tell apart. A pair with several regions in common goes out from the first of them
+    (``others`` are a member's regions in order; a pair that meets beyond those named may go out twice)."""
 
     def pairs(region: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         c, n, label, d, p = (region[x] for x in ("c", "n", "label", "d", "p"))
         marks = np.frombuffer(b"".join(region["short"]), dtype=np.uint64).reshape(len(c), -1)
+        here = region["s"][0]
+        before = [{x for x in others if x < here} for others in region["others"]]
         names, of = np.unique(label, return_inverse=True)
         most = np.bincount(of, minlength=len(names)).argmax()
         outside = np.flatnonzero(of != most)  # pairs within the largest component need not be looked at
@@ -273,7 +278,9 @@ def joined_regions(members: DataFrame, n: int) -> DataFrame:
             x, y = np.nonzero(fits)
             apart = np.bitwise_count(marks[i[x]] ^ marks[y]).sum(axis=1, dtype=np.int64)
             near = (100 + PERCENT) * apart <= (100 - PERCENT) * (n[i[x]] + n[y])
-            found.append((c[i[x[near]]], c[y[near]]))
+            a, b = i[x[near]], y[near]
+            new = np.array([before[p].isdisjoint(before[q]) for p, q in zip(a.tolist(), b.tolist(), strict=True)], dtype=bool)
+            found.append((c[a[new]], c[b[new]]))
         return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (c[:0], c[:0])
 
     def join(batches):
@@ -281,6 +288,10 @@ def joined_regions(members: DataFrame, n: int) -> DataFrame:
         held = None
         for batch in batches:
             columns = {x: batch.column(x).to_numpy(zero_copy_only=False) for x in ("s", *names)} | {"short": np.array(batch.column("short").to_pylist(), dtype=object)}
+            others = np.empty(batch.num_rows, dtype=object)
+            for k, regions in enumerate(batch.column("others").to_pylist()):
+                others[k] = regions
+            columns["others"] = others
             if held is not None:
                 columns = {x: np.concatenate((held[x], columns[x])) for x in columns}
             cuts = np.flatnonzero(columns["s"][1:] != columns["s"][:-1]) + 1
@@ -341,9 +352,10 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
     while not left.isEmpty():
         to_pivot = tested.select(F.col("a").alias("c"), F.col("b").alias("p"), "d").union(tested.select("b", "a", "d"))
         size = left.groupBy("s").agg(F.count("*").alias("size"))
+        others = left.groupBy("c").agg(F.slice(F.sort_array(F.collect_set("s")), 1, NAMED).alias("others"))
         sized = written(
             left.join(to_pivot.dropDuplicates(["c", "p"]), ["c", "p"], "left").withColumn("d", F.when(F.col("c") == F.col("p"), 0.0).otherwise(F.col("d")))
-            .join(size, "s").join(classes.select("c", "n", "short"), "c"), "regions",
+            .join(size, "s").join(classes.select("c", "n", "short").join(others, "c"), "c"), "regions",
         )
         leaves = joined_regions(sized.where(F.col("size") <= LEAF), partitions(spark))
         # a larger region: about PIVOTS of its members become the pivots that all others are measured against
