@@ -41,7 +41,7 @@ WORDS = 5
 #: similar when 100 * intersection >= PERCENT * union
 PERCENT = 75
 RADIUS = 1 - PERCENT / 100
-COUNTER_BITS = 21
+COUNTER_BITS = 20
 COUNTERS = 1 << COUNTER_BITS
 #: A sketch has so many bits at least.
 SKETCH_BITS = 1024
@@ -54,7 +54,7 @@ PIVOTS = 16
 #: Members of a region that go to one task, about, when the counts show that it is large.
 PART = 2_000
 #: A member of a region names so many of its other regions at most: a pair that meets in one of them before is left to that one.
-NAMED = 256
+NAMED = 64
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -322,6 +322,7 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
     counters = summed(seen.where("part = 0"), "data", COUNTERS)
     level = levels(counters)
     parts = np.where(level > 0, np.clip(counters // PART, 1, 65_535), 1).astype(np.uint16)
+    del counters
     own = seen.where("part = -1")
     # one document stands for all of a class
     classes = written(own.where("n > 0").groupBy("c").agg(F.first("n").alias("n"), F.min(F.struct("doc_id", "h")).alias("of"), F.first("data").alias("data"), F.first("short").alias("short")), "classes")
