@@ -204,9 +204,11 @@ def distances(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
     that are still in question, and sent to where the pivot ``a`` goes: one place, or several if many are to be
     measured against it.
     """
-    one = classes.select(F.col("c").alias("a"), "n", "data")
-    two = classes.select(F.col("c").alias("b"), F.col("n").alias("m"), F.col("data").alias("other"))
-    sized = pairs.join(one, "a").join(two, "b").where(sizes_fit("n", "m"))
+    # sizes first: sketches travel only for pairs that fit
+    one = classes.select(F.col("c").alias("a"), "n")
+    two = classes.select(F.col("c").alias("b"), F.col("n").alias("m"))
+    fitting = pairs.join(one, "a").join(two, "b").where(sizes_fit("n", "m"))
+    sized = fitting.join(classes.select(F.col("c").alias("a"), "data"), "a").join(classes.select(F.col("c").alias("b"), F.col("data").alias("other")), "b")
     asked = written(near_sketches(sized), "pairs")
     places = F.ceil(F.col("k") / TOGETHER).cast("int")
     pivots = written(asked.groupBy("a").agg(F.count("*").alias("k")).select("a", places.alias("places")), "pivots")
