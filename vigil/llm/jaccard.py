@@ -333,9 +333,10 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
     members = (
         memberships(docs, level, parts).repartition(partitions(spark), "s", "part")
         .withColumn("p", F.min("c").over(part)).withColumn("last", F.max("c").over(part)).withColumn("size", F.count("*").over(part))
-        .where("p <> last or dealt").select("s", "c", "p", "dealt", (F.col("dealt") | (F.col("size") > 2)).alias("open")).distinct()
+        .where("p <> last or dealt").select("s", "part", "c", "p", "dealt", (F.col("dealt") | (F.col("size") > 2)).alias("open"))
     )
-    members = written(members, "members")
+    # a class that several tasks have sent lies in one part: with ``part`` among the columns its rows meet without another shuffle
+    members = written(members.distinct().drop("part"), "members")
     # each member with the pivot of its part, and the pivots of a region's parts with the smallest of them
     heads = members.where("dealt").select("s", "p").distinct()
     first = heads.groupBy("s").agg(F.min("p").alias("head"))
