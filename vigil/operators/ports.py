@@ -165,38 +165,78 @@ def classify_ips(df: DataFrame, suspicious: DataFrame) -> DataFrame:
     ).drop("_sus")
 
 
-def timeline_ips(records: DataFrame, start: int, end: int, step: int = 5 * MINUTE) -> DataFrame:
-    """Activity per bucket and address. A record counts whole in every bucket of [start, end) it overlaps.
+def _turns(records: DataFrame, start: int, end: int, step: int) -> DataFrame:
+    """What changes per address at the start of a bucket (``_b``, counted from ``start``): activity and records that begin there less those
+    that ended before it, the first sighting of those that ended, the last of those that begin.
 
-    A record lists its own buckets, at most the buckets of the report, instead of being compared with all of them.
+    A record is two rows however many buckets it overlaps, and an address has at most one row per bucket, whatever its share of all records.
+    Records without a first or last sighting overlap nothing; a missing activity counts 0; records without an address are one address.
     """
-    buckets = -(-(end - start) // step)
+    buckets = max(0, -(-(end - start) // step))
     low = F.greatest(F.floor((F.col("first_seen") - start) / step), F.lit(0))
     high = F.least(F.floor((F.col("last_seen") - start) / step), F.lit(buckets - 1))
-    hit = records.where((F.col("last_seen") >= start) & (low <= high))
-    return hit.withColumn("_b", F.explode(F.sequence(low, high))).groupBy(
-        (F.lit(start) + F.col("_b") * step).cast("bigint").alias("bucket"), "source_ip"
-    ).agg(
-        F.sum("activity_count").alias("activity_count"),
-        F.min("first_seen").alias("first_seen"),
-        F.max("last_seen").alias("last_seen"),
+    hit = records.where(F.col("first_seen").isNotNull() & (F.col("last_seen") >= start) & (low <= high))
+    count, none = F.coalesce("activity_count", F.lit(0)).cast("bigint"), F.lit(None).cast("bigint")
+    marks = F.array(
+        F.struct(low.alias("_b"), count.alias("_x"), F.lit(1).alias("_k"), none.alias("_first"), F.col("last_seen").alias("_last")),
+        F.struct((high + 1).alias("_b"), (-count).alias("_x"), F.lit(-1).alias("_k"), F.col("first_seen").alias("_first"), none.alias("_last")),
     )
+    return hit.select("source_ip", F.inline(marks)).groupBy("source_ip", "_b").agg(
+        F.sum("_x").alias("_x"), F.sum("_k").alias("_k"), F.min("_first").alias("_first"), F.max("_last").alias("_last"),
+    )
+
+
+def _running(order: Window) -> dict[str, Column]:
+    """What holds from a turn to the next one. Records that lie wholly behind a bucket have later first sightings than those that overlap it, and
+    records wholly before it earlier last ones, so extremes over all that end later or began before are those of the overlapping records."""
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    behind = order.rowsBetween(1, Window.unboundedFollowing)
+    return {
+        "activity_count": F.sum("_x").over(so_far),
+        "_open": F.sum("_k").over(so_far),
+        "first_seen": F.min("_first").over(behind),
+        "last_seen": F.max("_last").over(so_far),
+    }
+
+
+def timeline_ips(records: DataFrame, start: int, end: int, step: int = 5 * MINUTE) -> DataFrame:
+    """Activity per bucket and address. A record counts whole in every bucket of [start, end) it overlaps.
+
+    Running sums per address over the buckets in which something changes; only the result lists every bucket.
+    """
+    order = Window.partitionBy("source_ip").orderBy("_b")
+    held = _turns(records, start, end, step).withColumns({**_running(order), "_next": F.lead("_b").over(order)}).where("_open > 0")
+    return held.withColumn("_b", F.explode(F.sequence(F.col("_b"), F.col("_next") - 1))).select(
+        (F.lit(start) + F.col("_b") * step).cast("bigint").alias("bucket"), "source_ip", "activity_count", "first_seen", "last_seen",
+    )
 
 
 def timeline(records: DataFrame, start: int, end: int, step: int = 5 * MINUTE) -> DataFrame:
-    """All buckets, empty ones included."""
-    busy = timeline_ips(records, start, end, step).groupBy("bucket").agg(
-        F.sum("activity_count").alias("connection_count"),
-        F.count("*").alias("active_ips"),
-        F.min("first_seen").alias("first_seen"),
-        F.max("last_seen").alias("last_seen"),
-    )
-    grid = records.sparkSession.range(start, end, step).select(F.col("id").alias("bucket"))
-    return grid.join(busy, "bucket", "left").select(
-        "bucket",
-        F.coalesce("connection_count", F.lit(0)).alias("connection_count"),
+    """All buckets, empty ones included.
+
+    Records that overlap many buckets aren't listed in each: their beginnings and ends are summed per address and bucket, an address counts
+    where its open records rise from none or fall to none, and running sums over the buckets give the rest. Only the last step, one row per
+    bucket of the report, is a single sorted pass.
+    """
+    turns = _turns(records, start, end, step)
+    order = Window.partitionBy("source_ip").orderBy("_b")
+    open_ = F.sum("_k").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    seen = (open_ > 0).cast("int") - (open_ - F.col("_k") > 0).cast("int")
+    changes = turns.withColumn("_ips", seen).groupBy("_b").agg(
+        F.sum("_x").alias("_x"), F.sum("_k").alias("_k"), F.sum("_ips").alias("_ips"), F.min("_first").alias("_first"), F.max("_last").alias("_last"),
+    )
+    buckets = max(0, -(-(end - start) // step))
+    # one more than the report has: there the records end that last until its end
+    grid = records.sparkSession.range(buckets + 1).select(F.col("id").alias("_b"))
+    whole = Window.orderBy("_b")
+    so_far = whole.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = grid.join(changes, "_b", "left").withColumns({**_running(whole), "active_ips": F.sum("_ips").over(so_far)})
+    busy = F.coalesce(F.col("_open") > 0, F.lit(False))
+    return held.where(F.col("_b") < buckets).select(
+        (F.lit(start) + F.col("_b") * step).cast("bigint").alias("bucket"),
+        F.coalesce("activity_count", F.lit(0)).alias("connection_count"),
         F.coalesce("active_ips", F.lit(0)).alias("active_ips"),
-        F.coalesce(_span("first_seen", "last_seen"), F.lit(0.0)).alias("observed_duration_seconds"),
+        F.when(busy, _span("first_seen", "last_seen")).otherwise(0.0).alias("observed_duration_seconds"),
     )
 
 
