@@ -82,6 +82,10 @@ def list_incidents(df: DataFrame, status=None, severity=None, skip=0, limit=100)
     return df.orderBy(F.desc("created_at"), "incident_id").offset(skip).limit(limit)
 
 
+def get_incident(df: DataFrame, incident_id: str) -> DataFrame:
+    return df.where(F.col("incident_id") == incident_id)
+
+
 def search_incidents(df: DataFrame, text: str, sort_by: str, ascending: bool, page: int, rows: int) -> DataFrame:
     """Missing values come first ascending and last descending."""
     needle = text.lower()

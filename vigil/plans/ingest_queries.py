@@ -188,6 +188,26 @@ def _(t):
     return enabled_rules(rules).drop("is_enabled")
 
 
+@query("src_rule_by_code", """SELECT p_partkey AS id, p_name AS rule_name, p_brand AS rule_code, p_partkey % 3 <> 0 AS is_enabled FROM part
+  WHERE p_partkey = (SELECT min(p_partkey) FROM part WHERE p_brand = 'Brand#23')""")
+def _(t):
+    from vigil.operators.rules import rule_by_code
+    rules = t.table("part").select(
+        F.col("p_partkey").alias("id"), F.col("p_name").alias("rule_name"), F.col("p_brand").alias("rule_code"),
+        (F.col("p_partkey") % 3 != 0).alias("is_enabled"))
+    return rule_by_code(rules, "Brand#23")
+
+
+@query("sink_append", oracle("SELECT event_id, t, message, strftime(make_timestamp(CAST(t AS BIGINT)), '%Y-%m-%d') AS day FROM snap"))
+def _(t):
+    from vigil.sources.readers import write_events
+    from vigil.streaming.storage import new_folder
+    path, rows = new_folder(t.spark, "events"), t.snapshot.select("event_id", "t", "message", "k")
+    for half in (0, 1):  # two appends to the same table
+        write_events(rows.where(F.col("k") % 2 == half).drop("k"), path, "t")
+    return t.spark.read.schema("event_id bigint, t bigint, message string, day string").parquet(path)
+
+
 @query("src_logs_history", oracle("""SELECT event_id, CASE WHEN k % 5 = 0 THEN 'unknown' ELSE source END AS source,
   CASE WHEN k % 7 = 0 THEN 'info' ELSE severity END AS severity, CASE WHEN k % 3 = 0 THEN '' ELSE message END AS message,
   CASE WHEN k % 2 = 0 THEN k END AS record_number, CASE WHEN k % 4 = 0 THEN 0 ELSE 1 END AS n_meta FROM snap"""))

@@ -294,6 +294,13 @@ def _(t):
     return N.list_incidents(incidents(t), "open", "low", 10, 30).select("incident_id", "created_at")
 
 
+@query("incident_get", oracle("SELECT incident_id, title, severity, status, created_at FROM inc WHERE incident_id = (SELECT max(incident_id) FROM inc)", INCIDENTS))
+def _(t):
+    found = incidents(t)
+    last = found.agg(F.max("incident_id")).first()[0]
+    return N.get_incident(found, last).select("incident_id", "title", "severity", "status", "created_at")
+
+
 @query("incident_search", oracle("SELECT incident_id, assigned_to FROM inc WHERE contains(lower(incident_id), 'failed') OR contains(lower(title), 'failed') ORDER BY assigned_to ASC NULLS FIRST, incident_id OFFSET 25 LIMIT 25", INCIDENTS))
 def _(t):
     return N.search_incidents(incidents(t), "FAILED", "assigned_to", True, 1, 25).select("incident_id", "assigned_to")

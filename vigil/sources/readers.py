@@ -47,9 +47,10 @@ def read_logs(stored: DataFrame) -> DataFrame:
 
 
 def write_events(df: DataFrame, path: str, day_of: str) -> None:
-    """Append, partitioned by UTC day. Rows are spread over a few files per day by their own hash, whatever the skew."""
+    """Append, partitioned by UTC day. Rows of a day meet before they are written, so a day has few files; a busy day's rows
+    are split over as many tasks as its size asks for."""
     day = F.date_format(F.timestamp_micros(day_of), "yyyy-MM-dd")
-    df.withColumn("day", day).write.mode("append").partitionBy("day").parquet(path)
+    df.withColumn("day", day).hint("rebalance", "day").write.mode("append").partitionBy("day").parquet(path)
 
 
 def watermark(df: DataFrame, id_col: str, last_id: int, on_reset: str = "current") -> DataFrame:
