@@ -1,8 +1,13 @@
 """What keeps jobs bounded when their tables grow."""
 
+import json
+import random
 from collections import Counter
 
+import pandas as pd
+
 from vigil.operators import notify
+from vigil.streaming import keyed
 
 
 def test_recipients_meet_notifications_without_a_shuffle_of_them(spark):
@@ -24,3 +29,100 @@ def test_recipients_meet_notifications_without_a_shuffle_of_them(spark):
     want = Counter((i, n, "queued" if n else "No active recipients") for i, role in rows for n in by_role.get(role, [None]))
     assert Counter((r.event_id, r.recipient_name, r.delivery_status) for r in out.collect()) == want
     assert out.columns == ["initial_role", "event_id", "recipient_name", "delivery_status"]
+
+
+class _Map:
+    """A map state that notes how many rows a value has held at most."""
+
+    def __init__(self):
+        self.kept, self.most = {}, 0
+
+    def containsKey(self, key):
+        return key in self.kept
+
+    def getValue(self, key):
+        return self.kept.get(key)
+
+    def updateValue(self, key, value):
+        self.kept[key] = value
+        if isinstance(value[0], str):
+            self.most = max(self.most, len(json.loads(value[0])))
+
+    def removeKey(self, key):
+        del self.kept[key]
+
+    def keys(self):
+        return iter(list(self.kept))
+
+    def clear(self):
+        self.kept.clear()
+
+
+class _Value:
+    def __init__(self):
+        self.value = None
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+
+class _Handle:
+    def __init__(self):
+        self.states = {}
+
+    def getMapState(self, name, *_):
+        return self.states.setdefault(name, _Map())
+
+    def getValueState(self, name, *_):
+        return self.states.setdefault(name, _Value())
+
+    def registerTimer(self, at):
+        pass
+
+    def deleteTimer(self, at):
+        pass
+
+
+class _Clock:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def test_a_busy_key_is_told_slot_by_slot(monkeypatch):
+    """Rows of one key over 100 slots in several batches: no more than a slot of them is given out, or parsed, at once."""
+    monkeypatch.setattr(keyed, "HELD", 500, raising=False)
+    spec = {"width": 10_000, "sums": ["n"], "spans": ["x"], "distinct": ["host"]}
+    windows = keyed.Windows({"d": spec}, 1_000_000)
+    windows.init(_Handle())
+    rnd = random.Random(5)
+    times = [rnd.randrange(1, 100_000_000) for _ in range(5000)]
+
+    def body(i, t):
+        return json.dumps({"q": True, "keep": {"id": i}, "s": [1], "p": [i % 2 == 0], "d": [[f"h{i % 3}"]]})
+
+    rows = [(t, body(i, t)) for i, t in enumerate(times)]
+    batches = [pd.DataFrame(rows[i : i + 1000], columns=["t", "body"]) for i in range(0, 5000, 1000)]
+    assert not list(windows.handleInputRows(("d", "k", ""), iter(batches), _Clock(0)))
+    out = list(windows.handleExpiredTimer(("d", "k", ""), _Clock(50_000), None))  # a slot is cut by this watermark
+    out += list(windows.handleExpiredTimer(("d", "k", ""), _Clock(50_500), None))
+    out += list(windows.handleExpiredTimer(("d", "k", ""), _Clock(200_000), None))
+    assert max(map(len, out)) < 200 and sum(map(len, out)) == 5000
+    got = {json.loads(r.keep)["id"]: json.loads(r.found) for pdf in out for r in pdf.itertuples()}
+    for i, t in enumerate(times):
+        inside = [j for j, u in enumerate(times) if t - 10_000 <= u <= t]
+        marked = [times[j] for j in inside if j % 2 == 0]
+        assert got[i] == {"n": len(inside), "host": len({j % 3 for j in inside}), "x_first": min(marked, default=None), "x_last": max(marked, default=None)}
+    states = windows.handle.states
+    assert not states["waiting"].kept and not states["window"].kept and states["waiting"].most < 200

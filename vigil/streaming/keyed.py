@@ -6,7 +6,8 @@ Rows behind the watermark are not lost: they come out with ``too_late`` set, and
 
 State of a key, all bounded by time and none of it by a number of events:
 
-* ``waiting``  a map from time slot to the rows that wait; a replay touches the slots that are due
+* ``waiting``  a map from time slot and part to the rows that wait (``parts``: how many parts a slot has). Rows come in by parts of ``HELD`` at most,
+  and a replay goes slot by slot, so that Python holds the rows of one slot, never all that are due
 * ``window``   a map from time slot to the contributions that may still count; slots leave as a whole
 * ``timer``    when the key is looked at next. One timer a key: the earliest waiting row, or the end of the last window; then all state goes
 
@@ -30,6 +31,8 @@ from vigil.operators import correlate
 from vigil.operators.kernels import NEVER
 
 MILLI = 1_000
+#: Rows of a key that Python holds before it puts them into the state.
+HELD = 20_000
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -60,12 +63,13 @@ class Replay(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "slot bigint", "rows string")
+        self.waiting = handle.getMapState("waiting", "slot bigint, part bigint", "rows string")
+        self.parts = handle.getMapState("parts", "slot bigint", "n bigint")
         self.timer = handle.getValueState("timer", "at bigint")
 
     # what a row does
-    def told(self, key: tuple, rows: list[tuple[int, dict]]) -> list[tuple]:
-        """Output for rows in order."""
+    def told(self, key: tuple, slots: Iterator[list[tuple[int, dict]]]) -> Iterator[list[tuple]]:
+        """Output for rows in order, slot by slot; only called with rows."""
         raise NotImplementedError
 
     def refused(self, key: tuple, t: int, body: dict) -> tuple:
@@ -85,45 +89,69 @@ class Replay(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         limit = timerValues.getCurrentWatermarkInMs() * MILLI
-        late, new = [], {}
+        new, n, first = {}, 0, None
         for batch in rows:
+            late = []
             for t, body in zip(batch["t"].tolist(), batch["body"].tolist()):
                 if t <= limit:
                     late.append(self.refused(key, t, json.loads(body)))
                 else:
-                    new.setdefault(t // self.slot, []).append((t, json.loads(body)))
-        for slot, added in new.items():
-            self._put(self.waiting, slot, self._get(self.waiting, slot) + added)
-        if new:
-            self._wake(min(t for added in new.values() for t, _ in added))
-        if late:
-            yield pd.DataFrame(late, columns=self.columns)
+                    new.setdefault(t // self.slot, []).append(f"[{t},{body}]")
+                    first, n = t if first is None else min(first, t), n + 1
+            if n >= HELD:
+                self._wait(new)
+                new, n = {}, 0
+            if late:
+                yield pd.DataFrame(late, columns=self.columns)
+        self._wait(new)
+        if first is not None:
+            self._wake(first)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         limit = timerValues.getCurrentWatermarkInMs() * MILLI
         self.timer.clear()
-        due, later = [], None
-        for slot in sorted(k for (k,) in self.waiting.keys()):
-            if slot * self.slot > limit:
-                later = self._get(self.waiting, slot)
-                break
-            rows = self._get(self.waiting, slot)
-            due += [r for r in rows if r[0] <= limit]
-            rest = [r for r in rows if r[0] > limit]
-            if rest:
-                self._put(self.waiting, slot, rest)
-                later = rest
-                break
-            self.waiting.removeKey((slot,))
-        out = self.told(key, sorted(((t, body) for t, body in due), key=lambda r: self.order(*r))) if due else []
-        if later:
-            self._wake(min(t for t, _ in later))
+        slots = sorted(k for (k,) in self.parts.keys())
+        due = [k for k in slots if k * self.slot <= limit]
+        later = [slots[len(due)] * self.slot if len(due) < len(slots) else None]  # a slot's begin is early enough to look again
+        if due:
+            for out in self.told(key, self._due(due, limit, later)):
+                if out:
+                    yield pd.DataFrame(out, columns=self.columns)
+        if later[0] is not None:
+            self._wake(max(later[0], limit + 1))
         elif self.needed_until() <= limit:
             self.forget()
         else:
             self._wake(self.needed_until())
-        if out:
-            yield pd.DataFrame(out, columns=self.columns)
+
+    def _due(self, slots: list[int], limit: int, later: list) -> Iterator[list[tuple[int, dict]]]:
+        """The rows up to ``limit`` in order, slot by slot. What is left of the last slot waits on; its first time goes to ``later``."""
+        for slot in slots:
+            rows = self._taken(slot)
+            rest = [r for r in rows if r[0] > limit]
+            if rest:
+                self._wait({slot: [json.dumps(r) for r in rest]})
+                later[0] = min(t for t, _ in rest)
+                rows = [r for r in rows if r[0] <= limit]
+            rows.sort(key=lambda r: self.order(*r))
+            if rows:
+                yield rows
+
+    def _wait(self, new: dict[int, list[str]]) -> None:
+        """Another part for each slot: the parts before it are not read again."""
+        for slot, rows in new.items():
+            n = self.parts.getValue((slot,))[0] if self.parts.containsKey((slot,)) else 0
+            self.waiting.updateValue((slot, n), ("[" + ",".join(rows) + "]",))
+            self.parts.updateValue((slot,), (n + 1,))
+
+    def _taken(self, slot: int) -> list:
+        """The rows that waited in a slot; they wait no longer."""
+        (n,), rows = self.parts.getValue((slot,)), []
+        for part in range(n):
+            rows += json.loads(self.waiting.getValue((slot, part))[0])
+            self.waiting.removeKey((slot, part))
+        self.parts.removeKey((slot,))
+        return rows
 
     def close(self) -> None:
         pass
@@ -176,40 +204,47 @@ class Windows(Replay):
         self.window.clear()
         self.last.clear()
 
-    def told(self, key, rows):
+    def told(self, key, slots):
         spec = self.specs[key[0]]
         width, size = spec["width"], max(1, spec["width"] // 8)
         held = {slot: self._get(self.window, slot) for slot in sorted(k for (k,) in self.window.keys())}
-        inside = _Inside(spec)
+        stored, changed, last = set(held), set(), None
+        inside, same = _Inside(spec), {}
         for contribution in sorted((c for slot in held.values() for c in slot), key=lambda c: c[0]):
             inside.add(*contribution)
-        out, begin, changed = [], 0, set()
-        while begin < len(rows):
-            now, end = rows[begin][0], begin
-            while end < len(rows) and rows[end][0] == now:  # rows of one time see each other
-                body = rows[end][1]
-                if any(body["s"]) or any(body["p"]) or any(body["d"]):
-                    contribution = (now, body["s"], body["p"], body["d"])
-                    inside.add(*contribution)
-                    held.setdefault(now // size, []).append(contribution)
-                    changed.add(now // size)
-                end += 1
-            inside.drop_before(now - width)
-            found = None
-            for _, body in rows[begin:end]:
-                if body["q"]:
-                    found = found or json.dumps(inside.found())
-                    out.append((*key, now, json.dumps(body["keep"]), found, False))
-            begin = end
-        last = rows[-1][0]
-        for slot, contributions in held.items():
-            if (slot + 1) * size <= last - width:
-                if slot not in changed or self.window.containsKey((slot,)):
+        for rows in slots:
+            out, begin = [], 0
+            while begin < len(rows):
+                now, end = rows[begin][0], begin
+                while end < len(rows) and rows[end][0] == now:  # rows of one time see each other
+                    body = rows[end][1]
+                    if any(body["s"]) or any(body["p"]) or any(body["d"]):
+                        if len(same) > HELD:
+                            same.clear()
+                        given = (tuple(body["s"]), tuple(body["p"]), tuple(map(tuple, body["d"])))
+                        contribution = (now, *same.setdefault(given, given))  # most rows contribute alike: one object for them
+                        inside.add(*contribution)
+                        held.setdefault(now // size, []).append(contribution)
+                        changed.add(now // size)
+                    end += 1
+                inside.drop_before(now - width)
+                found = None
+                for _, body in rows[begin:end]:
+                    if body["q"]:
+                        found = found or json.dumps(inside.found())
+                        out.append((*key, now, json.dumps(body["keep"]), found, False))
+                begin = end
+            last = rows[-1][0]
+            for slot in [k for k in held if (k + 1) * size <= last - width]:
+                del held[slot]
+                changed.discard(slot)
+                if slot in stored:
                     self.window.removeKey((slot,))
-            elif slot in changed:
-                self._put(self.window, slot, contributions)
-        self.last.update((last + width,))
-        return out
+            yield out
+        for slot in changed:
+            self._put(self.window, slot, held[slot])
+        if last is not None:
+            self.last.update((last + width,))
 
 
 class _Inside:
@@ -343,19 +378,20 @@ class Suppression(Replay):
     def forget(self) -> None:
         self.entry.clear()
 
-    def told(self, key, rows):
+    def told(self, key, slots):
         deadline, anchor = self.entry.get() if self.entry.exists() else (NEVER, -1)
-        out = []
-        for t, body in rows:
-            if body["ctl"]:
-                deadline = NEVER
-                continue
-            fires = t > deadline
-            if fires:
-                deadline, anchor = body["d"], body["id"]
-            out.append((key[0], body["id"], t, anchor, fires, False))
+        for rows in slots:
+            out = []
+            for t, body in rows:
+                if body["ctl"]:
+                    deadline = NEVER
+                    continue
+                fires = t > deadline
+                if fires:
+                    deadline, anchor = body["d"], body["id"]
+                out.append((key[0], body["id"], t, anchor, fires, False))
+            yield out
         self.entry.update((deadline, anchor))
-        return out
 
 
 def suppress_rows(rows: DataFrame, late: int, control: DataFrame | None = None) -> DataFrame:
