@@ -2,11 +2,14 @@
 
 import json
 import random
+import re
 from collections import Counter
 
 import pandas as pd
+from pyspark.sql import Row
+from pyspark.sql import functions as F
 
-from vigil.operators import notify
+from vigil.operators import notify, rule_index, rules
 from vigil.streaming import keyed
 
 
@@ -126,3 +129,25 @@ def test_a_busy_key_is_told_slot_by_slot(monkeypatch):
         assert got[i] == {"n": len(inside), "host": len({j % 3 for j in inside}), "x_first": min(marked, default=None), "x_last": max(marked, default=None)}
     states = windows.handle.states
     assert not states["waiting"].kept and not states["window"].kept and states["waiting"].most < 200
+
+
+def test_rules_that_share_a_literal_are_told_apart_by_their_others(spark):
+    """A thousand rules on three words: an event is tried with the few whose other literals it holds, and with none that can't hold."""
+    given = [Row(rule_code=str(i), rule_name="r", rule_type="pattern", severity="high", source_type="nginx" if i % 2 else None, event_type_pattern=None,
+                 message_pattern=[f"/(?P<w>user) {i}$/i", f"/^(query|get).* {i}\\b/i", f"/page ({i}/", f"page {i}"][i % 4],
+                 threshold_count=None, threshold_minutes=None, risk_score=1, conditions=None) for i in range(1000)]
+    always, _, _ = rule_index.candidates(given)
+    assert not always
+    rows = [(i, ["nginx", "auth"][i % 2], "t", f"{['GET page', 'query: x', 'USER', 'user', 'get'][i % 5]} {i % 1000}") for i in range(2000)]
+    df = spark.createDataFrame(rows, "event_id long, source string, event_type string, message string")
+    tried = rule_index.candidate_rules(F.lower(F.concat_ws("\0", "source", "event_type", "message")), given)
+    assert df.select(F.max(F.size(tried))).first()[0] < 12
+    got = {r.event_id: [m.rule_code for m in r.rule_matches] for r in rules.match_rules(df, given).collect()}
+    for i, source, _, message in rows:
+        want = []
+        for k, r in enumerate(given):
+            text = r.message_pattern
+            hit = k % 4 != 2 and (text in message.lower() if k % 4 == 3 else re.search(text[1 : text.rfind("/")], message, re.I) is not None)
+            if hit and (r.source_type is None or r.source_type in source):
+                want.append(r.rule_code)
+        assert got[i] == want, message

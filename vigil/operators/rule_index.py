@@ -1,8 +1,9 @@
 """Which rules can match a text: one pass over it with an Aho-Corasick automaton over the literals that rules need.
 
-Each rule gives a set of literals of which one has to stand in the event's texts (in lower case) for it to hold: a plain pattern itself, or
-what every match of a regex contains. The automaton finds all literals of all rules in one pass, whatever their number; only the rules
-whose literal was found are evaluated. A rule without any literal is evaluated for every event.
+Each rule gives sets of literals; of each set one has to stand in the event's texts (in lower case) for it to hold: a plain pattern itself, or
+what every match of a regex contains. The automaton finds all literals of all rules in one pass, whatever their number. A rule is looked at
+when a literal of the set that it shares with the fewest rules was found, and evaluated when one of each of its other sets was found too. A rule without
+any literal is evaluated for every event, one that can't hold for none.
 
 Patterns mean what Python's ``re`` takes them to mean and are run by Java: what differs in spelling is translated, and a
 pattern that either of them refuses matches nothing.
@@ -11,6 +12,7 @@ pattern that either of them refuses matches nothing.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from re import _constants as op
 from re import _parser as parser
 
@@ -90,48 +92,83 @@ def needed(body: str) -> list[str] | None:
     return found if found and min(map(len, found)) >= SHORTEST else None
 
 
-def _anchors(kind: str, given: str) -> list[str] | None:
-    if kind == "contains":
-        return [given] if given.isascii() and len(given) >= SHORTEST else None
-    return needed(given)
+def _flat(items):
+    """Pattern items with plain groups opened: a group's literals go on behind it."""
+    for kind, value in items:
+        if kind is op.SUBPATTERN:
+            yield from _flat(value[3])
+        else:
+            yield kind, value
+
+
+def _clauses_of(items) -> list[list[str]]:
+    """Sets of literals of which each match contains one of each."""
+    out, run = [], ""
+    for kind, value in [*_flat(items), (None, None)]:
+        if kind is op.LITERAL and value < 128:
+            run += chr(value).lower()
+            continue
+        if run:
+            out.append([run])
+        run = ""
+        if kind in (op.MAX_REPEAT, op.MIN_REPEAT, op.POSSESSIVE_REPEAT) and value[0] > 0:
+            out += _clauses_of(value[2])
+        elif kind is op.ATOMIC_GROUP:
+            out += _clauses_of(value)
+        elif kind is op.BRANCH and (found := _of_sequence([(kind, value)])):
+            out.append(found)
+    return out
 
 
-def rule_anchors(rule) -> list[str] | None:
-    """The best literals of a rule's tests."""
-    tests = []
+def clauses(body: str) -> list[list[str]]:
+    """Sets of literals (lower case): every match of this Python pattern contains one of each."""
+    try:
+        return _clauses_of(parser.parse(body))
+    except (re.error, OverflowError, RecursionError):
+        return []
+
+
+def rule_clauses(rule) -> list[list[str]] | None:
+    """The sets of literals of all of a rule's tests; None for a rule that can't hold."""
+    out = []
     for pattern in (rule.message_pattern, rule.event_type_pattern, rule.source_type):
         if pattern:
-            kind, _ = split_pattern(pattern)
+            kind, given = split_pattern(pattern)
             text = pattern.strip()
-            tests.append(_anchors(kind, text.lower() if kind == "contains" else text[1 : text.rfind("/")]) if kind != "never" else None)
+            if kind == "never":
+                return None
+            out += clauses(text[1 : text.rfind("/")]) if kind == "regex" else [[given]]
     for c in rule.conditions or []:
         if c.op in ("eq", "contains", "contains_any", "startswith_any"):
-            values = [v.lower() for v in (c["values"][:1] if c.op == "eq" else c["values"])]
-            tests.append(values if values and all(v.isascii() and len(v) >= SHORTEST for v in values) else None)
+            out.append([v.lower() for v in (c["values"][:1] if c.op == "eq" else c["values"])])
         elif c.op in ("regex", "regex_any"):
-            each = [needed(v) for v in c["values"]]
-            tests.append(sorted({x for found in each for x in found}) if each and all(each) else None)
-    usable = [t for t in tests if t]
-    return max(usable, key=lambda t: min(map(len, t)), default=None)
-
-
-def candidates(rules: list) -> tuple[list[int], dict[str, list[int]]]:
-    """Positions of the rules that every event has to be tried with, and literals with the positions of the rules that need them."""
-    always, by_literal = [], {}
-    for i, rule in enumerate(rules):
-        anchors = rule_anchors(rule)
-        if anchors is None:
+            each = [clauses(v) for v in c["values"]]  # one of the patterns has to match: a set of each
+            out.append([x for found in each for x in max(found, key=lambda f: min(map(len, f)))] if all(each) else [])
+    return [sorted(set(c)) for c in out if c and all(x and x.isascii() for x in c)]
+
+
+def candidates(rules: list) -> tuple[list[int], dict[str, list[int]], list[list[frozenset]]]:
+    """Positions of the rules that every event has to be tried with, literals with the positions of the rules that are looked at
+    when they are found, and for each rule the sets of which one literal has to be found besides."""
+    wanted = [rule_clauses(r) for r in rules]
+    shared = Counter(x for found in wanted for clause in found or () for x in clause)
+    always, by_literal, besides = [], {}, []
+    for i, found in enumerate(wanted):
+        best = min(found, key=lambda c: (sum(shared[x] for x in c), -min(map(len, c))), default=None) if found is not None else ()
+        if best is None:
             always.append(i)
-        for literal in anchors or ():
+        for literal in best or ():
             by_literal.setdefault(literal, []).append(i)
-    return always, by_literal
+        besides.append([frozenset(c) for c in found or () if c is not best])
+    return always, by_literal, besides
 
 
 def candidate_rules(text: Column, rules: list) -> Column:
     """Positions of the rules that may hold for a text in lower case, in order."""
-    always, by_literal = candidates(rules)
+    always, by_literal, besides = candidates(rules)
     if not by_literal:
         return F.array(*map(F.lit, always)).cast("array<int>")
+    literals = sorted({*by_literal, *(x for sets in besides for clause in sets for x in clause)})
     built: list = []
 
     def automaton():
@@ -139,18 +176,24 @@ def candidate_rules(text: Column, rules: list) -> Column:
             try:
                 import ahocorasick
             except ImportError:  # slower, the same answer
-                built.append(lambda s: (i for literal, found in by_literal.items() if literal in s for i in found))
+                built.append(lambda s: {x for x in literals if x in s})
             else:
                 machine = ahocorasick.Automaton()
-                for literal, found in by_literal.items():
-                    machine.add_word(literal, found)
+                for literal in literals:
+                    machine.add_word(literal, literal)
                 machine.make_automaton()
-                built.append(lambda s: (i for _, found in machine.iter(s) for i in found))
+                built.append(lambda s: {x for _, x in machine.iter(s)})
         return built[0]
 
+    def holding(seen):
+        for literal in seen:
+            for i in by_literal.get(literal, ()):
+                if not any(clause.isdisjoint(seen) for clause in besides[i]):
+                    yield i
+
     @F.pandas_udf("array<int>")
     def found(texts: pd.Series) -> pd.Series:
         search = automaton()
-        return texts.map(lambda s: sorted({*always, *search(s)}))
+        return texts.map(lambda s: sorted({*always, *holding(search(s))}))
 
     return found(text)
