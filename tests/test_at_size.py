@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from vigil.operators import notify, rule_index, rules
+from vigil.operators import decode, notify, rule_index, rules
 from vigil.streaming import keyed
 
 
@@ -151,3 +151,11 @@ def test_rules_that_share_a_literal_are_told_apart_by_their_others(spark):
             if hit and (r.source_type is None or r.source_type in source):
                 want.append(r.rule_code)
         assert got[i] == want, message
+
+
+def test_decoder_batches_are_bounded(spark):
+    """No batch that reaches Python holds more than a bounded number of texts, however many rows a task reads."""
+    size = F.pandas_udf(lambda s: pd.Series([len(s)] * len(s)), "long")
+    df = decode.decode_payloads(spark.range(0, 20_000, 1, 1).select(F.concat(F.lit("text "), F.col("id").cast("string")).alias("text")), "text")
+    assert df.select(size("decoded").alias("n")).agg(F.max("n")).first()[0] <= 500
+    assert df.where("decoded != text").count() == 0 and df.count() == 20_000

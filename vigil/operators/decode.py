@@ -11,7 +11,7 @@ import zlib
 from urllib.parse import unquote
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -115,6 +115,13 @@ def _peel_batch(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([_peel(t) if t is not None else (None, []) for t in texts], columns=["text", "chain"])
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Payloads can be long: a batch that goes to Python holds so many bytes, and so many rows of short ones, whatever the size of the table.
+    Rows count too, since a packed payload comes back many times as long."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+
+
 def maybe_encoded(col: Column) -> Column:
     """Cheap test that no undecodable text passes: only its survivors are sent to Python."""
     body = strip(col)
@@ -132,6 +139,7 @@ def maybe_encoded(col: Column) -> Column:
 
 def decode_payloads(df: DataFrame, text: str) -> DataFrame:
     """Adds ``decoded`` and ``decoding_chain``. One scan: plain rows cross to Python as a null, not as text."""
+    short_batches(df.sparkSession)
     peeled = df.withColumn("_p", _peel_batch(F.when(maybe_encoded(F.col(text)), F.col(text))))
     return peeled.select(
         *df.columns,
