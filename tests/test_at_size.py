@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from vigil.operators import decode, notify, rule_index, rules
+from vigil.operators import decode, kernels, notify, rule_index, rules
 from vigil.streaming import keyed
 
 
@@ -159,3 +159,20 @@ def test_decoder_batches_are_bounded(spark):
     df = decode.decode_payloads(spark.range(0, 20_000, 1, 1).select(F.concat(F.lit("text "), F.col("id").cast("string")).alias("text")), "text")
     assert df.select(size("decoded").alias("n")).agg(F.max("n")).first()[0] <= 500
     assert df.where("decoded != text").count() == 0 and df.count() == 20_000
+
+
+def test_more_rows_make_more_partitions_of_windows(spark, monkeypatch):
+    """Few keys and many rows: tasks of the window pass hold a bounded number of rows, and the windows are the same."""
+    rows = spark.range(0, 20_000, 1, 4).select((F.col("id") % 2).cast("string").alias("key"), (F.xxhash64("id") % 500_000).alias("t"), F.col("id").alias("n"))
+
+    def windows():
+        return kernels.trailing_window(rows, {"key": F.col("key")}, F.col("t"), 10_000, F.lit(True), keep={"id": F.col("n")}, sums={"many": F.lit(1)},
+                                       spans={"x": F.col("n") % 3 == 0}, distinct={"v": F.array((F.col("n") % 5).cast("string"))})
+
+    few = windows()
+    want = {tuple(r) for r in few.collect()}
+    monkeypatch.setattr(kernels, "SHARE", 500, raising=False)
+    more = windows()
+    got = more.withColumn("p", F.spark_partition_id())
+    assert got.groupBy("p").count().agg(F.max("count")).first()[0] < 3000 and got.select("p").distinct().count() > 20
+    assert {tuple(r) for r in more.collect()} == want and len(want) == 20_000

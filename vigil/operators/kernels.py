@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigil.functions.exprs import any_of
+from vigil.streaming.storage import written
 
 NEVER = -(1 << 62)
 
@@ -126,15 +127,19 @@ def trailing_window(
 
 #: A block is looked at in so many cells where it is cut.
 CELLS = 1024
+#: Rows of a partition of the window pass on average at most: more rows make more partitions, not larger ones.
+SHARE = 100_000
 
 
 def _sub_blocks(base, moved, by, own, leaves, width, block, sums, distinct, spans) -> DataFrame:
     """``moved`` with the sub-block (``_sub``) of each row and what its running sums start from (``_off``, null: nothing).
 
-    1. Blocks with more rows than a partition's share. There can't be more of them than partitions.
+    1. Blocks with more rows than a partition's share. There can't be more of them than partitions. The counts are written: how many rows there are
+       says into how many partitions they go.
     2. Of these blocks, rows and totals per cell: an aggregate that is combined before the shuffle.
     3. Cells in order are put together to sub-blocks of a share each; prefix sums over the cells give where each one starts from.
-    4. The cuts of all blocks, two for each partition at most, go to every task. Rows are shuffled once, by (key, block, sub-block).
+    4. The cuts of all blocks, two for each partition at most, go to every task. Rows are shuffled once, by (key, block, sub-block), into the
+       session's shuffle partitions or as many as it takes for ``SHARE`` rows each.
 
     Cuts follow from the rows alone, so every task and every repeated task makes the same. Without a crowded block the second pass has
     nothing to read. Rows of one cell stay together: the window needs rows of one time in one place.
@@ -142,7 +147,10 @@ def _sub_blocks(base, moved, by, own, leaves, width, block, sums, distinct, span
     keys = by[:-1]
     n = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counts = base.select(*keys, F.explode(F.array_compact(F.array(own, F.when(leaves, own + 1)))).alias("_blk")).groupBy(*by).agg(F.count("*").alias("_n"))
-    target = counts.agg(F.greatest(F.coalesce(F.sum("_n"), F.lit(0)) / n, F.lit(1.0))).scalar()
+    counts = written(counts, "counts")
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    parts = max(n, -(-total // SHARE))
+    target = F.lit(max(total / parts, 1.0))
     crowded = counts.where(F.col("_n") > target)
 
     place = (F.col("_at") - F.col("_blk") * block + width) * F.lit(CELLS) / (block + 2 * width)
@@ -170,10 +178,11 @@ def _sub_blocks(base, moved, by, own, leaves, width, block, sums, distinct, span
     entry = F.struct("_from", *ahead, *[f"_f_{x}" for x in spans])
     cuts = subs.groupBy(*by).agg(F.array_sort(F.collect_list(entry)).alias("_cuts"))
     reached = F.filter("_cuts", lambda c: c["_from"] <= F.col("_cell"))
-    return (
+    placed = (
         moved.join(F.broadcast(cuts), by, "left").withColumn("_off", F.try_element_at(reached, F.lit(-1)))
         .withColumn("_sub", F.coalesce("_off._from", F.lit(0))).drop("_cuts", "_cell")
     )
+    return placed.repartition(parts, *by, "_sub") if parts > n else placed
 
 
 def _presence(base, key_names, name, width, own, leaves) -> DataFrame:
