@@ -434,3 +434,46 @@ def test_empty_tables(spark, empty):
     from pyspark.sql import functions as F
 
     assert reshard.resharded(empty, F.lit(0)).count() == 0
+
+
+def near_group(size, words=110):
+    """Copies of one text with a word of their own, which link with each other, and as many with two, which link only with those: the
+    pivots, the smallest by class, are all of the second kind."""
+    rng = random.Random(size)
+    base = prose(rng, words)
+    out = []
+    while len(out) < size:
+        text = base.split()
+        for j in rng.sample(range(4, words - 4), 1 + len(out) % 2):
+            text[j] = f"own{rng.random()}"
+        if (jaccard.class_id(jaccard.shingles(" ".join(text).encode())) < 0) == len(out) % 2:
+            out.append((len(out), " ".join(text)))
+    return out
+
+
+def test_jaccard_asks_in_proportion_to_a_group_of_near_copies(spark, monkeypatch):
+    asked = []
+    distances = jaccard.distances
+
+    def counted(pairs, classes, docs):
+        asked.append(pairs.count())
+        return distances(pairs, classes, docs)
+
+    monkeypatch.setattr(jaccard, "distances", counted)
+    seen = {}
+    for size in (40, 200):
+        asked.clear()
+        rows = near_group(size)
+        got = jaccard.similarity_classes(texts(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
+        assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == linked_components(rows)
+        seen[size] = sum(asked)
+    assert seen[200] <= 8 * seen[40]
+
+
+def test_jaccard_blocks_of_a_region(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "LEAF", 7)
+    monkeypatch.setattr(jaccard, "NEAREST", 1)
+    monkeypatch.setattr(jaccard, "FURTHER", 2)
+    rows = near_group(60)
+    got = jaccard.similarity_classes(texts(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == linked_components(rows)

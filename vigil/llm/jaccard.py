@@ -11,8 +11,10 @@ document is replicated. Each region then has a document pivot, its smallest memb
 
 *Windows.* All members are measured against the pivot. Those within the radius of it are linked. For the others d(x, p) - d(y, p)
 bounds d(x, y) from below, so only pairs whose distances to the pivot differ by no more than the radius are left, and only
-those that links don't connect already. A region of up to ``LEAF`` members joins them in one place; a larger one goes on with new document
-pivots, and so on until no region has unconnected members left. Nothing is capped: the result is exact.
+those that links don't connect already. Of a region's components the largest waits; each other member asks its ``NEAREST`` members of other
+components, nearest sketches first, what is found is contracted, and the next round asks ``FURTHER`` times as many, until no member has one left that it
+has not asked and that is not in its component by then. A region of more than ``LEAF`` members is dealt in blocks: the first round
+looks inside a block, later ones let whoever is still outside the largest component ask all blocks. Nothing is capped: the result is exact.
 
 *Cost.* The order of shingles comes from counts over the whole corpus in a table of fixed size. Before two sets are
 fetched, parity sketches of at least twice as many bits bound their symmetric difference from below. Equal sets are one class from the start, and a task
@@ -45,12 +47,13 @@ COUNTER_BITS = 20
 COUNTERS = 1 << COUNTER_BITS
 #: A sketch has so many bits at least.
 SKETCH_BITS = 1024
-#: A region up to this size joins its members directly.
+#: Members of a region that are looked through in one place, about.
 LEAF = 4_096
+#: Members of other components that a member asks in the first round, and how many times as many in each further one.
+NEAREST = 4
+FURTHER = 16
 #: Sets that are measured against a pivot in one place, about.
 TOGETHER = 500
-#: Pivots of a larger region in each round, about.
-PIVOTS = 16
 #: Members of a region that go to one task, about, when the counts show that it is large.
 PART = 2_000
 #: A member of a region names so many of its other regions at most: a pair that meets in one of them before is left to that one.
@@ -257,60 +260,85 @@ def distances(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
 # ---- join
 
 
-def joined_regions(members: DataFrame, n: int) -> DataFrame:
-    """Pairs of members of a region (``s``, at most ``LEAF`` of them) that are in different components and that neither sizes, nor the
-    distances to their pivot, nor the short sketches tell apart. A pair with several regions in common goes out from the first of them
-    (``others`` are a member's regions in order; a pair that meets beyond those named may go out twice)."""
-
-    def pairs(region: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def asking(regions: DataFrame, whole: bool) -> DataFrame:
+    """Members of regions (``s``, its ``size`` and largest component ``most``, of which ``out`` members are outside) in blocks of about
+    ``LEAF``: in each a member can be asked (``home``), asks (``asks``) or both. Inside its own block only, or ``whole``: each
+    member outside the largest component asks all blocks, in groups of about ``LEAF``."""
+    regions = regions.withColumn("others", F.filter("others", lambda x: x < F.col("s"))).withColumn("asks", F.col("label") != F.col("most"))
+    blocks, groups = F.ceil(F.col("size") / LEAF).cast("int"), F.ceil(F.col("out") / LEAF).cast("int")
+    own = regions.select("*", F.lit(True).alias("home"), F.pmod(F.xxhash64("c"), blocks).cast("int").alias("block"), F.lit(0).alias("group"))
+    if not whole:
+        return own
+    large = regions.where(F.col("size") > LEAF)
+    asked = large.withColumn("asks", F.lit(False)).select("*", F.lit(True).alias("home"), F.pmod(F.xxhash64("c"), blocks).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), groups - 1)).alias("group"))
+    ask = large.where("asks").withColumn("group", F.pmod(F.xxhash64("c", F.lit(1)), groups).cast("int"))
+    ask = ask.select(*regions.columns, F.lit(False).alias("home"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), "group")
+    return own.where(F.col("size") <= LEAF).union(asked).union(ask)
+
+
+def joined_regions(members: DataFrame, n: int, nearest: int) -> DataFrame:
+    """Pairs of members of a region's block (``s``, ``block``, ``group``) that are in different components and that neither sizes, nor the
+    distances to their pivot, nor the short sketches tell apart: the ``nearest`` of each member that asks, and whether it has ``more``.
+    A pair with several regions in common goes out from the first of them (``others`` are a member's regions before this one; a pair that
+    meets beyond those named may go out twice)."""
+
+    def pairs(region: dict[str, np.ndarray]) -> list[tuple]:
         c, n, label, d, p = (region[x] for x in ("c", "n", "label", "d", "p"))
         marks = np.frombuffer(b"".join(region["short"]), dtype=np.uint64).reshape(len(c), -1)
-        here = region["s"][0]
-        before = [{x for x in others if x < here} for others in region["others"]]
-        names, of = np.unique(label, return_inverse=True)
-        most = np.bincount(of, minlength=len(names)).argmax()
-        outside = np.flatnonzero(of != most)  # pairs within the largest component need not be looked at
+        before = [set(x) for x in region["others"]]
+        home = np.flatnonzero(region["home"])
+        asks = np.flatnonzero(region["asks"])
         found = []
-        for begin in range(0, len(outside), 16):
-            i = outside[begin : begin + 16]
-            fits = (of[i][:, None] != of[None, :]) & ((of[None, :] == most) | (i[:, None] < np.arange(len(c))[None, :]))
-            fits &= 100 * np.minimum(n[i][:, None], n[None, :]) >= PERCENT * np.maximum(n[i][:, None], n[None, :])
+        for begin in range(0, len(asks), 16):
+            i = asks[begin : begin + 16]
+            fits = label[i][:, None] != label[home][None, :]
+            fits &= 100 * np.minimum(n[i][:, None], n[home][None, :]) >= PERCENT * np.maximum(n[i][:, None], n[home][None, :])
             with np.errstate(invalid="ignore"):
-                fits &= ~((p[i][:, None] == p[None, :]) & (np.abs(d[i][:, None] - d[None, :]) > RADIUS + 1e-9))
+                fits &= ~((p[i][:, None] == p[home][None, :]) & (np.abs(d[i][:, None] - d[home][None, :]) > RADIUS + 1e-9))
             x, y = np.nonzero(fits)
-            apart = np.bitwise_count(marks[i[x]] ^ marks[y]).sum(axis=1, dtype=np.int64)
-            near = (100 + PERCENT) * apart <= (100 - PERCENT) * (n[i[x]] + n[y])
-            a, b = i[x[near]], y[near]
-            new = np.array([before[p].isdisjoint(before[q]) for p, q in zip(a.tolist(), b.tolist(), strict=True)], dtype=bool)
-            found.append((c[a[new]], c[b[new]]))
-        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (c[:0], c[:0])
+            x, y = i[x], home[y]
+            apart = np.bitwise_count(marks[x] ^ marks[y]).sum(axis=1, dtype=np.int64)
+            total = n[x] + n[y]
+            near = (100 + PERCENT) * apart <= (100 - PERCENT) * total
+            x, y, far = x[near], y[near], apart[near] / total[near]
+            order = np.lexsort((far, x))
+            asked, last = 0, -1
+            for a, b in zip(x[order].tolist(), y[order].tolist(), strict=True):
+                asked, last = (asked if a == last else 0), a
+                if asked <= nearest and before[a].isdisjoint(before[b]):
+                    asked += 1
+                    if asked <= nearest:
+                        found.append([region["s"][0], c[a], c[b], False])
+                    else:
+                        found[-1][3] = True
+        return found
 
     def join(batches):
-        names = ["c", "n", "label", "d", "p"]
+        names = ["s", "block", "group", "c", "n", "label", "d", "p", "home", "asks"]
         held = None
         for batch in batches:
-            columns = {x: batch.column(x).to_numpy(zero_copy_only=False) for x in ("s", *names)} | {"short": np.array(batch.column("short").to_pylist(), dtype=object)}
-            others = np.empty(batch.num_rows, dtype=object)
-            for k, regions in enumerate(batch.column("others").to_pylist()):
-                others[k] = regions
-            columns["others"] = others
+            columns = {x: batch.column(x).to_numpy(zero_copy_only=False) for x in names}
+            for x in ("short", "others"):
+                columns[x] = np.empty(batch.num_rows, dtype=object)
+                for k, value in enumerate(batch.column(x).to_pylist()):
+                    columns[x][k] = value
             if held is not None:
                 columns = {x: np.concatenate((held[x], columns[x])) for x in columns}
-            cuts = np.flatnonzero(columns["s"][1:] != columns["s"][:-1]) + 1
-            edges = [0, *cuts.tolist()]
-            out = [pairs({x: v[a:b] for x, v in columns.items()}) for a, b in zip(edges, edges[1:], strict=False)]
+            new = np.any([columns[x][1:] != columns[x][:-1] for x in ("s", "block", "group")], axis=0)
+            edges = [0, *(np.flatnonzero(new) + 1).tolist()]
+            for a, b in zip(edges, edges[1:], strict=False):
+                yield from packed(pairs({x: v[a:b] for x, v in columns.items()}))
             held = {x: v[edges[-1] :] for x, v in columns.items()}
-            if out:
-                yield packed(out)
         if held is not None and len(held["s"]):
-            yield packed([pairs(held)])
+            yield from packed(pairs(held))
 
-    def packed(out):
-        x, y = (np.concatenate(v) for v in zip(*out, strict=True))
-        found = np.unique(np.stack((np.minimum(x, y), np.maximum(x, y)), axis=1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+    def packed(found):
+        if found:
+            s, a, b, more = zip(*found, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(s, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(more, pa.bool_())], ["s", "a", "b", "more"])
 
-    return members.repartition(n, "s").sortWithinPartitions("s").mapInArrow(join, "a long, b long").distinct()
+    dealt = members.select("s", "block", "group", "c", "n", "label", "d", "p", "home", "asks", "short", "others")
+    return dealt.repartition(n, "s", "block", "group").sortWithinPartitions("s", "block", "group").mapInArrow(join, "s long, a long, b long, more boolean")
 
 
 def ordered(x: str, y: str) -> list:
@@ -323,7 +351,8 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
     seen = written(measured(docs), "measured")
     counters = summed(seen.where("part = 0"), "data", COUNTERS)
     level = levels(counters)
-    parts = np.where(level > 0, np.clip(counters // PART, 1, 65_535), 1).astype(np.uint16)
+    # powers of two: members that share a part of one large region share those of others, and so their pivots
+    parts = np.where(level > 0, 1 << np.floor(np.log2(np.clip(counters // PART, 1, 32_768))).astype(np.int64), 1).astype(np.uint16)
     del counters
     own = seen.where("part = -1")
     # one document stands for all of a class
@@ -348,32 +377,33 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
     left, right = (labels.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}")) for x in ("c", "p"))
     apart = stars.join(left, "c", "left").join(right, "p", "left").where(F.coalesce("of_c", "c") != F.coalesce("of_p", "p"))
     rest = apart.select(*ordered("c", "p")).distinct().join(tested, ["a", "b"], "left_anti")
-    tested = tested.union(written(distances(rest, classes, docs), "distances"))
-    links = tested.where("link").select("a", "b")
-    labels = components(links)
+    found = written(distances(rest, classes, docs), "distances")
+    tested = tested.union(found)
+    labels = further(labels, found.where("link").select("a", "b"))
     # a region of two has been done with: one of them was its pivot
     left = _unconnected(members.where("open").select("s", "c", "p"), labels)
+    to_pivot = tested.select(F.col("a").alias("c"), F.col("b").alias("p"), "d").union(tested.select("b", "a", "d")).dropDuplicates(["c", "p"])
+    nearest, whole = NEAREST, False
     while not left.isEmpty():
-        to_pivot = tested.select(F.col("a").alias("c"), F.col("b").alias("p"), "d").union(tested.select("b", "a", "d"))
-        size = left.groupBy("s").agg(F.count("*").alias("size"))
+        size = left.groupBy("s", "label").agg(F.count("*").alias("k")).groupBy("s").agg(
+            F.sum("k").alias("size"), (F.sum("k") - F.max("k")).alias("out"), F.max(F.struct("k", "label")).getField("label").alias("most"),
+        )
         others = left.groupBy("c").agg(F.slice(F.sort_array(F.collect_set("s")), 1, NAMED).alias("others"))
         sized = written(
-            left.join(to_pivot.dropDuplicates(["c", "p"]), ["c", "p"], "left").withColumn("d", F.when(F.col("c") == F.col("p"), 0.0).otherwise(F.col("d")))
+            left.join(to_pivot, ["c", "p"], "left").withColumn("d", F.when(F.col("c") == F.col("p"), 0.0).otherwise(F.col("d")))
             .join(size, "s").join(classes.select("c", "n", "short").join(others, "c"), "c"), "regions",
         )
-        leaves = joined_regions(sized.where(F.col("size") <= LEAF), partitions(spark))
-        # a larger region: about PIVOTS of its members become the pivots that all others are measured against
-        large = sized.where(F.col("size") > LEAF)
-        chosen = F.pmod(F.xxhash64("c"), F.ceil(F.col("size") / PIVOTS)) == 0
-        pivots = large.where(chosen).select("s", F.col("c").alias("q")).union(large.groupBy("s").agg(F.min("c").alias("q"))).distinct()
-        stars = large.join(pivots, "s").where("c <> q").select(*ordered("c", "q"))
-        found = written(distances(leaves.union(stars).distinct(), classes, docs), "distances")
-        links = links.union(found.where("link").select("a", "b"))
-        tested = tested.union(found)
-        labels = components(links)
-        rest = large.select("s", "c").join(pivots.withColumnRenamed("q", "c"), ["s", "c"], "left_anti")
-        nearest = pivots.groupBy("s").agg(F.min("q").alias("p"))
-        left = _unconnected(rest.join(nearest, "s").select("s", "c", "p"), labels, least=2)
+        near = written(joined_regions(asking(sized, whole), partitions(spark), nearest), "near")
+        asked = near.select(*ordered("a", "b")).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        found = written(distances(asked, classes, docs), "distances")
+        tested = tested.union(found.select("a", "b", "d", "link"))
+        labels = further(labels, found.where("link").select("a", "b"))
+        # a region is done with when its members have asked all blocks and none had more to ask
+        again = near.where("more").select("s")
+        if not whole:
+            again = again.union(size.where(F.col("size") > LEAF).select("s"))
+        left = _unconnected(left.select("s", "c", "p").join(again.distinct(), "s", "left_semi"), labels, least=2)
+        nearest, whole = FURTHER * nearest, True
 
     ids = own.select("c", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("i")).groupBy("c").agg(F.min("i").alias("i"))
     named = written(ids.join(labels.withColumnRenamed("node", "c"), "c", "left").select("c", "i", F.coalesce("component", "c").alias("label")), "named")
@@ -384,6 +414,19 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
     )
 
 
+def further(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (node, component) after further links ``a``, ``b``: only the components that they join are looked at."""
+    of_a, of_b = (labels.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}")) for x in ("a", "b"))
+    between = links.join(of_a, "a", "left").join(of_b, "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    between = written(between.where("a <> b").distinct(), "links")
+    if between.isEmpty():
+        return labels
+    roots = components(between)
+    new = roots.select("node").join(labels, "node", "left_anti").select("node", F.col("node").alias("component"))
+    roots = roots.select(F.col("node").alias("component"), F.col("component").alias("root"))
+    return written(labels.union(new).join(roots, "component", "left").select("node", F.coalesce("root", "component").alias("component")), "labels")
+
+
 def _unconnected(regions: DataFrame, labels: DataFrame, least: int = 3) -> DataFrame:
     """Members (``s``, ``c``, pivot ``p``) of regions with members of several components, with their ``label``. A region of
     two has been done with when one of them was its pivot. Of regions with the same members one is enough."""
