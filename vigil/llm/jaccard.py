@@ -50,8 +50,8 @@ SKETCH_BITS = 1024
 #: Members of a region that are looked through in one place, about.
 LEAF = 4_096
 #: Members of other components that a member asks in the first round, and how many times as many in each further one.
-NEAREST = 4
-FURTHER = 16
+NEAREST = 16
+FURTHER = 256
 #: Sets that are measured against a pivot in one place, about.
 TOGETHER = 500
 #: Members of a region that go to one task, about, when the counts show that it is large.
@@ -59,6 +59,9 @@ PART = 2_000
 #: A member of a region names so many of its other regions at most: a pair that meets in one of them before is left to that one.
 NAMED = 64
 
+#: A region goes by the hash of its shingle without so many low bits: two shingles that share a name share a region, which loses no pair.
+NAME_BITS = np.uint64(24)
+
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -174,7 +177,7 @@ def memberships(docs: DataFrame, level: np.ndarray, parts: np.ndarray) -> DataFr
         c = np.repeat(np.array([r[1] for r in rows], dtype=np.int64), [len(r[0]) for r in rows])
         of = parts[counter_of(s)].astype(np.uint64)
         part = mix(c.view(np.uint64)) % of
-        return pa.RecordBatch.from_arrays([signed(s), pa.array(part.astype(np.int32)), pa.array(of > 1), pa.array(c)], ["s", "part", "dealt", "c"])
+        return pa.RecordBatch.from_arrays([signed(s >> NAME_BITS), pa.array(part.astype(np.int32)), pa.array(of > 1), pa.array(c)], ["s", "part", "dealt", "c"])
 
     return docs.mapInArrow(spread, "s long, part int, dealt boolean, c long")
 
@@ -383,6 +386,7 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
     # a region of two has been done with: one of them was its pivot
     left = _unconnected(members.where("open").select("s", "c", "p"), labels)
     to_pivot = tested.select(F.col("a").alias("c"), F.col("b").alias("p"), "d").union(tested.select("b", "a", "d")).dropDuplicates(["c", "p"])
+    asked = tested.select("a", "b")
     nearest, whole = NEAREST, False
     while not left.isEmpty():
         size = left.groupBy("s", "label").agg(F.count("*").alias("k")).groupBy("s").agg(
@@ -394,9 +398,9 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
             .join(size, "s").join(classes.select("c", "n", "short").join(others, "c"), "c"), "regions",
         )
         near = written(joined_regions(asking(sized, whole), partitions(spark), nearest), "near")
-        asked = near.select(*ordered("a", "b")).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        found = written(distances(asked, classes, docs), "distances")
-        tested = tested.union(found.select("a", "b", "d", "link"))
+        new = near.select(*ordered("a", "b")).distinct().join(asked, ["a", "b"], "left_anti")
+        found = written(distances(new, classes, docs), "distances")
+        asked = asked.union(near.select(*ordered("a", "b")))
         labels = further(labels, found.where("link").select("a", "b"))
         # a region is done with when its members have asked all blocks and none had more to ask
         again = near.where("more").select("s")
