@@ -10,6 +10,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from vigil.operators import decode, formats, kernels, notify, rule_index, rules
+from vigil.plans import pipeline
 from vigil.streaming import keyed
 
 
@@ -186,3 +187,43 @@ def test_the_time_of_a_csv_line_is_read_once(spark):
     assert plan.count(r"^(\d{4}-\d{2}-\d{2})[T ]") <= 3
     got = [(r.detected_format, r.parsed and (r.parsed.timestamp, r.parsed.message)) for r in out.collect()]
     assert got == [("csv", ("2024-01-02T03:04:05.500000+00:00", "a, b")), ("text", None), ("text", None)]
+
+
+def test_the_path_validates_and_normalizes_a_row_once(spark, monkeypatch):
+    """Quarantine reads what validation has written, and what follows duplicate removal reads normalized rows: no text is parsed for each reader."""
+    plans, write = {}, pipeline.written
+
+    def noted(df, name):
+        plans.setdefault(name, df._jdf.queryExecution().optimizedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(pipeline, "written", noted)
+    texts = [
+        '{"source":"a","event_type":"x","message":"m","record_number":7}', '{"source":"a","event_type":"x","message":"n","record_number":7}',
+        '{"source":"a","event_type":"malware.found","message":"m"}', '{"message":"no type"}', '{"message":"no type"}', "{", None,
+    ]
+    raw = spark.createDataFrame(list(enumerate(texts)), "event_id long, raw string").selectExpr("event_id", "timestamp_micros(event_id) as received", "raw")
+    limit = spark.conf.get("spark.sql.codegen.hugeMethodLimit")
+    spark.conf.set("spark.sql.debug.maxToStringFields", "1000")
+    try:
+        out = pipeline.run(raw, rules.default_rules(spark), notify.default_policies(spark), 2024)
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == limit
+    files = out.quarantine.inputFiles()
+    assert files and all("/validated-" in f for f in files)
+    assert "from_json" not in plans["events"]
+    held = {(r.raw_payload, r.quarantined_count, r.rejection_reason) for r in out.quarantine.collect()}
+    # a text that is no JSON has no fields, so its hash is that of the missing one
+    assert held == {('{"message":"no type"}', 2, "Missing required event_type"), ("{", 2, "Malformed JSON payload")}
+    assert sorted((r.event_id, r.message) for r in out.events.collect()) == [(0, "m"), (2, "m")]
+    assert [(r.event_id, r.occurrence_count) for r in out.alerts.collect()] == [(2, 1)]
+
+
+def test_threshold_rules_try_an_event_once(spark):
+    """The windows read an event several times; its texts go to Python before, not in each of these reads."""
+    rows = [(i, i * 1_000_000, "auth", "login.failure", "m") for i in range(6)]
+    df = spark.createDataFrame(rows, "event_id long, t long, source string, event_type string, message string")
+    hits = rules.threshold_rules(df, rules.load_rules(rules.default_rules(spark)), "event_id", "t")
+    assert "Python" not in hits._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.event_id, r.matching) for r in hits.collect()) == [(2, 3), (3, 4), (4, 5), (5, 6)]

@@ -41,22 +41,18 @@ def validate(df: DataFrame, raw: str = "raw") -> DataFrame:
     )
     when, ip = F.col("_when"), F.col("_ip")
     no_type = F.col("_type").isNull()
-    errors = F.array_compact(
-        F.array(
-            F.when(no_type, F.lit("Missing required event_type")),
-            F.when(
-                when.isNotNull() & event_time(when).isNull(), F.concat(F.lit("Invalid timestamp format: "), when)
-            ),
-            F.when(no_type, F.lit("Missing critical fields required for SOC processing (event_type)")),
-        )
+    errors = F.array(
+        F.when(no_type, F.lit("Missing required event_type")),
+        F.when(
+            when.isNotNull() & event_time(when).isNull(), F.concat(F.lit("Invalid timestamp format: "), when)
+        ),
+        F.when(no_type, F.lit("Missing critical fields required for SOC processing (event_type)")),
     )
-    warnings = F.array_compact(
-        F.array(
-            F.when(pick("source").isNull(), F.lit("Missing source")),
-            F.when(pick("message").isNull(), F.lit("Missing message")),
-            F.when(~F.lower(strip(pick_value("severity"))).isin(fx.LOG_SEVERITIES), F.lit("Non-standard severity value")),
-            F.when(ip.isNotNull() & ~is_ip(ip), F.lit("Invalid source_ip format")),
-        )
+    warnings = F.array(
+        F.when(pick("source").isNull(), F.lit("Missing source")),
+        F.when(pick("message").isNull(), F.lit("Missing message")),
+        F.when(~F.lower(strip(pick_value("severity"))).isin(fx.LOG_SEVERITIES), F.lit("Non-standard severity value")),
+        F.when(ip.isNotNull() & ~is_ip(ip), F.lit("Invalid source_ip format")),
     )
     none, bad = F.array().cast("array<string>"), F.col("_payload").isNotNull()
     picked = df.withColumns(
@@ -65,15 +61,17 @@ def validate(df: DataFrame, raw: str = "raw") -> DataFrame:
             "_type": pick("event_type"),
         }
     )
-    checked = picked.withColumns(
+    # a step of their own: what stands inside array_compact is not compiled
+    tested = picked.withColumns({"_errors": once(F.when(~bad, errors)), "_warnings": once(F.when(~bad, warnings))})
+    checked = tested.withColumns(
         {
-            "errors": once(F.when(bad, F.array("_payload")).otherwise(errors)),
-            "warnings": once(F.when(bad, none).otherwise(warnings)),
+            "errors": once(F.when(bad, F.array("_payload")).otherwise(F.array_compact("_errors"))),
+            "warnings": once(F.when(bad, none).otherwise(F.array_compact("_warnings"))),
             "stage": F.when(bad, F.lit("payload_check")).otherwise("field_check"),
         }
     )
     status = F.when(F.size("errors") > 0, "INVALID").when(F.size("warnings") > 0, "WARNING").otherwise("VALID")
-    return checked.withColumn("status", status).drop("_payload", "_when", "_ip", "_type")
+    return checked.withColumn("status", status).drop("_payload", "_when", "_ip", "_type", "_errors", "_warnings")
 
 
 def route(validated: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -11,6 +11,7 @@ from vigil.functions import fixed_values as fx
 from vigil.functions.exprs import MINUTE, all_of, any_of, matches_any, once, starts_with_any
 from vigil.operators.kernels import trailing_window
 from vigil.operators.rule_index import candidate_rules, java_regex, split_pattern
+from vigil.streaming.storage import written
 
 MATCH = "struct<rule_code:string,rule_name:string,severity:string,risk_score:int,reason:string>"
 RULES = (
@@ -122,7 +123,9 @@ def threshold_rules(df: DataFrame, rules: list, id_col: str, t: str) -> DataFram
         return None
     places = F.array(*[F.lit(i) for i, _ in usable])
     counted = df.select(id_col, t, "source", "event_type", F.explode(matched_rules(df, [r for _, r in usable])).alias("_r"))
-    counted = counted.withColumn("_order", F.get(places, F.col("_r.n")))
+    told = F.struct(*[F.col(f"_r.{c}").alias(c) for c in ("rule_code", "rule_name", "severity", "risk_score", "threshold_count", "threshold_minutes")])
+    # the windows read their rows several times: each event is tried with the rules once
+    counted = written(counted.select(id_col, t, "source", "event_type", told.alias("_r"), F.get(places, F.col("_r.n")).alias("_order")), "matched")
     hits = None
     for minutes in sorted({r.threshold_minutes for _, r in usable}):
         seen = trailing_window(
