@@ -86,6 +86,30 @@ def test_jaccard_regions_of_many_parts_and_rounds(docs, rows, monkeypatch):
     assert Counter((None if r.doc_id < 0 else r.doc_id, r.n_shingles, r.component_id) for r in got) == linked_components([(r[0], r[1]) for r in rows])
 
 
+def test_jaccard_counters_stay_in_the_tasks(docs, rows, monkeypatch):
+    monkeypatch.setattr(jaccard, "PART", 2)
+    came, kind = [], type(docs)
+
+    def counted(rows_of):
+        def call(self, *args, **more):
+            out = list(rows_of(self, *args, **more))
+            came.extend(len(x) for r in out for x in r if isinstance(x, bytes | bytearray))
+            return out
+
+        return call
+
+    monkeypatch.setattr(kind, "toLocalIterator", counted(kind.toLocalIterator))
+    monkeypatch.setattr(kind, "collect", counted(kind.collect))
+    jaccard.similarity_classes(texts(docs))
+    assert 0 < sum(came) < jaccard.COUNTERS  # one vector of the counters alone has eight times as many bytes
+    found = np.concatenate([jaccard.shingles((r[1] or "").encode()) for r in rows])
+    counters = np.bincount(jaccard.counter_of(found), minlength=jaccard.COUNTERS)
+    want = np.floor(np.log2(np.maximum(1, counters / max(1, len(found) / jaccard.COUNTERS))))
+    level, parts = jaccard.common(jaccard.measured(texts(docs)))
+    assert (level == want).all() and want.max() > 1
+    assert (parts == np.where(want > 0, np.floor(np.log2(np.clip(counters // 2, 1, 32_768))), 0)).all() and parts.max() > 0
+
+
 def test_one_of_each_keeps_the_smallest(docs, rows):
     kept = jaccard.one_of_each(docs)
     assert kept.columns == docs.columns

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vigil.llm.common import NO_ID, as_bytes, mix, own_id, partitions, short_batches, summed, table, texts, word_hashes
+from vigil.llm.common import NO_ID, as_bytes, mix, own_id, partitions, short_batches, table, texts, word_hashes
 from vigil.llm.components import components
 from vigil.llm.registry import query
 from vigil.streaming.storage import written
@@ -45,6 +45,8 @@ PERCENT = 75
 RADIUS = 1 - PERCENT / 100
 COUNTER_BITS = 20
 COUNTERS = 1 << COUNTER_BITS
+#: Counters that travel and are summed together.
+SUMMED = 1 << 12
 #: A sketch has so many bits at least.
 SKETCH_BITS = 1024
 #: Members of a region that are looked through in one place, about.
@@ -102,9 +104,8 @@ def class_id(found: np.ndarray) -> int:
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(found.tobytes()))))
 
 
-def levels(counters: np.ndarray) -> np.ndarray:
+def levels(counters: np.ndarray, mean: float) -> np.ndarray:
     """How many times twice the mean count each counter holds, as a power of two: 0 for all but common shingles."""
-    mean = max(1.0, counters.sum() / len(counters))
     return np.floor(np.log2(np.maximum(1.0, counters / mean))).astype(np.uint8)
 
 
@@ -127,7 +128,7 @@ def signed(x: np.ndarray) -> pa.Array:
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """One row per document (part -1: its class, size, sketch and the hash of its text) and the counters of each task's shingles (part 0)."""
+    """One row per document (part -1: its class, size, sketch and the hash of its text) and the counters of each task's shingles, ``SUMMED`` a row."""
 
     def measure(batches):
         total = np.zeros(COUNTERS, dtype=np.int64)
@@ -145,16 +146,53 @@ def measured(docs: DataFrame) -> DataFrame:
                 [pa.array([-1] * len(sizes), pa.int32()), batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(marks, pa.binary()), pa.array([shortened(x) for x in marks], pa.binary()), batch.column("h")],
                 ["part", "doc_id", "n", "c", "data", "short", "h"],
             )
+        blocks = [x.tobytes() for x in total.reshape(-1, SUMMED)]
+        zero = pa.array([0] * len(blocks), pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [pa.array([0], pa.int32()), pa.array([0], pa.int64()), pa.array([0], pa.int64()), pa.array([0], pa.int64()), pa.array([total.tobytes()], pa.binary()), pa.array([b""], pa.binary()), pa.array([0], pa.int64())],
+            [pa.array(range(len(blocks)), pa.int32()), zero, zero, zero, pa.array(blocks, pa.binary()), pa.array([b""] * len(blocks), pa.binary()), zero],
             ["part", "doc_id", "n", "c", "data", "short", "h"],
         )
 
     return docs.withColumn("h", F.xxhash64("text")).mapInArrow(measure, "part int, doc_id long, n long, c long, data binary, short binary, h long")
 
 
+def common(seen: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """From the counters of ``measured``: the level of each counter, and into how many parts (as a power of two) its regions are
+    dealt. The sums stay in the tasks; only the counters with a level come to the driver, six bytes each."""
+
+    def add(batches):
+        total = {}
+        for batch in batches:
+            for part, data in zip(batch.column("part").to_pylist(), batch.column("data").to_pylist(), strict=True):
+                total[part] = total.get(part, 0) + np.frombuffer(data, dtype=np.int64)
+        columns = [pa.array(list(total), pa.int32()), pa.array([int(x.sum()) for x in total.values()], pa.int64()), pa.array([x.tobytes() for x in total.values()], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["part", "n", "data"])
+
+    sums = written(seen.where("part >= 0").select("part", "data").repartition(partitions(seen.sparkSession), "part").mapInArrow(add, "part int, n long, data binary"), "counters")
+    mean = max(1.0, (sums.agg(F.sum("n")).first()[0] or 0) / COUNTERS)
+
+    def above(batches):
+        for batch in batches:
+            slots, high, spread = [], [], []
+            for part, data in zip(batch.column("part").to_pylist(), batch.column("data").to_pylist(), strict=True):
+                counters = np.frombuffer(data, dtype=np.int64)
+                level = levels(counters, mean)
+                at = np.flatnonzero(level)
+                slots.append((at + part * SUMMED).astype(np.int32).tobytes())
+                high.append(level[at].tobytes())
+                # powers of two: members that share a part of one large region share those of others, and so their pivots
+                spread.append(np.floor(np.log2(np.clip(counters[at] // PART, 1, 32_768))).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in (slots, high, spread)], ["slots", "level", "spread"])
+
+    level, spread = np.zeros(COUNTERS, dtype=np.uint8), np.zeros(COUNTERS, dtype=np.uint8)
+    for row in sums.mapInArrow(above, "slots binary, level binary, spread binary").collect():
+        at = np.frombuffer(row.slots, dtype=np.int32)
+        level[at], spread[at] = np.frombuffer(row.level, dtype=np.uint8), np.frombuffer(row.spread, dtype=np.uint8)
+    return level, spread
+
+
 def memberships(docs: DataFrame, level: np.ndarray, parts: np.ndarray) -> DataFrame:
-    """``s`` (the pivot), ``part`` of its region, whether it has several (``dealt``), and the class: once per task and class."""
+    """``s`` (the pivot), ``part`` of its region (of two to the power of ``parts``), whether it has several (``dealt``), and the class: once per task and class."""
 
     def spread(batches):
         sent = set()
@@ -175,7 +213,7 @@ def memberships(docs: DataFrame, level: np.ndarray, parts: np.ndarray) -> DataFr
     def packed(rows):
         s = np.concatenate([r[0] for r in rows])
         c = np.repeat(np.array([r[1] for r in rows], dtype=np.int64), [len(r[0]) for r in rows])
-        of = parts[counter_of(s)].astype(np.uint64)
+        of = np.uint64(1) << parts[counter_of(s)].astype(np.uint64)
         part = mix(c.view(np.uint64)) % of
         return pa.RecordBatch.from_arrays([signed(s >> NAME_BITS), pa.array(part.astype(np.int32)), pa.array(of > 1), pa.array(c)], ["s", "part", "dealt", "c"])
 
@@ -352,11 +390,7 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
     """Each row's id, number of shingles, component (the smallest id that links lead to) and hash of the text. ``docs`` come from ``texts``."""
     spark = docs.sparkSession
     seen = written(measured(docs), "measured")
-    counters = summed(seen.where("part = 0"), "data", COUNTERS)
-    level = levels(counters)
-    # powers of two: members that share a part of one large region share those of others, and so their pivots
-    parts = np.where(level > 0, 1 << np.floor(np.log2(np.clip(counters // PART, 1, 32_768))).astype(np.int64), 1).astype(np.uint16)
-    del counters
+    level, parts = common(seen)
     own = seen.where("part = -1")
     # one document stands for all of a class
     classes = written(own.where("n > 0").groupBy("c").agg(F.first("n").alias("n"), F.min(F.struct("doc_id", "h")).alias("of"), F.first("data").alias("data"), F.first("short").alias("short")), "classes")
