@@ -73,7 +73,7 @@ def _(t):
     control = t.spark.readStream.schema(clock.schema).parquet(f"{folder}/clock")
     windows = {n: WIDTHS[n] for n in names}
     keyed.suppress_matches_stream(stored(stream=True), f"{folder}/kept", LATE, windows, control).awaitTermination()
-    fired = t.spark.read.parquet(f"{folder}/kept/rows").where("fires").select(F.col("key").alias("correlation_key"), F.col("id").alias("event_id"))
+    fired = keyed.stored_kept(t.spark, f"{folder}/kept").where("fires").select(F.col("key").alias("correlation_key"), F.col("id").alias("event_id"))
     counts = stored().select("event_id", "event_count")
     return fired.join(counts, "event_id").select("event_id", "correlation_key", "event_count")
 

@@ -394,6 +394,9 @@ class Suppression(Replay):
         self.entry.update((deadline, anchor))
 
 
+_KEPT = "key string, id bigint, t bigint, anchor bigint, fires boolean, too_late boolean"
+
+
 def suppress_rows(rows: DataFrame, late: int, control: DataFrame | None = None) -> DataFrame:
     """A stream of rows (``key``, ``id``, ``t``, deadline ``d``) to key, id, t, ``anchor``, ``fires`` and ``too_late``; ``control`` (``key``, ``t``)
     is a stream that re-arms keys. A control without a key only moves the time on."""
@@ -403,8 +406,7 @@ def suppress_rows(rows: DataFrame, late: int, control: DataFrame | None = None)
         mark = F.to_json(F.struct(F.lit(-1).alias("id"), F.lit(0).alias("d"), F.lit(1).alias("ctl")))
         own = own.unionByName(control.select("key", "t", mark.alias("body")))
     timed = with_watermark(own, late).where("key is not null")
-    out = "key string, id bigint, t bigint, anchor bigint, fires boolean, too_late boolean"
-    return timed.groupBy("key").transformWithStateInPandas(Suppression(max(MINUTE, late // 8)), out, "append", "eventTime").where("id >= 0")
+    return timed.groupBy("key").transformWithStateInPandas(Suppression(max(MINUTE, late // 8)), _KEPT, "append", "eventTime").where("id >= 0")
 
 
 # --------------------------------------------------------------------------- queries over folders
@@ -434,10 +436,15 @@ def stored_late(spark: SparkSession, folder: str) -> DataFrame:
     return late_events(_rows(spark, folder))
 
 
+def stored_kept(spark: SparkSession, folder: str) -> DataFrame:
+    """What ``suppress_matches_stream`` wrote; without a match it wrote no file, so the schema is given."""
+    return spark.read.schema(_KEPT).parquet(f"{folder}/rows")
+
+
 def suppress_matches_stream(
     found: DataFrame, folder: str, late: int, windows: dict[str, int] | None = None, control: DataFrame | None = None, **trigger
 ):
-    """Start the suppression of repeats on a stream of matches; ``{folder}/rows`` has every match and whether it ``fires``."""
+    """Start the suppression of repeats on a stream of matches; ``{folder}/rows`` has every match and whether it ``fires``, and is read with ``stored_kept``."""
     until = F.col("first_seen") + correlate.suppression_window(windows, F.col("correlation_type"))
     rows = found.select(correlate.correlation_key().alias("key"), F.col("event_id").alias("id"), "t", until.alias("d"))
     return _sink(suppress_rows(rows, late, control), folder, **trigger)
