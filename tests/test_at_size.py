@@ -35,6 +35,28 @@ def test_recipients_meet_notifications_without_a_shuffle_of_them(spark):
     assert out.columns == ["initial_role", "event_id", "recipient_name", "delivery_status"]
 
 
+def test_a_crowded_role_is_a_product_of_its_notifications_and_recipients(spark, monkeypatch):
+    """Rows of a role with many recipients are put together in a product, in parts that a task holds; roles beyond the few that give most rows go by lists."""
+    monkeypatch.setattr(notify, "CROSSED", 1000, raising=False)
+    monkeypatch.setattr(notify, "CROSSED_ROLES", 2, raising=False)
+    roles = ["a", "b", "c", "few", "nobody", None, "it's"]
+    names = [(f"n{i}", r, True) for r, n in [("a", 2500), ("b", 1500), ("c", 1100), ("few", 3), (None, 2000), ("unasked", 3000)] for i in range(n)]
+    names += [(None, "a", True), ("n1", "a", True), ("off", "a", False), ("x", "nobody", False), ("y", "it's", True), ("z", "few", None)]
+    rows = [(i, roles[i % len(roles)], i * 10) for i in range(21)]
+    df = spark.createDataFrame(rows, "event_id long, initial_role string, t long")
+    recipients = spark.createDataFrame(names, "recipient_name string, role string, is_active boolean")
+    out = notify.expand_recipients(df, recipients)
+    plan = out.select("event_id", "recipient_name", "delivery_status")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("CartesianProduct") == 2 and "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    by_role = {}
+    for name, role, active in names:
+        if active and role is not None:
+            by_role.setdefault(role, []).append(name)
+    want = Counter((role, i, t, n, "queued" if n else "No active recipients") for i, role, t in rows for n in by_role.get(role, [None]))
+    assert Counter(map(tuple, out.collect())) == want
+    assert out.columns == ["initial_role", "event_id", "t", "recipient_name", "delivery_status"]
+
+
 class _Map:
     """A map state that notes how many rows a value has held at most."""
 
